@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from codonlake.llm import exact_dedup
+from codonlake.llm import exact_dedup, minmax_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op7_minmax_dedup": minmax_dedup.query,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op7_minmax_dedup": minmax_dedup.ORACLE,
 }
