@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from codonlake.llm import exact_dedup, minmax_dedup
+from codonlake.llm import decontaminate, exact_dedup, minmax_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op4_decontaminate": decontaminate.query,
     "op7_minmax_dedup": minmax_dedup.query,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op4_decontaminate": decontaminate.ORACLE,
     "op7_minmax_dedup": minmax_dedup.ORACLE,
 }
