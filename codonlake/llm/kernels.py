@@ -32,8 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def text_steps(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) of runs of rows of about STEP bytes; null counts as empty."""
+def text_steps(column: pa.Array, step: int = STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) of runs of rows of about `step` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -47,7 +47,7 @@ def text_steps(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     bytes_ = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        end = int(np.searchsorted(offsets, offsets[row] + STEP, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + step, "right")) - 1
         end = min(max(end, row + 1), n)
         yield row, end, bytes_[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from codonlake.llm import decontaminate, exact_dedup, minmax_dedup
+from codonlake.llm import decontaminate, exact_dedup, language, minmax_dedup, mixing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op4_decontaminate": decontaminate.query,
+    "op5_language_id": language.query,
+    "op6_weighted_mix": mixing.query,
     "op7_minmax_dedup": minmax_dedup.query,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
+    "op6_weighted_mix": mixing.ORACLE,
     "op7_minmax_dedup": minmax_dedup.ORACLE,
 }
