@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codonlake.llm import decontaminate, exact_dedup, language, minmax_dedup, mixing
+from codonlake.llm import decontaminate, exact_dedup, language, minmax_dedup, mixing, repeats
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language_id": language.query,
     "op6_weighted_mix": mixing.query,
     "op7_minmax_dedup": minmax_dedup.query,
+    "op9_run_length_dedup": repeats.query,
 }
 
 ORACLES = {
