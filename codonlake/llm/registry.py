@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from codonlake.llm import decontaminate, exact_dedup, language, minmax_dedup, mixing, repeats
+from codonlake.llm import decontaminate, exact_dedup, language, minmax_dedup, mixing, repeats, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_secret_scan": secrets.query,
     "op4_decontaminate": decontaminate.query,
     "op5_language_id": language.query,
     "op6_weighted_mix": mixing.query,
