@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Genetic code, sequence expressions, feature groups and metrics."""

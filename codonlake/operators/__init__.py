@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Ablations, weight tables, rankings, embeddings, folding, linear models, learners and validation."""

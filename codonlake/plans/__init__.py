@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Fixtures, registered queries, whole runs and the command line."""

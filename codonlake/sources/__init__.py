@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Readers with explicit schemas; the feature store and report files."""

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""The same features over streams."""
