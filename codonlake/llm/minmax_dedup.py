@@ -5,9 +5,10 @@ give 128 values; both collide with probability equal to the Jaccard similarity.
 share a band are candidates, and every candidate link is confirmed on the two complete shingle sets.
 
 Shape of the work: documents with the same shingle set are one node. In each bucket (documents that share a band) every
-node is compared with the bucket's smallest node only; where that comparison fails, the node is compared with the
-bucket's other nodes that are not yet in its component, so no link between different texts that shares a band is lost,
-and within a group of near copies the comparisons stay in proportion to its size. With 32 bands of 4 values a link at
+node is compared with one node, the one that shares most bands with others. That links groups of near copies with
+comparisons in proportion to their size. In buckets that still hold several components, the nodes outside the largest
+one are queries against the others, in blocks of bounded size, by size and signature first; so no link between different
+texts that share a band is lost. With 32 bands of 4 values a link at
 similarity 0.75 exactly shares no band with probability 5e-6, at 0.8 with 5e-8. Candidates of which fewer than 70 of 128
 signature bytes agree are not read in full (at 0.75 that happens with probability 1e-7).
 
@@ -35,6 +36,8 @@ PERMUTATIONS = 64
 BAND_ROWS = 4
 NUMERATOR, DENOMINATOR = 75, 100
 LEAST_AGREEING = 70
+#: Nodes of a bucket, asking and asked, that meet in one cell.
+BLOCK = 2048
 
 _RNG = np.random.default_rng(5)
 _ODD = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.int64).astype(K.U) * K.U(2) + K.U(1)
@@ -116,6 +119,81 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
 
+def _short(k: int):
+    """(node, text) to (node, short): 16 bits of each shingle's hash, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in K.text_steps(b.column(1)):
+                sets, bounds = shingle_sets(K.LOWERED[data], offsets, k)
+                short = (sets >> K.U(48)).astype(np.uint16)  # stays sorted
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([short[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["node", "short"])
+
+    return run
+
+
+def _numbered(short: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Short hashes of several nodes with how often the value stood before in its node: equal ones pair off one to one."""
+    fresh = np.ones(len(short), bool)
+    fresh[1:] = short[1:] != short[:-1]
+    fresh[bounds[:-1]] = True
+    begin = np.maximum.accumulate(np.where(fresh, np.arange(len(short)), 0))
+    return short.astype(np.int64) | (np.arange(len(short)) - begin) << 16
+
+
+def _met(numerator: int, denominator: int):
+    """Rows (band, row, ask, asks, node, root, n_shingles, sig, short) of whole cells: pairs of an asking node and another
+    that lie in different components and whose sizes, signatures and short hashes allow a link. Equal shingles have equal
+    short hashes, so the number of those that pair off is never below the true intersection."""
+
+    def pairs(cell: list) -> set:
+        roots = np.unique([x[5] for x in cell], return_inverse=True)[1]
+        size = np.array([x[6] for x in cell])
+        sig = np.frombuffer(b"".join(x[7] for x in cell), np.uint8).reshape(len(cell), -1)
+        asking = np.array([x[3] for x in cell])
+        rest = np.flatnonzero(~asking)
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        keys = _numbered(np.frombuffer(b"".join(x[8] for x in cell), np.uint16), bounds)
+        table = np.zeros(int(keys.max()) + 1 if len(keys) else 0, bool)
+        out = set()
+        for q in np.flatnonzero(asking).tolist():
+            fits = rest[(roots[rest] != roots[q]) & (np.minimum(size[rest], size[q]) * denominator >= np.maximum(size[rest], size[q]) * numerator)]
+            fits = fits[(sig[fits] == sig[q]).sum(1) >= LEAST_AGREEING]
+            if not len(fits):
+                continue
+            own = keys[bounds[q] : bounds[q + 1]]
+            table[own] = True
+            n = size[fits]
+            starts = np.cumsum(n) - n
+            both = np.add.reduceat(table[keys[np.repeat(bounds[fits] - starts, n) + np.arange(n.sum())]], starts, dtype=np.int64)
+            table[own] = False
+            for r in fits[both * denominator >= numerator * (n + size[q] - both)].tolist():
+                out.add((min(cell[q][4], cell[r][4]), max(cell[q][4], cell[r][4])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells():
+            held: list = []
+            for b in batches:
+                for x in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
+                    if held and x[:3] != held[-1][:3]:
+                        yield held
+                        held = []
+                    held.append(x)
+            if held:
+                yield held
+
+        found: set = set()
+        for cell in cells():
+            found |= pairs(cell)
+            if len(found) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+                found = set()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def word_set(text: str | None, k: int) -> set:
     words = (text or "").encode().lower().split()
     if len(words) >= k:
@@ -158,12 +236,14 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
         signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("least"), F.count("*").alias("members"), F.first("n_shingles").alias("size")),
         "classes",
     )
-    # buckets: nodes that share a band
+    # buckets: nodes that share a band; the node that shares the most is nearest to what its bucket has in common
     reps = signed.join(classes.select("node", "one"), "node").filter("struct(doc_id, text_hash) <=> one").dropDuplicates(["node"]).select("node", "n_shingles", "bands", "sig")
     banded = reps.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("held")).filter("held > 1")
-    inside = written(skew_lookup(banded, buckets, "band", "held", total * 2 * PERMUTATIONS // BAND_ROWS, "node").filter("center IS NOT NULL AND center <> node"), "buckets")
-    slim = written(reps.select("node", "n_shingles", "sig").join(inside.select("node").union(inside.select(F.col("center"))).distinct(), "node", "left_semi"), "slim")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("held")).filter("held > 1").withColumn("shared", F.col("held"))
+    inside = written(skew_lookup(banded, buckets, "band", "held", total * 2 * PERMUTATIONS // BAND_ROWS, "node").filter("shared IS NOT NULL"), "buckets")
+    ranked = inside.join(inside.groupBy("node").agg(F.sum("shared").alias("popular")), "node")
+    centers = ranked.groupBy("band").agg(F.max(F.struct("popular", "node")).alias("best")).select("band", F.col("best.node").alias("a"))
+    slim = written(reps.select("node", "n_shingles", "sig").join(inside.select("node").distinct(), "node", "left_semi"), "slim")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes allow the threshold and whose signatures agree."""
@@ -171,7 +251,7 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
         sized = pairs.join(sides[1], "b").join(sides[0], "a").filter(F.least("n_a", "n_b") * denominator >= F.greatest("n_a", "n_b") * numerator)
         return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a binary, b binary")
 
-    stars = inside.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    stars = inside.select("band", F.col("node").alias("b")).join(centers, "band").filter("a <> b").select("a", "b").distinct()
     first = written(likely(stars), "candidates")
     wanted = classes.join(slim.select("node"), "node", "left_semi").select("node", "one.doc_id", "one.text_hash")
     texts = written(
@@ -180,14 +260,24 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     seen = written(_compared(first, texts, k, numerator, denominator), "compared")
     links = seen.filter("linked").select("a", "b")
     roots = written(components(links), "roots")
-    # nodes that are not linked with their bucket's smallest node meet the bucket's others
-    failed = stars.join(links, ["a", "b"], "left_anti")
-    lone = inside.join(failed.select(F.col("a").alias("center"), F.col("b").alias("node")), ["center", "node"], "left_semi").select("band", F.col("node").alias("a"))
-    others = inside.select("band", F.col("node").alias("b"))
-    pairs = lone.join(others, "band").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-    apart = pairs.join(ra, "a", "left").join(rb, "b", "left").filter("NOT (coalesce(root_a, a) = coalesce(root_b, b))").select("a", "b")
-    more = written(_compared(likely(apart), texts, k, numerator, denominator).filter("linked").select("a", "b"), "links-more")
+    # buckets that still hold several components: what is outside the largest meets the rest, in blocks
+    placed = inside.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    main = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    main = main.filter("kinds > 1").select("band", F.col("most.root").alias("main"), "all", (F.col("all") - F.col("most.n")).alias("apart"))
+    unsettled = placed.join(main, "band")
+    short = texts.join(unsettled.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_short(k), "node binary, short binary")
+    mixed = unsettled.join(slim, "node").join(short, "node")
+    asks = F.col("root") != F.col("main")
+    n_rows, n_asks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("all", "apart"))
+    own_row, own_ask = F.pmod(F.xxhash64("node"), n_rows).cast("int"), F.pmod(F.xxhash64("node"), n_asks).cast("int")
+    grid = mixed.withColumn("grid", F.array_union(
+        F.transform(F.sequence(F.lit(0), n_asks - 1), lambda a: F.struct(own_row.alias("row"), a.alias("ask"), F.lit(False).alias("asks"))),
+        F.when(asks, F.transform(F.sequence(F.lit(0), n_rows - 1), lambda r: F.struct(r.alias("row"), own_ask.alias("ask"), F.lit(True).alias("asks")))).otherwise(F.array().cast("array<struct<row:int,ask:int,asks:boolean>>")),
+    ))
+    cells = grid.select("band", "node", "root", "n_shingles", "sig", "short", F.inline("grid")).repartition("band", "row", "ask").sortWithinPartitions("band", "row", "ask")
+    near = cells.select("band", "row", "ask", "asks", "node", "root", "n_shingles", "sig", "short").mapInArrow(_met(numerator, denominator), "a binary, b binary").distinct()
+    near = near.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = written(_compared(written(near, "candidates-more"), texts, k, numerator, denominator).filter("linked").select("a", "b"), "links-more")
     if not more.isEmpty():
         roots = written(components(links.union(more)), "roots")
     # each class's component: the smallest id among all its classes
