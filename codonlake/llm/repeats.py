@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings with run-compressed Burrows-Wheeler indexes.
+"""Removal of long repeated byte strings with run-compressed positional Burrows-Wheeler indexes.
 
 A byte goes when it is covered by a string of `length` bytes that also starts earlier (smaller id, or the same document
 further left). One index of the whole corpus would be one task, so the corpus is cut into neighbourhoods that can be
@@ -8,11 +8,12 @@ indexed apart and still hold every such pair of strings:
    same place in each of its occurrences. An anchor's context is all that a string of `length` bytes around it can reach.
 2. Contexts meet by the hash of their anchor. Anchors that stand once are done. Of equal contexts of an anchor only the
    first is indexed; the others repeat it whole. (This is what makes copies of documents cheap, in any number.)
-3. Different contexts of an anchor go into one block with those of other anchors, and the block gets a Burrows-Wheeler
-   transform, run-compressed, with the text position and the common prefix length sampled where a run begins. Within a
-   run the common prefix with the predecessor shrinks by one from each text position to the next, so streaming over the
-   text from sample to sample gives every position's matching statistic. Matches of at least `length` that neighbour each
-   other in the transform's order are the occurrences of one string; all but the earliest are marked.
+3. The different contexts of an anchor are lined up at it and indexed by a positional Burrows-Wheeler transform: at
+   each column the contexts are ordered by what they read backwards from there. A column's symbols in that order are
+   run-compressed: inside a run every context keeps its predecessor, so its matching statistic, the length that it
+   shares with the predecessor, streams on by one; only where a run begins (the sampled ends) is it found anew by
+   comparing the two texts. Contexts that share at least `length` symbols up to a column stand next to each other and
+   hold one string; all but the earliest are marked. One block holds many anchors.
 4. An anchor with more than `most_contexts` different contexts does not fit a block. Its strings of `length` bytes
    are told apart by 128-bit hashes and meet in an aggregation with partial minima, so no group is gathered.
 
@@ -23,6 +24,7 @@ repeat an id are ordered by text; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from codonlake.llm.common import written
 
 LENGTH = 100
 GRAM = 16
-MOST_CONTEXTS = 12_000
+MOST_CONTEXTS = 60_000
 BLOCK_BYTES = 1 << 20
 
 
@@ -77,166 +79,155 @@ def _anchored(length: int, k: int):
                 doc, at, h, first, last = anchors(data, offsets, length, k)
                 with np.errstate(over="ignore"):  # equal contexts have their anchor at the same place in them
                     own = K.mix(K.word_hashes(data, first, last) + (at + offsets[doc] - first).astype(K.U) * K.BASE)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own.view(np.int64)), pa.array(ids[doc]), pa.array(at.astype(np.int32))], names=["h", "c", "id", "at"])
+                # of equal contexts in one step all but the first are copies; they need not meet the others, so no task
+                # gets all rows of a passage that stands everywhere
+                order = np.lexsort((at, ids[doc], own, h))
+                copy = np.zeros(len(h), bool)
+                copy[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+                with np.errstate(over="ignore"):
+                    h = np.where(copy, K.mix(own + ids[doc].astype(K.U) * K.BASE + at.astype(K.U)), h)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own.view(np.int64)), pa.array(ids[doc]), pa.array(at.astype(np.int32)), pa.array(copy)], names=["h", "c", "id", "at", "copy"])
 
     return run
 
 
 def _contexts(length: int, k: int):
-    """(id, zipped text, anchors [(h, at)]) to (h, id, start, context)."""
-    import zlib
+    """(id, zipped text, anchors [(h, at)]) to (h, id, at, start, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, ids, starts, bodies = [], [], [], []
-            for i, packed, wanted in zip(*(b.column(x).to_pylist() for x in range(3)), strict=True):
+            lists = b.column(2)
+            counts = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            h, at = flat.field("h"), flat.field("at").to_numpy()
+            ids = np.repeat(b.column(0).to_numpy(), counts)
+            starts = np.maximum(at - (length - k), 0)
+            bodies, i = [], 0
+            for packed, n in zip(b.column(1).to_pylist(), counts.tolist(), strict=True):
                 text = zlib.decompress(packed)
-                for w in wanted:
-                    lo = max(0, w["at"] - (length - k))
-                    hs.append(w["h"])
-                    ids.append(i)
-                    starts.append(lo)
-                    bodies.append(text[lo : w["at"] + length])
-            for s in range(0, len(hs), 20_000):
+                bodies += [text[lo:hi] for lo, hi in zip(starts[i : i + n].tolist(), (at[i : i + n] + length).tolist(), strict=True)]
+                i += n
+            for s in range(0, len(bodies), 20_000):
                 e = s + 20_000
-                yield pa.RecordBatch.from_arrays([pa.array(hs[s:e], pa.int64()), pa.array(ids[s:e], pa.int64()), pa.array(starts[s:e], pa.int32()), pa.array(bodies[s:e], pa.binary())], names=["h", "id", "start", "body"])
+                yield pa.RecordBatch.from_arrays([h[s:e], pa.array(ids[s:e], pa.int64()), pa.array(at[s:e], pa.int32()), pa.array(starts[s:e], pa.int32()), pa.array(bodies[s:e], pa.binary())], names=["h", "id", "at", "start", "body"])
 
     return run
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of a block of strings, with samples where runs begin.
+    """Run-compressed positional transform of groups of strings that are lined up in columns.
 
-    order: suffixes in lexicographic order (a string's end sorts first, equal suffixes by position);
-    heads: text positions of the suffixes with which runs of the transform begin, in text order;
-    common: length of each head's common prefix with its predecessor in the order.
+    symbols: (strings, columns), 0 where a string has no symbol; group: of each string, ascending. `step` moves on by one
+    column; then `order` has the strings by group and by what they read backwards from there, and `common` has, for each
+    string, how many symbols it shares with the one before it in the order (counted up to `most` where a run begins).
     """
 
-    def __init__(self, text: np.ndarray, ends: np.ndarray, longest: int) -> None:
-        """text: the strings one after the other, each with a closing 0; all other symbols are above 0; ends: of the zeros."""
-        n = len(text)
-        self.text = text
-        pad = np.zeros(n + 8, np.uint8)
-        pad[:n] = text
-        word = np.zeros(n, np.uint64)
-        stop = np.zeros(n, bool)
-        for i in range(8):  # eight symbols as one number, nothing beyond the closing 0
-            now = np.where(stop, 0, pad[i : i + n])
-            word = (word << np.uint64(8)) | now.astype(np.uint64)
-            stop |= now == 0
-        left = np.repeat(ends, np.diff(np.concatenate([[-1], ends]))) - np.arange(n)  # symbols before the closing 0
-        order = np.argsort(word)
-        self.ranks = [(8, self._rank(word, order))]
-        span = 8
-        while span < longest:
-            step = min(span, longest - span)
-            base = self.ranks[-1][1]
-            second = np.zeros(n, np.int64)
-            inside = np.flatnonzero(left > step)
-            second[inside] = base[inside + step] + 1
-            key = (base.astype(np.int64) << 32) | second
-            order = np.argsort(key)
-            span += step
-            self.ranks.append((span, self._rank(key, order)))
-        last = self.ranks[-1][1]
-        self.order = np.argsort((last.astype(np.int64) << 32) | np.arange(n))
-        before = text[self.order - 1]  # the transform; before the first symbol stands the last closing 0
-        fresh = np.ones(n, bool)
-        fresh[1:] = before[1:] != before[:-1]
-        fresh |= before == 0  # a string's beginning continues no other
-        at = np.flatnonzero(fresh)
-        heads = self.order[at]
-        prior = self.order[np.maximum(at - 1, 0)]
-        common = self._common(heads, prior, left)
-        common[at == 0] = 0
-        by_text = np.argsort(heads)
-        self.heads, self.common = heads[by_text], common[by_text]
-        self.runs = len(at)
-
-    @staticmethod
-    def _rank(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-        ordered = key[order]
-        fresh = np.zeros(len(key), np.int32)
-        fresh[1:] = ordered[1:] != ordered[:-1]
-        out = np.empty(len(key), np.int32)
-        out[order] = np.cumsum(fresh, dtype=np.int32)
-        return out
-
-    def _common(self, a: np.ndarray, b: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Common prefix lengths of suffixes, without the closing symbols, by the ranks of doubling lengths."""
+    def __init__(self, symbols: np.ndarray, group: np.ndarray, most: int) -> None:
+        self.symbols, self.columns, self.most = symbols, np.ascontiguousarray(symbols.T), most
+        self.group = group.astype(np.int64) << 32
+        self.order = np.arange(len(group))
+        self.common = np.zeros(len(group), np.int64)
+        self.column = -1
+        self.heads = 0
+
+    def step(self) -> None:
+        self.column += 1
+        n = len(self.order)
+        here = self.columns[self.column]
+        keys = self.group[self.order] | here[self.order].astype(np.int64) << 24 | np.arange(n)  # at most 2**24 strings
+        keys.sort()
+        place = keys & 0xFFFFFF
+        self.order = self.order[place]
+        kind = keys >> 24
+        same = np.zeros(n, bool)
+        same[1:] = (kind[1:] == kind[:-1]) & (kind[1:] & 0xFF != 0)
+        goes_on = same.copy()
+        goes_on[1:] &= place[1:] == place[:-1] + 1
+        begins = np.flatnonzero(same & ~goes_on)
+        self.common[self.order[~same]] = 0
+        self.common[self.order[goes_on]] += 1
+        if len(begins):
+            self.heads += len(begins)
+            self.common[self.order[begins]] = self._shared(self.order[begins], self.order[begins - 1])
+
+    def _shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Symbols that a and b share backwards from the current column."""
         out = np.zeros(len(a), np.int64)
-        room = np.minimum(left[a], left[b])
-        ladder = [(s, r) for s, r in self.ranks if s & (s - 1) == 0]
-        for span, rank in [ladder[-1], *reversed(ladder)]:
-            fits = out + span <= room
-            x, y = np.where(fits, a + out, 0), np.where(fits, b + out, 0)
-            out += np.where(fits & (rank[x] == rank[y]), span, 0)
-        for _ in range(8):
-            fits = out < room
-            x, y = np.where(fits, a + out, 0), np.where(fits, b + out, 0)
-            same = fits & (self.text[x] == self.text[y])
-            if not same.any():
+        left, end = np.arange(len(a)), self.column + 1
+        for size in (8, self.most):
+            if not len(left):
                 break
-            out += same
+            lo = max(0, end - size)
+            x = self.symbols[a[left], lo:end]
+            differ = ((x != self.symbols[b[left], lo:end]) | (x == 0))[:, ::-1]
+            shared = differ.argmax(1)
+            shared[~differ.any(1)] = end - lo
+            out[left] = shared
+            left = left[(shared == end - lo) & (lo > 0)]
         return out
 
-    def statistics(self) -> np.ndarray:
-        """For each text position the common prefix length with its predecessor in the order, streamed from the samples."""
-        reach = np.zeros(len(self.text), np.int64)
-        reach[self.heads] = self.heads + self.common
-        return np.maximum(np.maximum.accumulate(reach) - np.arange(len(self.text)), 0)
 
+def later_matches(bodies: list[bytes], group: np.ndarray, ids: np.ndarray, ats: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """(id, from, to) of maximal runs of bytes covered by strings of `length` bytes around an anchor that start earlier too.
 
-def later_matches(bodies: list[bytes], ids: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(id, from, to) of maximal runs of bytes covered by strings of `length` bytes that start earlier among the bodies."""
+    bodies: contexts, grouped by anchor; ats and starts: places of the anchor and of the context in the document.
+    """
+    width, before = 2 * length - k, length - k
     sizes = np.array([len(x) for x in bodies])
-    text = np.zeros(int(sizes.sum()) + len(bodies), np.uint8)
-    ends = np.cumsum(sizes + 1) - 1
-    body = np.ones(len(text), bool)
-    body[ends] = False
-    text[body] = np.frombuffer(b"".join(bodies), np.uint8) + np.uint8(1)  # UTF-8 has no byte 0xFF
-    index = RunIndex(text, ends, int(sizes.max()))
-    match = index.statistics()[index.order]
-    owner = np.repeat(np.arange(len(bodies)), sizes + 1)
-    begin = np.concatenate([[0], ends[:-1] + 1])
-    place = starts[owner] + (np.arange(len(text)) - begin[owner])
-    _, id_rank = np.unique(ids, return_inverse=True)
-    when = ((id_rank[owner].astype(np.int64) << 32) | place)[index.order]
-    group = np.flatnonzero(match < length)  # an occurrence that matches less with its predecessor begins a new string
-    least = np.minimum.reduceat(when, group)
-    earliest = np.repeat(least, np.diff(np.append(group, len(when))))
-    marked = np.zeros(len(text), bool)
-    marked[index.order] = when > earliest
-    hit = np.flatnonzero(marked)
-    if not len(hit):
+    first = before - (ats - starts)
+    symbols = np.zeros((len(bodies), width), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    flat = np.repeat(np.arange(len(bodies)) * width + first - begin, sizes) + np.arange(sizes.sum())
+    symbols.reshape(-1)[flat] = np.frombuffer(b"".join(bodies), np.uint8) + np.uint8(1)  # UTF-8 has no byte 0xFF
+    when = np.empty(len(bodies), np.int64)
+    when[np.lexsort((ats, ids))] = np.arange(len(bodies))
+    index = RunIndex(symbols, group, length)
+    marked = np.zeros((before + 1, len(bodies)), bool)
+    for column in range(width):
+        index.step()
+        if column < length - 1:
+            continue
+        fresh = index.common[index.order] < length
+        if fresh.all():
+            continue
+        heads = np.flatnonzero(fresh)
+        own = when[index.order]
+        least = np.minimum.reduceat(own, heads)
+        marked[column - length + 1, index.order] = own > np.repeat(least, np.diff(np.append(heads, len(own))))
+    row, at = np.nonzero(marked.T)
+    if not len(row):
         return ids[:0], starts[:0], starts[:0]
-    fresh = np.ones(len(hit), bool)
-    fresh[1:] = (owner[hit[1:]] != owner[hit[:-1]]) | (hit[1:] > hit[:-1] + length)
-    first = np.flatnonzero(fresh)
-    last = np.append(first[1:] - 1, len(hit) - 1)
-    return ids[owner[hit[first]]], place[hit[first]], place[hit[last]] + length
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (at[1:] > at[:-1] + length)
+    opening = np.flatnonzero(fresh)
+    closing = np.append(opening[1:] - 1, len(row) - 1)
+    shift = ats - before
+    return ids[row[opening]], shift[row[opening]] + at[opening], shift[row[closing]] + at[closing] + length
 
 
 MARKS = "id long, lo int, hi int"
 
 
-def _indexed(length: int, block_bytes: int):
-    """Rows (h, id, start, body), ordered by h: marks."""
+def _indexed(length: int, k: int, block_bytes: int):
+    """Rows (h, id, at, start, body), ordered by h: marks."""
 
     def marks(part: list) -> pa.RecordBatch:
-        ids, lo, hi = later_matches([x[3] for x in part], np.array([x[1] for x in part], np.int64), np.array([x[2] for x in part], np.int64), length)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["id", "lo", "hi"])
+        h, ids, ats, starts, bodies = zip(*part, strict=True)
+        h = np.array(h, np.int64)
+        group = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
+        out = later_matches(bodies, group, np.array(ids, np.int64), np.array(ats, np.int64), np.array(starts, np.int64), length, k)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = 0
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if size >= block_bytes and row[0] != held[-1][0]:
                     yield marks(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield marks(held)
 
@@ -259,24 +250,23 @@ def _strings(length: int):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, zipped text, marks [(lo, hi)]) to the result's columns."""
-    import zlib
-
     for b in batches:
-        n_bytes, removed, spans, digests = [], [], [], []
-        for packed, marks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        lists = b.column(2)
+        counts = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        lows, highs = flat.field("lo").to_numpy(), flat.field("hi").to_numpy()
+        n_bytes, removed, spans, digests, i = [], [], [], [], 0
+        for packed, n in zip(b.column(1).to_pylist(), counts.tolist(), strict=True):
             text = zlib.decompress(packed)
-            gone, runs, digest, upto = 0, 0, hashlib.sha256(), 0
-            lo = hi = -1
-            for m in sorted((m["lo"], min(m["hi"], len(text))) for m in marks or ()):
-                if m[0] > hi:
-                    if hi >= 0:
-                        gone, runs, upto = gone + hi - lo, runs + 1, hi
-                    lo, hi = m
-                    digest.update(text[upto:lo])
-                else:
-                    hi = max(hi, m[1])
-            if hi >= 0:
-                gone, runs, upto = gone + hi - lo, runs + 1, hi
+            digest, upto, gone, runs = hashlib.sha256(), 0, 0, 0
+            if n:
+                order = np.argsort(lows[i : i + n], kind="stable")
+                lo, reach = lows[i : i + n][order], np.maximum.accumulate(np.minimum(highs[i : i + n][order], len(text)))
+                fresh = np.concatenate([[0], np.flatnonzero(lo[1:] > reach[:-1]) + 1])
+                for a, z in zip(lo[fresh].tolist(), reach[np.append(fresh[1:], n) - 1].tolist(), strict=True):
+                    digest.update(text[upto:a])
+                    gone, runs, upto = gone + z - a, runs + 1, z
+                i += n
             digest.update(text[upto:])
             n_bytes.append(len(text))
             removed.append(gone)
@@ -286,8 +276,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zlib
-
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress((x or "").encode(), 1) for x in b.column(1).to_pylist()], pa.binary())], names=["id", "packed"])
 
@@ -306,16 +294,17 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
 
 def _strip(rows: DataFrame, length: int, k: int, most_contexts: int, block_bytes: int) -> DataFrame:
-    found = rows.mapInArrow(_anchored(length, k), "h long, c long, id long, at int").repartition("h")
-    order = Window.partitionBy("h").orderBy("c", "id", "at")
+    found = rows.mapInArrow(_anchored(length, k), "h long, c long, id long, at int, copy boolean").repartition("h")
+    order = Window.partitionBy("h").orderBy("copy", "c", "id", "at")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = found.select("h", "c", "id", "at", F.lag("c").over(order).alias("above"), F.min("c").over(whole).alias("c0"), F.max("c").over(whole).alias("c1"))
-    seen = seen.withColumn("first", F.col("above").isNull() | (F.col("above") != F.col("c")))
+    own = F.when(~F.col("copy"), F.col("c"))
+    seen = found.select("h", "c", "id", "at", "copy", F.lag("c").over(order).alias("above"), F.min(own).over(whole).alias("c0"), F.max(own).over(whole).alias("c1"))
+    seen = seen.withColumn("first", ~F.col("copy") & (F.col("above").isNull() | (F.col("above") != F.col("c"))))
     several = seen.filter("NOT first OR c0 <> c1").withColumn("kinds", F.sum(F.col("first").cast("int")).over(Window.partitionBy("h")))
     repeated = written(several.select("h", "id", "at", "first", "kinds"), "anchors")
     packed = rows.mapInArrow(_zip, "id long, packed binary")
     wanted = repeated.filter("first AND kinds > 1").groupBy("id").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))  # at most one a byte of a document
-    contexts = packed.join(wanted, "id").select("id", "packed", "wanted").mapInArrow(_contexts(length, k), "h long, id long, start int, body binary")
+    contexts = packed.join(wanted, "id").select("id", "packed", "wanted").mapInArrow(_contexts(length, k), "h long, id long, at int, start int, body binary")
     large = repeated.filter(F.col("kinds") > most_contexts).select("h").distinct()
     marks = None
     if large.isEmpty():
@@ -327,7 +316,7 @@ def _strip(rows: DataFrame, length: int, k: int, most_contexts: int, block_bytes
         strings = written(strings, "strings")
         least = strings.groupBy("digest").agg(F.min(F.struct("id", "lo")).alias("least"))
         marks = strings.join(least, "digest").filter("struct(id, lo) > least").select("id", "lo", (F.col("lo") + length).alias("hi"))
-    indexed = small.repartition("h").sortWithinPartitions("h").select("h", "id", "start", "body").mapInArrow(_indexed(length, block_bytes), MARKS)
+    indexed = small.repartition("h").sortWithinPartitions("h").select("h", "id", "at", "start", "body").mapInArrow(_indexed(length, k, block_bytes), MARKS)
     copies = repeated.filter("NOT first").select("id", F.greatest(F.col("at") - (length - k), F.lit(0)).alias("lo"), (F.col("at") + length).alias("hi"))
     marks = indexed.unionByName(copies) if marks is None else indexed.unionByName(copies).unionByName(marks)
     per_doc = marks.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
