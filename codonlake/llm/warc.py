@@ -24,8 +24,6 @@ from codonlake.llm.common import LOWER, UPPER
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 TIME_RANGES = 64
 
-_TRACKED = r"(?<=[?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*&?"
-
 
 def canonical(url: Column) -> Column:
     """Host and path of a URL without scheme, www., default port, fragment, tracking parameters, index.html and last slash."""
@@ -60,10 +58,9 @@ def resolve(records: DataFrame, ranges: int = TIME_RANGES) -> DataFrame:
     target_id, status (response, resolved, validator_mismatch, no_earlier_response), merged headers and payload digest.
     """
     kept = records.select("id", "url", "at", "kind", "etag", "modified", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "payload", canonical(F.col("url")).alias("url_key"))
-    answer = F.when((F.col("kind") == "response") & F.col("at").isNotNull(), F.struct("etag", "modified", "headers", "payload"))
     # maps cannot be compared; entries sorted by name can
     listed = F.array_sort(F.map_entries("headers"))
-    answer = F.when((F.col("kind") == "response") & F.col("at").isNotNull(), F.struct("etag", "modified", listed.alias("headers"), "payload"))
+    answer = F.when((F.col("kind") == "response") & F.col("at").isNotNull() & F.col("url_key").isNotNull(), F.struct("etag", "modified", listed.alias("headers"), "payload"))
     rows = latest_before(kept.withColumn("answer", answer), ranges)
     a = F.col("found.answer")
     tags = F.col("etag").isNotNull() & a["etag"].isNotNull()
