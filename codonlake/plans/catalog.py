@@ -33,7 +33,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 _DIM = ", ".join(f"({i}, '{c}', '{AMINO_OF[c]}')" for i, c in enumerate(CODONS))
 DUCK_DIM = f"dim(ord, codon, aa) AS (VALUES {_DIM})"
 DUCK_WEIGHTS = "w(codon, cai_h, cai_m, tai_h, tai_m) AS (VALUES " + ", ".join(
-    f"('{c}', {CAI['human'][c]}, {CAI['mouse'][c]}, {TAI['human'].get(c, 'NULL')}, {TAI['mouse'].get(c, 'NULL')})" for c in SENSE
+    f"('{c}', {CAI['human'][c]}::DOUBLE, {CAI['mouse'][c]}::DOUBLE, {TAI['human'].get(c, 'NULL')}::DOUBLE, {TAI['mouse'].get(c, 'NULL')}::DOUBLE)" for c in SENSE
 ) + ")"
 _STOPS = ", ".join(f"'{c}'" for c in STOPS)
 

@@ -69,7 +69,7 @@ IMPORTANCES = (
 
 
 def _values(rows: tuple) -> str:
-    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v) for v in (r if isinstance(r, tuple) else (r,))) + ")" for r in rows)
+    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else repr(v) for v in (r if isinstance(r, tuple) else (r,))) + ")" for r in rows)
 
 
 def trna_headers(spark: SparkSession) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 import sys
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -38,7 +39,7 @@ def plain(rows):
     """Rows as sorted tuples of comparable text; columns by name."""
     out = []
     for r in rows:
-        out.append(tuple("" if r[k] is None or r[k] != r[k] else f"{float(r[k]):.6f}" if isinstance(r[k], (int, float)) and not isinstance(r[k], bool) else str(r[k]) for k in sorted(r)))
+        out.append(tuple("" if r[k] is None or r[k] != r[k] else f"{float(r[k]):.6f}" if isinstance(r[k], (int, float, Decimal)) and not isinstance(r[k], bool) else str(r[k]) for k in sorted(r)))
     return sorted(out)
 
 
