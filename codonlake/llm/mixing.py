@@ -133,6 +133,6 @@ q AS (SELECT d.doc_id, d.size, t.source_size, t.target, sum(d.size) OVER (PARTIT
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 r AS (SELECT *, CAST(e * source_size + upto AS DOUBLE) / target AS finish FROM q, (SELECT unnest([0, 1, 2]) AS e) WHERE size > 0 AND target > 0),
 c AS (SELECT max(finish) AS last FROM (SELECT finish, sum(sum(size)) OVER (ORDER BY finish) AS upto FROM r GROUP BY finish) WHERE upto <= (SELECT sum(size) FROM d)),
-k AS (SELECT doc_id, sum(size) AS taken FROM r, c WHERE finish <= last GROUP BY doc_id)
+k AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM r, c WHERE finish <= last GROUP BY doc_id)
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) AS taken FROM q LEFT JOIN k USING (doc_id)
 """
