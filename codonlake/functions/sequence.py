@@ -21,6 +21,13 @@ def rna(seq: Column) -> Column:
     return F.translate(F.upper(seq), "T", "U")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once a row: the optimiser would else repeat it wherever it is named, and inside a
+    lambda once for each element.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def safe_ratio(top: Column, bottom: Column) -> Column:
     """top / bottom as double, null where bottom is 0 or null."""
     return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
@@ -60,14 +67,15 @@ def kmers(k: int) -> list[str]:
 
 def kmer_frequencies(seq: Column, k: int) -> Column:
     """Array of the frequencies of all k-mers in listed order: non-overlapping counts over n - k + 1; null if n < k."""
-    n = F.length(seq)
-    counts = F.transform(F.array(*[F.lit(x) for x in kmers(k)]), lambda p: count_of(seq, p).cast("double") / (n - (k - 1)))
-    return F.when(n >= k, counts)
+    def frequencies(s: Column, n: Column) -> Column:
+        pieces = F.array(*[F.lit(x) for x in kmers(k)])
+        return F.when(n >= k, F.transform(pieces, lambda p: F.floor((n - F.length(F.replace(s, p, F.lit("")))) / k).cast("double") / (n - (k - 1))))
+
+    return bound(seq, lambda s: bound(F.length(s), lambda n: frequencies(s, n)))
 
 
 def gc_fraction(seq: Column) -> Column:
-    n = F.length(seq)
-    return safe_ratio(n - F.length(F.translate(seq, "GC", "")), n)
+    return bound(seq, lambda s: safe_ratio(F.length(s) - F.length(F.translate(s, "GC", "")), F.length(s)))
 
 
 def codons(cds: Column) -> Column:
@@ -80,16 +88,21 @@ def codon_counts(cds: Column, order: list[str]) -> Column:
 
     The codons are joined with a separator so that a count is one scan and never straddles two codons.
     """
-    joined = F.array_join(codons(cds), ",")
-    return F.transform(F.array(*[F.lit(c) for c in order]), lambda c: count_of(joined, c))
+    wanted = F.array(*[F.lit(c) for c in order])
+    count = lambda s, n: F.transform(wanted, lambda c: F.floor((n - F.length(F.replace(s, c, F.lit("")))) / 3).cast("int"))
+    return bound(F.array_join(codons(cds), ","), lambda s: bound(F.length(s), lambda n: count(s, n)))
 
 
 def kozak_score(utr5: Column, cds: Column) -> Column:
     """Share of the seven positions -6..-1 and +4 around the start codon that fit GCC[AG]CC and G."""
-    context = F.concat(F.right(utr5, F.lit(6)), F.left(cds, F.lit(4)))
-    fits = [F.substring(context, p, 1).isin(*b).cast("int") for p, b in ((1, "G"), (2, "C"), (3, "C"), (4, "AG"), (5, "C"), (6, "C"), (10, "G"))]
-    score = sum(fits[1:], fits[0]).cast("double") / 7
-    return F.when((F.length(utr5) >= 6) & (F.length(cds) >= 4), score)
+    context = F.when((F.length(utr5) >= 6) & (F.length(cds) >= 4), F.concat(F.right(utr5, F.lit(6)), F.left(cds, F.lit(4))))
+    places = ((1, "G"), (2, "C"), (3, "C"), (4, "AG"), (5, "C"), (6, "C"), (10, "G"))
+
+    def score(c: Column) -> Column:
+        fits = [F.substring(c, p, 1).isin(*b).cast("int") for p, b in places]
+        return sum(fits[1:], fits[0]).cast("double") / 7
+
+    return bound(context, score)
 
 
 def reverse_complement(seq: Column) -> Column:

@@ -15,9 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A small input can be one file with one row group, and so one task; deal it out. Larger inputs stay as they are."""
+    wanted = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
+
+
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = F.regexp_replace(F.translate("text", LETTERS, MAPPED), "[^ACGT]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", mapped.alias("s"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", mapped.alias("s"))
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
