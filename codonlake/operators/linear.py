@@ -82,13 +82,34 @@ def moments(rows: DataFrame, names: list[str], target: str = "te") -> dict[int,
     return {r["fold"]: Moments(np.frombuffer(r["cross"], float).reshape(width, width)) for r in out}
 
 
+def accelerated(gram: np.ndarray, xy: np.ndarray, soft: float, ridge: float, most: int = 4000) -> np.ndarray:
+    """A start near the minimum by accelerated proximal gradients with restarts: matrix products only."""
+    w = z = np.zeros(len(xy))
+    step = 1.0 / max(float(np.linalg.eigvalsh(gram)[-1]) + ridge, 1e-12)
+    t = 1.0
+    for i in range(most):
+        moved = z - step * (gram @ z - xy + ridge * z)
+        new = np.sign(moved) * np.maximum(np.abs(moved) - step * soft, 0.0)
+        if (z - new) @ (new - w) > 0:
+            t, z = 1.0, new
+        else:
+            grown = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            z = new + (t - 1) / grown * (new - w)
+            t = grown
+        if i % 50 == 49 and np.abs(new - w).max() < 1e-7 * max(np.abs(new).max(), 1e-12):
+            return new
+        w = new
+    return w
+
+
 def coordinate_descent(gram: np.ndarray, xy: np.ndarray, alpha: float, l1_ratio: float, most: int = 10_000, tolerance: float = 1e-4) -> np.ndarray:
     """Minimises w'Gw / 2 - xy'w + alpha * l1_ratio * |w| + alpha * (1 - l1_ratio) / 2 * w'w.
 
     Ends when no coefficient moves by more than `tolerance` of the largest one over all features.
     """
-    w, slope = np.zeros(len(xy)), xy.copy()  # slope: xy - Gw
     soft, ridge = alpha * l1_ratio, alpha * (1 - l1_ratio)
+    w = accelerated(gram, xy, soft, ridge)
+    slope = xy - gram @ w
     diagonal = np.diag(gram)
     active = np.arange(len(w))
     for sweep in range(most):
