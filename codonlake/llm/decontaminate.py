@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonlake.llm import kernels as K
-from codonlake.llm.common import written
+from codonlake.llm.common import small_batches, written
 
 WINDOW = 13
 GRAM = 5
@@ -253,7 +253,7 @@ def label(docs: DataFrame, bench: DataFrame, text_col: str = "text", window: int
                 schema = schema or pa.schema([b.schema.field(i) for i in range(b.num_columns) if i != at] + list(MARKED))
                 yield from _scan(iter([b]), items, at, schema)
 
-        out = docs.mapInArrow(run, ddl)
+        out = small_batches(docs).mapInArrow(run, ddl)
     else:
         out = _label_by_shuffle(docs, bench, text_col, window, k, sorted(count[1]))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codonlake.llm.common import ascii_lower, skew_lookup, written
+from codonlake.llm.common import ascii_lower, skew_lookup, small_batches, written
 
 MEMORY_BYTES = 48 << 20
 FANOUT_BITS = 3
@@ -136,7 +136,7 @@ def _bucket(memory_bytes: int):
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = MEMORY_BYTES) -> DataFrame:
     """One row for each distinct normalised text: text_sha256, keep_id (largest id), group_size, ties (rows with that id)."""
     text = ascii_lower(F.col(text_col)).cast("binary")
-    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("content"), F.col(id_col).cast("long").alias("id"))
+    rows = small_batches(docs).select(F.xxhash64(text).alias("h"), text.alias("content"), F.col(id_col).cast("long").alias("id"))
     local = rows.mapInArrow(_collapse, "h long, content binary, largest long, rows long, ties long")
     return local.repartition("h").mapInArrow(_bucket(memory_bytes), "text_sha256 string, keep_id long, group_size long, ties long")
 

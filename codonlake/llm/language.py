@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonlake.llm import kernels as K
+from codonlake.llm.common import small_batches
 
 TRAIN_ROWS = 1500
 SWITCH = 4.0
@@ -184,7 +185,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 PREDICTED = [("lang_pred", pa.string()), ("score", pa.float64()), ("n_spans", pa.int64())]
 
 
-def _predict(shared, text_at: int, switch: float):
+def _predict(shared, text_at: int, switch: float, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = shared.value
         for b in batches:
@@ -207,18 +208,18 @@ def _predict(shared, text_at: int, switch: float):
                         langs[i], scores[i] = model.languages[best], held[best] / held.sum()
                         spans[i] = 1 + np.count_nonzero(np.diff(path[a:z]))
                 own = [pa.array(langs, pa.string()), pa.array(scores), pa.array(spans)]
-                rest = [i for i in range(b.num_columns) if i != text_at]
+                rest = [i for i in range(b.num_columns) if keep_text or i != text_at]
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in rest), *own], names=[*(b.schema.names[i] for i in rest), *(n for n, _ in PREDICTED)])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
-    """The columns of docs but the text, and lang_pred, score (share of letters' bytes on its spans), n_spans."""
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", switch: float = SWITCH, keep_text: bool = False) -> DataFrame:
+    """The columns of docs (the text only with keep_text), and lang_pred, score (share of letters' bytes on its spans), n_spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats a language
-    others = [f for f in docs.schema.fields if f.name != text_col]
+    others = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["lang_pred string, score double, n_spans long"])
-    return docs.mapInArrow(_predict(shared, docs.columns.index(text_col), switch), ddl)
+    return small_batches(docs).mapInArrow(_predict(shared, docs.columns.index(text_col), switch, keep_text), ddl)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -230,8 +231,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with lang replaced by the prediction, without the texts in which no language is found; columns as they were."""
     model = train(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names).withColumn("_text", F.col(names[docs.columns.index(text_col)]))
-    found = predict(plain, model, "_text").filter("lang_pred <> 'und'")
+    found = predict(docs.toDF(*names), model, names[docs.columns.index(text_col)], keep_text=True).filter("lang_pred <> 'und'")
     return found.select([F.col("lang_pred" if c == lang_col else n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 

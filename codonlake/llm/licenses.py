@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonlake.llm import kernels as K
+from codonlake.llm.common import small_batches
 from codonlake.llm.decontaminate import hashed, split
 
 #: Phrases and labels.
@@ -170,7 +171,7 @@ def order_of(order: Ordered) -> list[list[int]]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks) of every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_scanned(ordered(rows, "text", templates, threshold)), f"id {kind}, {FOUND}").withColumnRenamed("id", "doc_id")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonlake.llm import kernels as K
-from codonlake.llm.common import skew_lookup, written
+from codonlake.llm.common import skew_lookup, small_batches, written
 from codonlake.llm.components import components
 
 K_WORDS = 5
@@ -227,9 +227,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int, numerator: int, denomi
 
 def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K_WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every row of docs."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     signed = written(rows.mapInArrow(_sign(k), SIGNED_DDL), "signatures")
     total = signed.count()
     classes = written(

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonlake.llm import kernels as K
-from codonlake.llm.common import written
+from codonlake.llm.common import small_batches, written
 
 LENGTH = 100
 GRAM = 16
@@ -282,9 +282,7 @@ def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM, most_contexts: int = MOST_CONTEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, marks) of every row."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if not rows.groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty():
         ordered = rows.orderBy(F.col("id").asc_nulls_first(), "text").withColumn("row", F.monotonically_increasing_id())
         numbered = written(ordered, "numbered")  # ids that say the order of rows that share one
