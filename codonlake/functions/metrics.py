@@ -23,7 +23,7 @@ def centred(rows: DataFrame, keys: list[str], x: str, y: str, prefix: str) -> Da
     )
 
 
-def ranked(rows: DataFrame, keys: list[str], ranges: int = 256) -> DataFrame:
+def ranked(rows: DataFrame, keys: list[str], ranges: int = 32) -> DataFrame:
     """rows with average ranks ry and rp of y and y_hat within each group.
 
     A group is not sorted in one task: values are dealt into `ranges` quantile ranges, counted by range, and ranked
