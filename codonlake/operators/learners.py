@@ -49,12 +49,12 @@ class Tree:
             at[open_] = np.where(goes, left[at[open_]], right[at[open_]])
 
 
-def grow(codes, cuts, grad, rows, features, gains, *, leaves: int, depth: int, least: int, ridge: float, pick=None) -> tuple[Tree, list[tuple[int, np.ndarray]]]:
+def grow(codes, cuts, grad, rows, features, gains, *, leaves: int, depth: int, least: int, ridge: float) -> tuple[Tree, list[tuple[int, np.ndarray]]]:
     """A tree for squared error with residuals `grad`, best leaf first; adds each split's gain to `gains`."""
     tree = Tree()
 
     def split_of(part: np.ndarray):
-        cols = features if pick is None else pick(features)
+        cols = features
         own, g = codes[part][:, cols], grad[part]
         width = BINS + 1
         flat = (own.astype(np.int64) + np.arange(len(cols)) * width).ravel()
@@ -90,6 +90,51 @@ def grow(codes, cuts, grad, rows, features, gains, *, leaves: int, depth: int, l
     return tree, done + [(o[1], o[2]) for o in open_]
 
 
+def grow_levels(codes, cuts, y, rows, gains, *, k: int, depth: int, rng) -> Tree:
+    """A tree with any number of leaves, a level at a time; each node takes the best split of `k` random features."""
+    tree, width, p = Tree(), BINS + 1, codes.shape[1]
+    node = np.array([tree.add(float(y[rows].mean()))])
+    own = np.zeros(len(rows), np.int64)  # place of the row's node among the open ones
+    for _ in range(depth):
+        m = len(node)
+        n = np.bincount(own, minlength=m)
+        first = np.cumsum(n) - n
+        off = y[rows] - (np.bincount(own, y[rows], m) / n)[own]
+        picked = np.argsort(rng.random((m, p)), 1)[:, :k]
+        gain, feature, code = np.zeros(m), np.zeros(m, np.int64), np.zeros(m, np.int64)
+        for s in range(k):
+            key = own * width + codes[rows, picked[own, s]]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            last = np.flatnonzero(np.append(key[1:] != key[:-1], True))
+            who = key[last] // width
+            sums = np.concatenate([[0.0], np.cumsum(off[order])])
+            left = last + 1 - first[who]
+            right = n[who] - left
+            part = sums[last + 1] - sums[first[who]]
+            value = np.where(right > 0, part**2 * (1 / left + 1 / np.maximum(right, 1)), -1.0)
+            top = np.maximum.reduceat(value, np.flatnonzero(np.append(True, who[1:] != who[:-1])))
+            at = np.flatnonzero(value == top[who])
+            at = at[np.unique(who[at], return_index=True)[1]]  # the lowest cut of equal ones
+            better = top > gain
+            gain[better], feature[better], code[better] = top[better], picked[better, s], key[last[at]][better] % width
+        split = gain > 1e-12
+        if not split.any():
+            break
+        np.add.at(gains, feature[split], gain[split])
+        keep = split[own]
+        rows, own = rows[keep], own[keep]
+        goes = codes[rows, feature[own]] <= code[own]
+        own = 2 * (np.cumsum(split) - 1)[own] + ~goes
+        base, made = len(tree.value), 2 * int(split.sum())
+        for i, (at, j, b) in enumerate(zip(node[split].tolist(), feature[split].tolist(), code[split].tolist(), strict=True)):
+            tree.feature[at], tree.cut[at], tree.left[at], tree.right[at] = j, float(cuts[j][b]), base + 2 * i, base + 2 * i + 1
+        for v in (np.bincount(own, y[rows], made) / np.bincount(own, minlength=made)).tolist():
+            tree.add(v)
+        node = np.arange(base, base + made)
+    return tree
+
+
 class Boosted:
     """Gradient boosting for squared error."""
 
@@ -128,7 +173,7 @@ class Boosted:
 class Forest:
     """Bootstrapped trees, a random root-sized set of features at each split, importances as shares of all gains."""
 
-    def __init__(self, trees: int = 300, depth: int = 64, seed: int = 42) -> None:
+    def __init__(self, trees: int = 300, depth: int = 1 << 20, seed: int = 42) -> None:
         self.n, self.depth, self.seed = trees, depth, seed
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Forest:
@@ -139,7 +184,7 @@ class Forest:
         for _ in range(self.n):
             rows = np.sort(rng.integers(0, len(y), len(y)))
             own = np.zeros(x.shape[1])
-            tree, _ = grow(codes, cuts, y, rows, np.arange(x.shape[1]), own, leaves=len(y) + 1, depth=self.depth, least=1, ridge=0.0, pick=lambda c: rng.choice(c, k, replace=False))
+            tree = grow_levels(codes, cuts, y, rows, own, k=k, depth=self.depth, rng=rng)
             total += own / max(own.sum(), 1e-300)
             self.trees.append(tree)
         self.importance = total / max(total.sum(), 1e-300)

@@ -277,8 +277,8 @@ def _oof(models: list[str], spec: str, scale: float):
 
 
 for _name, _models, _spec, _scale in (
-    ("q_lasso", ["Lasso"], "A5", 1.0), ("q_elasticnet", ["ElasticNet"], "A5", 1.0), ("q_random_forest", ["RandomForest"], "A1", 0.05), ("q_gbt_leafwise", ["LightGBM"], "A1", 0.02),
-    ("q_gbt_depthwise", ["XGBoost"], "A1", 0.05), ("q_svr_rbf", ["SVR"], "A1", 1.0), ("q_linear_svr", ["LinearSVM"], "A1", 1.0), ("q_oof", ["Lasso", "LinearSVM"], "C1", 1.0),
+    ("q_lasso", ["Lasso"], "A5", 1.0), ("q_elasticnet", ["ElasticNet"], "A5", 1.0), ("q_random_forest", ["RandomForest"], "A1", 1.0), ("q_gbt_leafwise", ["LightGBM"], "A1", 1.0),
+    ("q_gbt_depthwise", ["XGBoost"], "A1", 1.0), ("q_svr_rbf", ["SVR"], "A1", 1.0), ("q_linear_svr", ["LinearSVM"], "A1", 1.0), ("q_oof", ["Lasso", "LinearSVM"], "C1", 1.0),
 ):
     register(_name)(_oof(_models, _spec, _scale))
 
@@ -287,7 +287,7 @@ for _name, _models, _spec, _scale in (
 def _importances(spark, sf):
     from codonlake.operators.validation import importances
 
-    return importances(*_model_rows(spark, sf, "C1"), ["Lasso", "LinearSVM", "RandomForest"], 0.05)
+    return importances(*_model_rows(spark, sf, "C1"), ["Lasso", "LinearSVM", "RandomForest"], 1.0)
 
 
 @register("q_permutation_importance")

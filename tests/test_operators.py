@@ -130,3 +130,22 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q.awaitTermination(120)
     batch = features.matrix(spark.read.parquet(str(tmp_path / "in")), groups=["gc"])
     assert spark.read.parquet(str(tmp_path / "out")).exceptAll(batch).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["q_random_forest", "q_gbt_leafwise", "q_gbt_depthwise", "q_importances"])
+def test_registered_trees_have_full_size(spark, sf, monkeypatch, name):
+    from codonlake.plans import catalog
+
+    seen = []
+    for f in ("out_of_fold", "importances"):
+        monkeypatch.setattr(validation, f, lambda rows, names, models, scale=1.0: seen.append(scale))
+    catalog.QUERIES[name](spark, sf)
+    assert seen == [1.0]
+
+
+def test_forest_grows_until_leaves_are_pure():
+    x = np.random.default_rng(2).permutation(60).astype(float)[:, None]
+    y = np.sin(x[:, 0])
+    codes, cuts = learners.binned(x)
+    tree = learners.grow_levels(codes, cuts, y, np.arange(60), np.zeros(1), k=1, depth=1 << 20, rng=np.random.default_rng(0))
+    assert np.allclose(tree.predict(x), y) and len(tree.value) == 119
