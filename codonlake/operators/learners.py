@@ -7,6 +7,7 @@ for bit. Everything is deterministic for a seed.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -210,6 +211,9 @@ class Scaled:
 class KernelSVR(Scaled):
     """Epsilon regression with a radial kernel; pairs of the largest violation are optimised in turn (SMO)."""
 
+    #: Bytes of kernel rows that are kept; others are computed when they are needed.
+    KERNEL_BYTES = 256 << 20
+
     def __init__(self, c: float = 1.0, epsilon: float = 0.1, tolerance: float = 1e-3, most: int = 100_000) -> None:
         self.c, self.epsilon, self.tolerance, self.most = c, epsilon, tolerance, most
 
@@ -221,7 +225,7 @@ class KernelSVR(Scaled):
         n, c = len(y), self.c
         spread = x.var()
         self.gamma = 1.0 / (x.shape[1] * spread) if spread > 0 else 1.0
-        k = self._kernel(x, x)
+        row = lru_cache(max(2, self.KERNEL_BYTES // (8 * n)))(lambda p: self._kernel(x[p : p + 1], x)[0])
         sign = np.concatenate([np.ones(n), -np.ones(n)])
         a = np.zeros(2 * n)
         g = np.concatenate([self.epsilon - y, self.epsilon + y])  # gradient of the dual
@@ -234,22 +238,26 @@ class KernelSVR(Scaled):
             if v[i] - v[j] < self.tolerance:
                 break
             p, q = i % n, j % n
-            curve = max(k[p, p] + k[q, q] - 2 * k[p, q], 1e-12)
+            kp, kq = row(p), row(q)
+            curve = max(kp[p] + kq[q] - 2 * kp[q], 1e-12)
             step = (v[i] - v[j]) / curve
             step = min(step, c - a[i] if sign[i] > 0 else a[i], a[j] if sign[j] > 0 else c - a[j])
             a[i] += sign[i] * step
             a[j] -= sign[j] * step
-            delta = step * (k[p] - k[q])
+            delta = step * (kp - kq)
             g += sign * np.concatenate([delta, delta])
         v = -sign * g
         free = (a > 1e-12) & (a < c - 1e-12)
         up = ((a < c) & (sign > 0)) | ((a > 0) & (sign < 0))
         low = ((a < c) & (sign < 0)) | ((a > 0) & (sign > 0))
         self.bias = float(v[free].mean()) if free.any() else float((v[up].max() + v[low].min()) / 2)
-        self.beta, self.x = a[:n] - a[n:], x
+        beta = a[:n] - a[n:]
+        self.beta, self.x = beta[beta != 0], x[beta != 0]
 
     def _predict(self, x: np.ndarray) -> np.ndarray:
-        return self._kernel(x, self.x) @ self.beta + self.bias
+        step = max(1, self.KERNEL_BYTES // (8 * max(1, len(self.x))))
+        parts = [self._kernel(x[at : at + step], self.x) @ self.beta for at in range(0, len(x), step)]
+        return np.concatenate(parts) + self.bias if parts else np.zeros(0)
 
 
 class LinearSVR(Scaled):

@@ -1,8 +1,8 @@
 """Cross-validation on folds that the rows bring along: out-of-fold predictions, refits and importances.
 
 Lasso and ElasticNet come from sufficient statistics, at any number of rows. The other
-models train on all rows of a split in one task each, fanned out over (model, fold), with the rows sent by broadcast;
-that is checked against BROADCAST_BYTES, and beyond it trees are trained by the distributed library instead.
+models train on all rows of a split in one task each, fanned out over (model, fold), by the same code at every size. The
+rows are sent by broadcast up to BROADCAST_BYTES and by a shuffle beyond; a task must hold them all.
 """
 
 from __future__ import annotations
@@ -47,33 +47,21 @@ def _linear(rows: DataFrame, names: list[str], models: list[str]) -> tuple[list[
     return out, refit
 
 
-def _library(rows: DataFrame, names: list[str], model: str, folds: list[int], scale: float) -> DataFrame:
-    """Distributed trees for data beyond the broadcast bound."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    n = max(2, int((1000 if model == "LightGBM" else 300) * scale))
-    tree = {
-        "RandomForest": lambda: RandomForestRegressor(labelCol="te", numTrees=n, featureSubsetStrategy="sqrt", seed=42, maxDepth=20),
-        "LightGBM": lambda: GBTRegressor(labelCol="te", maxIter=n, stepSize=0.05, maxDepth=6, minInstancesPerNode=20, seed=42),
-        "XGBoost": lambda: GBTRegressor(labelCol="te", maxIter=n, stepSize=0.05, maxDepth=6, subsamplingRate=0.8, seed=42),
-    }
-    if model not in tree:
-        raise ValueError(f"{model} trains on at most {BROADCAST_BYTES} bytes of features")
-    parts = []
-    for f in folds:
-        fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), tree[model]()]).fit(rows.filter(F.col("fold") != f))
-        parts.append(fitted.transform(rows.filter(F.col("fold") == f)).select(F.lit(model).alias("model"), "fold", F.col("gene_id").alias("id"), F.col("te").alias("y"), F.col("prediction").alias("y_hat")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _fanned(rows: DataFrame, names: list[str], keys: list[tuple], key_schema: str, work, schema: str) -> DataFrame:
+    """`work(key, rows)` for each key, with all rows in order of gene_id; they travel by broadcast, or by shuffle beyond the bound."""
+    spark = rows.sparkSession
+    key_names = [k.split()[0] for k in key_schema.split(", ")]
+    tasks = spark.createDataFrame(keys, key_schema)
+    if rows.count() * (len(names) + 3) * 8 <= BROADCAST_BYTES:
+        shared = spark.sparkContext.broadcast(rows.orderBy("gene_id").toPandas())
+        return tasks.repartition(len(keys), *key_names).groupBy(*key_names).applyInPandas(lambda key, _: work(key, shared.value), schema)
+    named = tasks.select(*[F.col(k).alias(f"_{k}") for k in key_names])
+    sent = rows.crossJoin(F.broadcast(named))  # a few keys
+    return sent.groupBy(*[f"_{k}" for k in key_names]).applyInPandas(lambda key, own: work(key, own.sort_values("gene_id", kind="stable", ignore_index=True)), schema)
 
 
 def out_of_fold(rows: DataFrame, names: list[str], models: list[str], scale: float = 1.0) -> DataFrame:
     """(model, fold, id, y, y_hat): each row predicted by a model that was trained on the other folds."""
-    spark = rows.sparkSession
     rows = _checked(rows.select("gene_id", "fold", "te", *names), names)
     unknown = [m for m in models if m not in MODELS]
     if unknown:
@@ -82,22 +70,16 @@ def out_of_fold(rows: DataFrame, names: list[str], models: list[str], scale: flo
     heavy = [m for m in models if m not in linear.PENALTIES]
     if heavy:
         folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
-        if rows.count() * (len(names) + 3) * 8 > BROADCAST_BYTES:
-            parts += [_library(rows, names, m, folds, scale) for m in heavy]
-        else:
-            shared = spark.sparkContext.broadcast(rows.orderBy("gene_id").toPandas())
-
-            def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
-                model, fold = key
-                data = shared.value
-                test = (data["fold"] == fold).to_numpy()
-                train = ~test if (~test).any() else test
-                x, y = data[names].to_numpy(float), data["te"].to_numpy(float)
-                fitted = learners.make(model, scale).fit(x[train], y[train])
-                return pd.DataFrame({"model": model, "fold": np.int32(fold), "id": data["gene_id"].to_numpy()[test], "y": y[test], "y_hat": fitted.predict(x[test])})
-
-            tasks = spark.createDataFrame([(m, f) for m in heavy for f in folds], "model string, fold int").repartition(len(heavy) * len(folds), "model", "fold")
-            parts.append(tasks.groupBy("model", "fold").applyInPandas(run, "model string, fold int, id long, y double, y_hat double"))
+
+        def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
+            model, fold = key
+            test = (data["fold"] == fold).to_numpy()
+            train = ~test if (~test).any() else test
+            x, y = data[names].to_numpy(float), data["te"].to_numpy(float)
+            fitted = learners.make(model, scale).fit(x[train], y[train])
+            return pd.DataFrame({"model": model, "fold": np.int32(fold), "id": data["gene_id"].to_numpy()[test], "y": y[test], "y_hat": fitted.predict(x[test])})
+
+        parts.append(_fanned(rows, names, [(m, f) for m in heavy for f in folds], "model string, fold int", run, "model string, fold int, id long, y double, y_hat double"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -116,12 +98,8 @@ def importances(rows: DataFrame, names: list[str], models: list[str], scale: flo
     out = spark.createDataFrame(table, schema)
     heavy = [m for m in models if m not in linear.PENALTIES]
     if heavy:
-        if rows.count() * (len(names) + 3) * 8 > BROADCAST_BYTES:
-            raise ValueError(f"these models train on at most {BROADCAST_BYTES} bytes of features")
-        shared = spark.sparkContext.broadcast(rows.orderBy("gene_id").toPandas())
 
-        def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
-            data = shared.value
+        def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
             x, y = data[names].to_numpy(float), data["te"].to_numpy(float)
             fitted = learners.make(key[0], scale).fit(x, y)
             signed = getattr(fitted, "coefficients", None)
@@ -130,7 +108,6 @@ def importances(rows: DataFrame, names: list[str], models: list[str], scale: flo
                 value = learners.permutation_importance(fitted, x, y, repeats)
             return pd.DataFrame({"model": key[0], "feature_idx": np.arange(len(names), dtype=np.int32), "feature": names, "importance": value, "signed_coef": signed if signed is not None else [None] * len(names)})
 
-        tasks = spark.createDataFrame([(m,) for m in heavy], "model string").repartition(len(heavy), "model")
-        out = out.unionByName(tasks.groupBy("model").applyInPandas(run, schema))
+        out = out.unionByName(_fanned(rows, names, [(m,) for m in heavy], "model string", run, schema))
     place = F.create_map(*[F.lit(x) for i, m in enumerate(MODEL_ORDER) for x in (m, i)])
     return out.withColumn("ord", place[F.col("model")]).filter(F.col("model").isin(*models)).drop("ord")

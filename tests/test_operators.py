@@ -149,3 +149,27 @@ def test_forest_grows_until_leaves_are_pure():
     codes, cuts = learners.binned(x)
     tree = learners.grow_levels(codes, cuts, y, np.arange(60), np.zeros(1), k=1, depth=1 << 20, rng=np.random.default_rng(0))
     assert np.allclose(tree.predict(x), y) and len(tree.value) == 119
+
+
+def test_models_do_not_depend_on_the_broadcast_bound(spark, monkeypatch):
+    x, y = planted(60)
+    rows = spark.createDataFrame([(i, i % 2, float(y[i]), *map(float, x[i])) for i in range(60)], "gene_id long, fold int, te double, a double, b double, c double, d double, e double")
+    heavy = ["RandomForest", "LightGBM", "XGBoost", "SVR", "LinearSVM"]
+
+    def results():
+        oof = validation.out_of_fold(rows, list("abcde"), heavy, 0.02).collect()
+        imp = validation.importances(rows, list("abcde"), heavy, 0.02, 1).collect()
+        return {tuple(r)[:3]: r["y_hat"] for r in oof} | {tuple(r)[:2]: r["importance"] for r in imp}
+
+    near = results()
+    monkeypatch.setattr(validation, "BROADCAST_BYTES", 0)
+    far = results()
+    assert len(near) == 5 * 60 + 5 * 5 and far.keys() == near.keys()
+    assert all(far[k] == pytest.approx(v, abs=1e-12) for k, v in near.items())
+
+
+def test_kernel_rows_need_no_whole_kernel(monkeypatch):
+    x, y = planted()
+    whole = learners.KernelSVR().fit(x, y).predict(x)
+    monkeypatch.setattr(learners.KernelSVR, "KERNEL_BYTES", 1)
+    assert np.allclose(learners.KernelSVR().fit(x, y).predict(x), whole)
