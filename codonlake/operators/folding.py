@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 LONGEST = 90
 LEAST_LOOP = 3
-MOST_INTERIOR = 8
+#: Unpaired bases of an interior loop or bulge, as in RNA.fold.
+MOST_INTERIOR = 30
 #: Fixed values (kcal/mol): Watson-Crick stacks 5'-XY-3' over 3'-X'Y'-5' by their upper strand (Xia et al. 1998).
 STACKS = {
     "AA": -0.93, "AU": -1.10, "UA": -1.33, "CU": -2.08, "CA": -2.11, "GU": -2.24, "GA": -2.35, "CG": -2.36, "GG": -3.26, "GC": -3.42,
@@ -56,11 +57,26 @@ def _stack_table() -> np.ndarray:
 STACK = _stack_table()
 
 
+def _loop_table() -> np.ndarray:
+    """Initiation of bulges and interior loops by the unpaired bases on both sides; stacks and bulges of one base are apart."""
+    out = np.full((MOST_INTERIOR + 1,) * 2, 1e6)
+    for left in range(MOST_INTERIOR + 1):
+        for right in range(MOST_INTERIOR + 1 - left):
+            size = left + right
+            if size > 1:
+                out[left, right] = _grown(INTERIOR, size) + min(3.0, 0.6 * abs(left - right)) if left and right else _grown(BULGE, size)
+    return out
+
+
+LOOP = _loop_table()
+
+
 def fold(codes: np.ndarray) -> np.ndarray:
     """Energies of windows (rows) of codes 0-3; 4 is any symbol that pairs with nothing."""
     rows, n = codes.shape
     high = 1e6
     pair = np.full((n + 1, n + 1, rows), high)  # i and j pair
+    ended = np.full((n + 1, n + 1, rows), high)  # the same with the cost of its end
     multi = np.full((n + 1, n + 1, rows), high)  # at least one branch in i..j
     best = np.zeros((n + 1, n + 2, rows))  # of i..j, shifted by one in j
     for span in range(LEAST_LOOP + 1, n):
@@ -71,24 +87,19 @@ def fold(codes: np.ndarray) -> np.ndarray:
             end = END[a, b]
             if can.any():
                 low = _grown(HAIRPIN, span - 1) + end
-                for k in range(i + 1, min(i + MOST_INTERIOR + 2, j - LEAST_LOOP - 1)):
-                    for m in range(j - 1, max(k + LEAST_LOOP, j - MOST_INTERIOR - 2 + (k - i - 1)), -1):
-                        left, right = k - i - 1, j - m - 1
-                        if left + right > MOST_INTERIOR:
-                            break
-                        inner = pair[k, m]
-                        c, d = codes[:, k], codes[:, m]
-                        if left == 0 and right == 0:
-                            cost = STACK[a, c, d, b]
-                        elif left == 0 or right == 0:
-                            size = left + right
-                            cost = _grown(BULGE, size) + (STACK[a, c, d, b] if size == 1 else end + END[c, d])
-                        else:
-                            cost = _grown(INTERIOR, left + right) + min(3.0, 0.6 * abs(left - right)) + end + END[c, d]
-                        low = np.minimum(low, inner + cost)
+                c, d = codes[:, i + 1], codes[:, j - 1]
+                low = np.minimum(low, pair[i + 1, j - 1] + STACK[a, c, d, b])
+                for k, m in ((i + 2, j - 1), (i + 1, j - 2)):
+                    low = np.minimum(low, pair[k, m] + _grown(BULGE, 1) + STACK[a, codes[:, k], codes[:, m], b])
+                most = min(MOST_INTERIOR, span - LEAST_LOOP - 3)  # bases that an inner pair leaves over
+                for left in range(most + 1):
+                    k, far = i + left + 1, most - left  # right sides 0..far
+                    inner = ended[k, j - 1 - far : j][::-1]
+                    low = np.minimum(low, (inner + LOOP[left, : far + 1, None]).min(0) + end)
                 for k in range(i + LEAST_LOOP + 3, j - LEAST_LOOP - 1):
                     low = np.minimum(low, multi[i + 1, k - 1] + multi[k, j - 1] + BRANCHES + PER_BRANCH + end)
                 pair[i, j] = np.where(can, low, high)
+                ended[i, j] = pair[i, j] + end
             branch = pair[i, j] + PER_BRANCH + end
             branch = np.minimum(branch, np.minimum(multi[i + 1, j], multi[i, j - 1]))
             for k in range(i + LEAST_LOOP + 2, j - LEAST_LOOP):

@@ -173,3 +173,17 @@ def test_kernel_rows_need_no_whole_kernel(monkeypatch):
     whole = learners.KernelSVR().fit(x, y).predict(x)
     monkeypatch.setattr(learners.KernelSVR, "KERNEL_BYTES", 1)
     assert np.allclose(learners.KernelSVR().fit(x, y).predict(x), whole)
+
+
+def test_folding_tries_wide_loops():
+    import pandas as pd
+
+    helix, back = "GGCGC", "GCGCC"
+    hairpin = "GCGGCGAAAACGCCGC"
+    loop = lambda left, right: helix + "A" * left + hairpin + "A" * right + back
+    e = folding.energies(pd.Series([hairpin, loop(5, 5), loop(9, 9), loop(10, 0), loop(15, 15), loop(16, 16)]))
+    outer = sum(folding.STACKS[helix[i : i + 2]] for i in range(4))
+    grown = [folding._grown(folding.INTERIOR, n) for n in (10, 18, 30)]
+    assert [e[i] for i in (1, 2, 4)] == pytest.approx([round(e[0] + outer + g, 2) for g in grown])
+    assert e[3] == pytest.approx(e[0] + outer + folding._grown(folding.BULGE, 10), abs=0.006)
+    assert e[5] > e[4] + 0.2  # 32 bases are more than a loop may have
