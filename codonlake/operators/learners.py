@@ -6,8 +6,10 @@ for bit. Everything is deterministic for a seed.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 
@@ -208,13 +210,17 @@ class Scaled:
         return self._predict((x - self.mean) / self.dev)
 
 
+def _unfinished(name: str, after: str) -> None:
+    warnings.warn(f"{name} has not converged after {after}", RuntimeWarning, stacklevel=2)
+
+
 class KernelSVR(Scaled):
     """Epsilon regression with a radial kernel; pairs of the largest violation are optimised in turn (SMO)."""
 
     #: Bytes of kernel rows that are kept; others are computed when they are needed.
     KERNEL_BYTES = 256 << 20
 
-    def __init__(self, c: float = 1.0, epsilon: float = 0.1, tolerance: float = 1e-3, most: int = 100_000) -> None:
+    def __init__(self, c: float = 1.0, epsilon: float = 0.1, tolerance: float = 1e-3, most: int | None = None) -> None:
         self.c, self.epsilon, self.tolerance, self.most = c, epsilon, tolerance, most
 
     def _kernel(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -229,7 +235,7 @@ class KernelSVR(Scaled):
         sign = np.concatenate([np.ones(n), -np.ones(n)])
         a = np.zeros(2 * n)
         g = np.concatenate([self.epsilon - y, self.epsilon + y])  # gradient of the dual
-        for _ in range(self.most):
+        for done in count():
             up = ((a < c) & (sign > 0)) | ((a > 0) & (sign < 0))
             low = ((a < c) & (sign < 0)) | ((a > 0) & (sign > 0))
             v = -sign * g
@@ -237,6 +243,9 @@ class KernelSVR(Scaled):
             j = int(np.where(low, v, np.inf).argmin())
             if v[i] - v[j] < self.tolerance:
                 break
+            if done == self.most:
+                _unfinished("SVR", f"{done} steps")
+                break
             p, q = i % n, j % n
             kp, kq = row(p), row(q)
             curve = max(kp[p] + kq[q] - 2 * kp[q], 1e-12)
@@ -263,7 +272,7 @@ class KernelSVR(Scaled):
 class LinearSVR(Scaled):
     """L2-regularised epsilon regression, intercept regularised too, by dual coordinate descent (Ho and Lin 2012)."""
 
-    def __init__(self, c: float = 1.0, epsilon: float = 0.1, most: int = 1000, tolerance: float = 1e-4, seed: int = 42) -> None:
+    def __init__(self, c: float = 1.0, epsilon: float = 0.1, most: int = 10_000, tolerance: float = 1e-4, seed: int = 42) -> None:
         self.c, self.epsilon, self.most, self.tolerance, self.seed = c, epsilon, most, tolerance, seed
 
     def _fit(self, x: np.ndarray, y: np.ndarray) -> None:
@@ -283,6 +292,8 @@ class LinearSVR(Scaled):
                     beta[i] = new
             if change < self.tolerance:
                 break
+        else:
+            _unfinished("LinearSVM", f"{self.most} passes")
         self.coefficients, self.bias = w[:-1], w[-1]
 
     def _predict(self, x: np.ndarray) -> np.ndarray:

@@ -187,3 +187,11 @@ def test_folding_tries_wide_loops():
     assert [e[i] for i in (1, 2, 4)] == pytest.approx([round(e[0] + outer + g, 2) for g in grown])
     assert e[3] == pytest.approx(e[0] + outer + folding._grown(folding.BULGE, 10), abs=0.006)
     assert e[5] > e[4] + 0.2  # 32 bases are more than a loop may have
+
+
+def test_support_vectors_run_until_done_or_warn():
+    x, y = planted()
+    assert learners.LinearSVR().most == 10_000 and learners.KernelSVR().most is None
+    for model in (learners.LinearSVR(most=1), learners.KernelSVR(most=1)):
+        with pytest.warns(RuntimeWarning, match="not converged after 1 "):
+            model.fit(x, y)
