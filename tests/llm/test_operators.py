@@ -338,3 +338,16 @@ def test_skew_lookup_answers_heavy_and_light_keys(spark):
     table = rows.groupBy("k").count().selectExpr("k", "count AS n", "upper(k) AS v").filter("k <> '1'")
     got = common.skew_lookup(rows, table, "k", "n", 5000, "id").collect()
     assert len(got) == 5000 and all(r["v"] == (None if r["k"] == "1" else r["k"].upper()) for r in got)
+
+
+def test_minmax_bands_take_four_permutations():
+    import numpy as np
+
+    n = minmax_dedup.PERMUTATIONS
+    sig = np.random.default_rng(4).integers(0, 2**63, (1, 2 * n)).astype(np.uint64)
+    plain, hit = minmax_dedup.bands_of(sig), []
+    for p in range(n):
+        other = sig.copy()
+        other[:, [p, n + p]] += np.uint64(1)
+        hit.append((minmax_dedup.bands_of(other) != plain)[0])
+    assert (np.array(hit).sum(0) == minmax_dedup.BAND_ROWS).all()
