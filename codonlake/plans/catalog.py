@@ -113,7 +113,9 @@ register("q_mfe")(lambda spark, sf: features.matrix(X.transcripts(spark, sf), gr
 _ALL_SQL = f"""{_T}, {_CODON_CTE}, cu AS (SELECT t.gene_id, {_USAGE_SQL.replace(", 9)", ", 6)")} FROM t LEFT JOIN k1 USING (gene_id) LEFT JOIN k2 USING (gene_id) GROUP BY t.gene_id, k2.total)
 SELECT t.gene_id, t.fold, {_LENGTH_SQL}, {_GC_SQL}, {_kmer_sql(1, 6)}, {_kmer_sql(2, 6)}, {_kmer_sql(3, 6)}, cu.* EXCLUDE (gene_id), CAST({_hits("utr5", "ATG")} AS DOUBLE) AS "uAUG_count", {_KOZAK_SQL} AS kozak_score, round(cai, 6) AS cai, round(tai, 6) AS tai
 FROM t LEFT JOIN cu USING (gene_id) LEFT JOIN ca USING (gene_id) LEFT JOIN ta USING (gene_id)""".replace(", 9)", ", 6)")
-register("q_feature_matrix", _ALL_SQL)(lambda spark, sf: rounded(features.matrix(X.transcripts(spark, sf), groups=[g for g in features.GROUPS if g != "mfe"], keep=("gene_id", "fold"))))
+register("q_feature_matrix")(lambda spark, sf: rounded(features.matrix(X.transcripts(spark, sf), keep=("gene_id", "fold"))))
+#: The columns that SQL can express: all but mfe.
+register("q_feature_matrix_sql", _ALL_SQL)(lambda spark, sf: rounded(features.matrix(X.transcripts(spark, sf), groups=[g for g in features.GROUPS if g != "mfe"], keep=("gene_id", "fold"))))
 register("q_feature_subset", f"{_T} SELECT gene_id, {_GC_SQL}, CAST({_hits('utr5', 'ATG')} AS DOUBLE) AS \"uAUG_count\" FROM t")(_group_query(["uaug", "gc"]))
 register("q_impute0", f"{_T} SELECT gene_id, coalesce({_KOZAK_SQL}, 0) AS kozak_score, " + ", ".join(f"coalesce(round(len(regexp_extract_all({r}, '[GC]')) / nullif(length({r}), 0), 9), 0) AS gc_{n}" for n, r in (("utr5", "utr5"), ("cds", "cds"), ("utr3", "utr3"), ("full", "tx"))) + " FROM t")(
     lambda spark, sf: rounded(ablation.imputed(features.matrix(X.transcripts(spark, sf), groups=["gc", "kozak"]), ["kozak_score", "gc_utr5", "gc_cds", "gc_utr3", "gc_full"]), 9)

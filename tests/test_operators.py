@@ -195,3 +195,13 @@ def test_support_vectors_run_until_done_or_warn():
     for model in (learners.LinearSVR(most=1), learners.KernelSVR(most=1)):
         with pytest.warns(RuntimeWarning, match="not converged after 1 "):
             model.fit(x, y)
+
+
+def test_registered_matrix_has_all_columns(spark, sf):
+    from codonlake.functions import features
+    from codonlake.plans import catalog
+
+    whole, compared = (catalog.QUERIES[q](spark, sf).columns for q in ("q_feature_matrix", "q_feature_matrix_sql"))
+    mfe = features.matrix(X.transcripts(spark, sf), groups=["mfe"]).columns
+    assert len(whole) == 2 + 326 and set(whole) - set(compared) == set(mfe) - {"gene_id"}
+    assert "q_feature_matrix_sql" in catalog.ORACLES
