@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings with run-compressed positional Burrows-Wheeler indexes.
+"""Removal of long repeated byte strings with positional Burrows-Wheeler transforms.
 
 A byte goes when it is covered by a string of `length` bytes that also starts earlier (smaller id, or the same document
 further left). One index of the whole corpus would be one task, so the corpus is cut into neighbourhoods that can be
@@ -7,11 +7,11 @@ indexed apart and still hold every such pair of strings:
 1. Anchors. The hashes of GRAM-byte strings are winnowed so that every string of `length` bytes holds an anchor, at the
    same place in each of its occurrences. An anchor's context is all that a string of `length` bytes around it can reach.
 2. Contexts meet by the hash of their anchor. Anchors that stand once are done. Of equal contexts of an anchor only the
-   first is indexed; the others repeat it whole. (This is what makes copies of documents cheap, in any number.)
+   first is indexed; the others repeat it whole; 64-bit hashes of anchor and context tell, bytes are not compared. (This is what makes copies of documents cheap, in any number.)
 3. The different contexts of an anchor are lined up at it and indexed by a positional Burrows-Wheeler transform: at
-   each column the contexts are ordered by what they read backwards from there. A column's symbols in that order are
-   run-compressed: inside a run every context keeps its predecessor, so its matching statistic, the length that it
-   shares with the predecessor, streams on by one; only where a run begins (the sampled ends) is it found anew by
+   each column the contexts are ordered by what they read backwards from there. The transform is dense (no runs or
+   samples are stored), but inside a run of a column's symbols every context keeps its predecessor, so its matching statistic, the length that it
+   shares with the predecessor, streams on by one; only where a run begins is it found anew by
    comparing the two texts. Contexts that share at least `length` symbols up to a column stand next to each other and
    hold one string; all but the earliest are marked. One block holds many anchors.
 4. An anchor with more than `most_contexts` different contexts does not fit a block. Its strings of `length` bytes
@@ -115,7 +115,7 @@ def _contexts(length: int, k: int):
 
 
 class RunIndex:
-    """Run-compressed positional transform of groups of strings that are lined up in columns.
+    """Dense positional transform of groups of strings that are lined up in columns.
 
     symbols: (strings, columns), 0 where a string has no symbol; group: of each string, ascending. `step` moves on by one
     column; then `order` has the strings by group and by what they read backwards from there, and `common` has, for each
