@@ -20,20 +20,30 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)
 
 
-#: Rows of an Arrow batch: whole texts go through, and a batch of them is what a Python worker holds at a time.
-ARROW_ROWS = 2000
+#: Bytes and rows of an Arrow batch: whole texts go through, and a batch of them is what a Python worker holds at a time.
+ARROW_BYTES = 4 << 20
+ARROW_ROWS = 10_000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, after the session has been told to send Python workers at most ARROW_ROWS rows at a time."""
+    """df, after the session has been told how much to send a Python worker at a time.
+
+    The setting is read when tasks are planned, so it stays with the session; a single longer text is a batch of its own.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return df
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only in local mode.
+
+    On a cluster a temporary folder would be another one on each machine, so there the setting must be there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -53,19 +63,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns renamed to c0, c1, ..., and the new name of each: no name of theirs can clash with an operator's."""
+    places = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*places.values()), places
+
+
 def skew_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, deal: str) -> DataFrame:
     """Left join of rows with table (one row a key, holding in `weight` how many of `rows` have the key).
 
     Keys with more than 1/HEAVY of `total` rows are fewer than HEAVY, so they are broadcast whatever the input's
     size; every other key is joined by a shuffle where no key holds more than 1/HEAVY of the rows. Rows that the
-    broadcast has answered are dealt out by the hash of column `deal` in that shuffle.
+    broadcast has answered are dealt out by the hash of column `deal` in that shuffle. Rows may have any column names.
     """
+    plain, own = by_place(rows)
     heavy = F.col(weight) * HEAVY > F.lit(total)
     values = [c for c in table.columns if c not in (key, weight)]
-    hot = table.filter(heavy).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in values], F.lit(True).alias("_hit"))
-    cold = table.filter(~heavy).select(F.col(key).alias("_ck"), F.lit(0).alias("_cs"), *[F.col(c).alias(f"_c_{c}") for c in values])
-    first = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn(
-        "_salt", F.when(F.col("_hit"), F.pmod(F.xxhash64(deal), F.lit(1_000_003)).cast("int") + 1).otherwise(F.lit(0))
+    hot = table.filter(heavy).select(F.col(key).alias("hot_key"), *[F.col(c).alias(f"hot_{i}") for i, c in enumerate(values)], F.lit(True).alias("hit"))
+    cold = table.filter(~heavy).select(F.col(key).alias("cold_key"), F.lit(0).alias("cold_salt"), *[F.col(c).alias(f"cold_{i}") for i, c in enumerate(values)])
+    first = plain.join(F.broadcast(hot), F.col(own[key]) == F.col("hot_key"), "left").withColumn(
+        "salt", F.when(F.col("hit"), F.pmod(F.xxhash64(own[deal]), F.lit(1_000_003)).cast("int") + 1).otherwise(F.lit(0))
     )
-    both = first.join(cold, (F.col(key) == F.col("_ck")) & (F.col("_salt") == F.col("_cs")), "left")
-    return both.select(*rows.columns, *[F.when(F.col("_hit"), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in values])
+    both = first.join(cold, (F.col(own[key]) == F.col("cold_key")) & (F.col("salt") == F.col("cold_salt")), "left")
+    return both.select(*[F.col(own[c]).alias(c) for c in rows.columns], *[F.when(F.col("hit"), F.col(f"hot_{i}")).otherwise(F.col(f"cold_{i}")).alias(c) for i, c in enumerate(values)])

@@ -1,15 +1,16 @@
 """Exact dedup by Grace hashing: records are partitioned by hash until a bucket fits an open-addressing table.
 
-First level: Spark's shuffle by the hash of the normalised text, after each Arrow batch has been collapsed to its
-distinct texts, so that a text held by a third of all rows reaches its bucket once a batch and not once a row.
+First level: Spark's shuffle by the hash of the normalised text, after each task has collapsed its rows to their
+distinct texts (in tables of at most `memory_bytes`), so that a text held by a third of all rows reaches its bucket about
+once a task and not once a row.
 Further levels: a bucket whose texts exceed `memory_bytes` is split by other bits of the hash into unnamed spill files,
 again and again, until each part fits. Those files belong to the running task alone (they have no name and go with
 the task's process, and a task that is run anew writes its own), as Spark's own spill files do.
 The table compares complete contents: two texts with equal hashes stay two classes.
 
 Defined results: null text counts as empty; empty texts are equal to each other; doc_id null is smaller than any other;
-an empty table gives an empty result; columns other than those named are ignored by `classes` and kept by `dedup`.
-Rows that repeat both doc_id and text are members of one class; `dedup` keeps one row of them.
+an empty table gives an empty result; columns other than those named are ignored by `classes` and kept by `dedup`,
+whatever their names; `label` leaves out those that bear a name of its result. Rows that repeat both doc_id and text are members of one class; `dedup` keeps one row of them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codonlake.llm.common import ascii_lower, skew_lookup, small_batches, written
+from codonlake.llm.common import ascii_lower, by_place, skew_lookup, small_batches, written
 
 MEMORY_BYTES = 48 << 20
 FANOUT_BITS = 3
@@ -104,13 +105,30 @@ def grace(records: Iterator[tuple[int, bytes, int, int, int]], memory_bytes: int
 LOCAL = pa.schema([("h", pa.int64()), ("content", pa.binary()), ("largest", pa.int64()), ("rows", pa.int64()), ("ties", pa.int64())])
 
 
-def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's distinct contents."""
-    for b in batches:
+def _collapse(memory_bytes: int):
+    """A task's distinct contents, in tables of at most memory_bytes."""
+
+    def emitted(table: OpenTable) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for e in table.entries:
+            held.append(e)
+            size += len(e[1])
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in held], LOCAL.field(i).type) for i in range(5)], schema=LOCAL)
+                held, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in held], LOCAL.field(i).type) for i in range(5)], schema=LOCAL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = OpenTable()
-        for h, content, doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            table.add(h, content, LEAST if doc is None else doc, 1, 1)
-        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in table.entries], LOCAL.field(i).type) for i in range(5)], schema=LOCAL)
+        for b in batches:
+            for h, content, doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                table.add(h, content, LEAST if doc is None else doc, 1, 1)
+            if table.bytes > memory_bytes:
+                yield from emitted(table)
+                table = OpenTable()
+        yield from emitted(table)
+
+    return run
 
 
 CLASSES = pa.schema([("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("ties", pa.int64())])
@@ -137,39 +155,51 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mem
     """One row for each distinct normalised text: text_sha256, keep_id (largest id), group_size, ties (rows with that id)."""
     text = ascii_lower(F.col(text_col)).cast("binary")
     rows = small_batches(docs).select(F.xxhash64(text).alias("h"), text.alias("content"), F.col(id_col).cast("long").alias("id"))
-    local = rows.mapInArrow(_collapse, "h long, content binary, largest long, rows long, ties long")
+    local = rows.mapInArrow(_collapse(memory_bytes), "h long, content binary, largest long, rows long, ties long")
     return local.repartition("h").mapInArrow(_bucket(memory_bytes), "text_sha256 string, keep_id long, group_size long, ties long")
 
 
-def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = MEMORY_BYTES) -> DataFrame:
-    """All columns of docs and those of its class, prefixed with an underscore: _sha, _keep_id, _group_size, _ties, _kept.
+RESULT = ("keep_id", "group_size", "kept", "text_sha256", "ties")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, memory_bytes: int) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns by place and RESULT beside them, and the columns' places.
 
     Only classes of two or more rows are joined back, heavy ones by a broadcast of bounded size; a class of one row is
     its own answer.
     """
     found = classes(docs, id_col, text_col, memory_bytes)
-    several = written(found.filter("group_size > 1"), "exact-classes").withColumn("_members", F.col("group_size"))
+    several = written(found.filter("group_size > 1"), "exact-classes").withColumn("members", F.col("group_size"))
     total = docs.count()
-    rows = docs.withColumn("_sha", F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256))
-    table = several.select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"), F.col("ties").alias("_ties"), "_members")
-    out = skew_lookup(rows, table, "_sha", "_members", total, id_col)
-    own = F.col(id_col).cast("long")
-    out = out.withColumn("_keep_id", F.when(F.col("_size").isNull(), own).otherwise(F.col("_keep"))).withColumn("_group_size", F.coalesce(F.col("_size"), F.lit(1).cast("long")))
-    return out.drop("_keep", "_size").withColumn("_ties", F.coalesce(F.col("_ties"), F.lit(1).cast("long"))).withColumn("_kept", own.eqNullSafe(F.col("_keep_id")))
+    plain, place = by_place(docs)
+    rows = plain.withColumn("text_sha256", F.sha2(ascii_lower(F.col(place[text_col])).cast("binary"), 256))
+    table = several.select("text_sha256", F.col("keep_id").alias("largest"), F.col("group_size").alias("held"), F.col("ties").alias("tied"), "members")
+    out = skew_lookup(rows, table, "text_sha256", "members", total, place[id_col])
+    own, one = F.col(place[id_col]).cast("long"), F.lit(1).cast("long")
+    out = out.withColumn("keep_id", F.when(F.col("held").isNull(), own).otherwise(F.col("largest")))
+    out = out.withColumn("group_size", F.coalesce("held", one)).withColumn("ties", F.coalesce("tied", one)).withColumn("kept", own.eqNullSafe(F.col("keep_id")))
+    return out.select(*place.values(), *RESULT), place
+
+
+def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = MEMORY_BYTES) -> DataFrame:
+    """docs with keep_id, group_size, kept, text_sha256 and ties (rows of the class with the id that stays)."""
+    out, place = _classed(docs, id_col, text_col, memory_bytes)
+    return out.select(*[F.col(p).alias(c) for c, p in place.items() if c not in RESULT], *RESULT)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = MEMORY_BYTES) -> DataFrame:
     """docs without the rows whose text another row with a larger id has; columns as they were."""
-    kept = label(docs, id_col, text_col).filter("_kept")
-    if kept.filter("_ties > 1").isEmpty():
-        return kept.select(*docs.columns)
-    tied = kept.filter("_ties > 1").dropDuplicates([id_col, "_sha"])
-    return kept.filter("_ties = 1").unionByName(tied).select(*docs.columns)
+    out, place = _classed(docs, id_col, text_col, memory_bytes)
+    kept = out.filter("kept")
+    tied = kept.filter("ties > 1")
+    if not tied.isEmpty():
+        kept = kept.filter("ties = 1").unionByName(tied.dropDuplicates([place[id_col], "text_sha256"]))
+    return kept.select(*[F.col(p).alias(c) for c, p in place.items()])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return label(docs).select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"))
+    return label(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = """

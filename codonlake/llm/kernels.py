@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,8 +92,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each span's bytes, for spans of up to a few hundred bytes; spans may overlap.
+
+    Modulo 2**64 some texts of 1024 bytes and more over two letters collide whatever the base; words have their own hash.
+    """
     if not len(starts):
         return np.zeros(0, U)
     with np.errstate(over="ignore"):
@@ -103,6 +107,32 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+#: Bytes up to which a word is hashed eight bytes a step; longer ones by a digest.
+LONG_WORD = 64
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=object).astype(U)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same wherever the word stands: eight bytes a step, mixed after each."""
+    if not len(starts):
+        return np.zeros(0, U)
+    sizes = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    out = mix(sizes.astype(U) ^ BASE)
+    left, at, rest = np.flatnonzero(sizes <= LONG_WORD), starts, sizes
+    if len(left) < len(sizes):
+        at, rest = at[left], rest[left]
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    with np.errstate(over="ignore"):
+        while len(left):
+            out[left] = mix(out[left] * U(0xD6E8FEB86659FD93) ^ (eight[at] & _FIRST_BYTES[np.minimum(rest, 8)]))
+            more = rest > 8
+            left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    return out
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each k consecutive word hashes; documents' bounds are the caller's care."""
     n = len(hashes) - k + 1
@@ -138,7 +168,3 @@ def winnow(h: np.ndarray, w: int) -> np.ndarray:
     high = np.iinfo(h.dtype).max
     best = high - sliding_min(high - padded, w)  # the largest of the minima of the windows that hold the position
     return np.flatnonzero(best == h)
-
-
-def batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, schema.field(i).type) for i, x in enumerate(columns.values())], schema=schema)

@@ -4,7 +4,8 @@ Every permutation of the shingle hashes gives two signature values, its minimum
 give 128 values; both collide with probability equal to the Jaccard similarity. The values are banded, documents that
 share a band are candidates, and every candidate link is confirmed on the two complete shingle sets.
 
-Shape of the work: documents with the same shingle set are one node. In each bucket (documents that share a band) every
+Shape of the work: documents with the same sequence of words are one node, told by a digest of its bytes; equal sets of
+different sequences are linked like other near copies. In each bucket (documents that share a band) every
 node is compared with one node, the one that shares most bands with others. That links groups of near copies with
 comparisons in proportion to their size. In buckets that still hold several components, the nodes outside the largest
 one are queries against the others, in blocks of bounded size, by size and signature first; so no link between different
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonlake.llm import kernels as K
-from codonlake.llm.common import skew_lookup, small_batches, written
+from codonlake.llm.common import by_place, skew_lookup, small_batches, written
 from codonlake.llm.components import components
 
 K_WORDS = 5
@@ -103,8 +104,10 @@ def _sign(k: int):
                 sigs: list = [None] * (hi - lo)
                 counts = np.zeros(hi - lo, np.int32)
                 counts[full] = band.shape[1]
+                lowered = K.LOWERED[data]
                 for i, row in enumerate(full.tolist()):
-                    nodes[row] = hashlib.blake2b(sets[bounds[row] : bounds[row + 1]].tobytes(), digest_size=16).digest()
+                    sequence = b" ".join(lowered[offsets[row] : offsets[row + 1]].tobytes().split())
+                    nodes[row] = hashlib.blake2b(sequence, digest_size=16).digest()
                     sigs[row] = small[i].tobytes()
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(band.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(nodes, pa.binary()), pa.array(sizes.astype(np.int64)), lists, pa.array(sigs, pa.binary())], schema=SIGNED)
@@ -283,18 +286,19 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
         roots = written(components(links.union(more)), "roots")
     # each class's component: the smallest id among all its classes
     placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
     table = placed.filter("members > 1").select("node", "members", "root").unionByName(placed.filter("members = 1").join(roots.select("node"), "node", "left_semi").select("node", "members", "root"))
-    table = table.join(lowest, "root").select("node", "members", "component_id")
+    table = skew_lookup(table, lowest, "root", "nodes", total, "node").select("node", "members", "component_id")
     out = skew_lookup(signed.select("doc_id", "text_hash", "node", "n_shingles"), table, "node", "members", total, "doc_id")
     return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id; columns as they were."""
-    gone = label(docs, id_col, text_col).filter("NOT (doc_id <=> component_id)").select("doc_id", "text_hash").distinct()
-    named = gone.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
-    return docs.join(named, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_t")), "left_anti")
+    gone = label(docs, id_col, text_col).filter("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct()
+    plain, place = by_place(docs)
+    same = F.col(place[id_col]).cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(place[text_col]) == F.col("gone_text"))
+    return plain.join(gone, same, "left_anti").toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def _anchored(length: int, k: int):
                 ids = b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 doc, at, h, first, last = anchors(data, offsets, length, k)
                 with np.errstate(over="ignore"):  # equal contexts have their anchor at the same place in them
-                    own = K.mix(K.word_hashes(data, first, last) + (at + offsets[doc] - first).astype(K.U) * K.BASE)
+                    own = K.mix(K.span_hashes(data, first, last) + (at + offsets[doc] - first).astype(K.U) * K.BASE)
                 # of equal contexts in one step all but the first are copies; they need not meet the others, so no task
                 # gets all rows of a passage that stands everywhere
                 order = np.lexsort((at, ids[doc], own, h))

@@ -57,10 +57,23 @@ def test_exact_dedup(docs, memory):
     for r in out:
         own = groups[lower(r["text"])]
         best = max((x for x in own if x is not None), default=None)
-        assert (r["_keep_id"], r["_group_size"], r["_kept"]) == (best, len(own), r["doc_id"] == best)
-        assert r["_sha"] == hashlib.sha256(lower(r["text"]).encode()).hexdigest()
-    kept = exact_dedup.dedup(clashing(docs))
-    assert kept.columns == clashing(docs).columns and kept.count() == len(groups)
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (best, len(own), r["doc_id"] == best)
+        assert r["text_sha256"] == hashlib.sha256(lower(r["text"]).encode()).hexdigest()
+    named = clashing(docs).withColumns({c: F.lit(2) for c in (*exact_dedup.RESULT, "_hit", "_hk", "_keep", "_size", "c0", "hit", "salt", "held", "largest")})
+    kept = exact_dedup.dedup(named, memory_bytes=memory)
+    assert kept.columns == named.columns and kept.count() == len(groups) and {r["ties"] for r in kept.collect()} == {2}
+    assert exact_dedup.label(named).filter("keep_id = 2 AND doc_id <> 2").isEmpty()
+
+
+def test_exact_dedup_of_nothing(empty):
+    assert exact_dedup.label(empty).count() == 0 and exact_dedup.dedup(empty).count() == 0
+
+
+def test_exact_dedup_sends_a_hot_text_once_a_task(spark):
+    rows = spark.range(0, 50_000, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    sent = common.small_batches(rows).select(F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("content"), "doc_id")
+    sent = sent.mapInArrow(exact_dedup._collapse(exact_dedup.MEMORY_BYTES), "h long, content binary, largest long, rows long, ties long")
+    assert sent.filter(F.col("content") == F.lit("hot").cast("binary")).count() == 4
 
 
 def test_exact_dedup_equal_hashes_stay_apart():
@@ -247,6 +260,58 @@ def test_near_dedup(spark, docs, unique, empty):
     assert minmax_dedup.dedup(docs).columns == docs.columns
 
 
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_near_dedup_tells_long_words_apart(spark):
+    word = thue_morse(10)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, "x y z w v u t " + word), (4, "x y z w v u t " + other), (5, "x y  z W v u\tt " + other)]
+    got = {r["doc_id"]: r["component_id"] for r in minmax_dedup.label(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+
+
+def test_near_dedup_links_equal_sets_of_other_sequences(spark):
+    words = [f"w{i}" for i in range(40)]
+    turned = words[20:] + words[:20] + words[20:24]  # the same shingles and those across the seam
+    rows = [(1, " ".join(words + words[:4])), (2, " ".join(words[20:] + words + words[:4])), (3, " ".join(turned)), (4, " ".join(words + words[:4]).upper())]
+    sets = {i: minmax_dedup.word_set(t, 5) for i, t in rows}
+    assert sets[1] == sets[2] == sets[4]
+    got = {r["doc_id"]: r["component_id"] for r in minmax_dedup.label(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == got[4] == 1 and got[3] == (1 if 100 * len(sets[1] & sets[3]) >= 75 * len(sets[1] | sets[3]) else 3)
+
+
+def test_near_dedup_shares_a_band_at_the_threshold():
+    """Recall of the bands, over pairs of sets whose similarity is exactly 0.75."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    for shared in (3, 6, 30, 150):
+        pairs, lone = 3000, shared // 3
+        hashes = rng.integers(0, 2**63, (pairs, shared + lone), dtype=np.int64).astype(np.uint64)
+        sides = []
+        for part in (hashes[:, :shared], np.concatenate([hashes[:, :shared], hashes[:, shared:]], axis=1)):
+            sets = np.sort(part, axis=1)
+            bounds = np.arange(pairs + 1) * sets.shape[1]
+            sides.append(minmax_dedup.bands_of(minmax_dedup.minmax(sets.reshape(-1), bounds)))
+        assert ((sides[0] == sides[1]).any(1)).mean() >= 0.999, shared
+
+
+def test_near_dedup_clashing_names_ties_and_repeated_rows(spark, docs, empty):
+    named = clashing(docs).withColumns({c: F.lit(2) for c in ("_d", "_t", "gone_id", "gone_text", "component_id", "text_hash", "c0", "members")})
+    kept = minmax_dedup.dedup(named)
+    assert kept.columns == named.columns and minmax_dedup.dedup(empty).count() == 0
+    found = minmax_dedup.label(docs)
+    alone = found.filter("n_shingles = 0")
+    assert alone.filter("NOT doc_id <=> component_id").isEmpty() and alone.count() > 2
+    lost = docs.select("doc_id").distinct().join(kept.select("doc_id").distinct(), "doc_id", "left_anti")
+    assert lost.join(found.filter("doc_id <=> component_id"), "doc_id", "left_semi").isEmpty()
+
+
 # ---- 8
 def test_chat_folds_events(spark):
     log = [
