@@ -82,13 +82,31 @@ def loss_text(formatted: Column, mask: Column) -> Column:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Each turn as a message that was streamed in two deltas."""
+    """A log whose fold is the conversations: each turn is a message of its own, by turn and conversation in one of four
+    forms: streamed in two deltas; a draft that is discarded and streamed anew; a draft that an edit replaces; streamed,
+    with a message beside it that is deleted.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     half = F.floor(F.length(text) / 2).cast("int")
-    at = F.coalesce(F.col("turn"), F.lit(-(2**60))) * 2
-    parts = F.array(F.struct(at.alias("seq"), F.substring(text, F.lit(1), half).alias("text")), F.struct((at + 1).alias("seq"), F.substring(text, half + 1, F.length(text)).alias("text")))
-    rows = conversations.select("conv_id", F.monotonically_increasing_id().alias("msg_id"), F.lit("delta").alias("kind"), "role", parts.alias("parts"))
-    return rows.select("conv_id", "msg_id", "kind", "role", F.inline("parts"))
+    at = F.coalesce(F.col("turn"), F.lit(-(2**59))) * 8
+    form = F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)) * 3 + F.coalesce(F.col("turn"), F.lit(0)), F.lit(4))
+    none = F.lit(None).cast("string")
+
+    def event(after: int, kind: str, words: Column, beside: bool = False) -> Column:
+        return F.struct((at + after).alias("seq"), F.lit(kind).alias("kind"), F.lit(beside).alias("beside"), words.alias("text"))
+
+    def streamed(after: int) -> list[Column]:
+        return [event(after, "delta", F.substring(text, F.lit(1), half)), event(after + 1, "delta", F.substring(text, half + 1, F.length(text)))]
+
+    draft = event(0, "delta", F.concat(F.lit("draft <|end|> "), text))
+    parts = (
+        F.when(form == 1, F.array(draft, event(1, "regenerate", none), *streamed(2)))
+        .when(form == 2, F.array(draft, event(4, "edit", text)))
+        .when(form == 3, F.array(*streamed(0), event(5, "delta", F.lit("never said"), True), event(6, "delete", none, True)))
+        .otherwise(F.array(*streamed(0)))
+    )
+    rows = conversations.select("conv_id", F.monotonically_increasing_id().alias("own"), "role", parts.alias("parts")).select("conv_id", "own", "role", F.inline("parts"))
+    return rows.select("conv_id", F.when(F.col("beside"), -F.col("own") - 1).otherwise(F.col("own")).alias("msg_id"), "seq", "kind", "role", "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

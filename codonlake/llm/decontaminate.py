@@ -8,7 +8,7 @@ length with a window of one gram.
 
 The benchmark's fingerprints go to the executors by broadcast while the benchmark has at most `broadcast_words` words;
 a larger one is joined with the documents' fingerprints by a shuffle, and only the texts of documents with an equal
-fingerprint meet the items that share it.
+fingerprint meet the items that share it. Both ways winnow alike and extend hits with the same code.
 
 Defined results: null and empty texts have no words; an item without words has no window; repeated items count as often
 as they stand in the benchmark, but an item_id counts once; an item whose id is null marks words and is not counted;
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonlake.llm import kernels as K
-from codonlake.llm.common import small_batches, written
+from codonlake.llm.common import by_place, small_batches, written
 
 WINDOW = 13
 GRAM = 5
@@ -64,13 +64,14 @@ class Items:
             for size, at, h in fingerprints(hashed(words), len(words), window, k):
                 found[size].append((h, np.full(len(h), n), at))
         self.prints = {}
+        self.short_of_k = any(len(w) == k for w in self.words)  # items of k words have no window to winnow in
         for size, parts in found.items():
             h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(h, kind="stable")
             self.prints[size] = (h[order], item[order], at[order])
 
-    def hits(self, words: list[bytes], found: dict[int, np.ndarray], grams: dict[int, np.ndarray]) -> tuple[int, set]:
-        """Words of a document inside an occurrence of a window, and the items with occurring windows."""
+    def hits(self, words: list[bytes], found: dict[int, np.ndarray], grams: dict[int, np.ndarray]) -> tuple[np.ndarray, set]:
+        """Which words of a document lie inside an occurrence of a window, and the items with occurring windows."""
         marked = np.zeros(len(words) + 1, np.int64)
         items, done = set(), set()
         for size, positions in found.items():
@@ -101,7 +102,16 @@ class Items:
                         marked[i - lo] += 1
                         marked[i + hi] -= 1
                         items.add(item)
-        return int((np.cumsum(marked[:-1]) > 0).sum()), items
+        return np.cumsum(marked[:-1]) > 0, items
+
+    def in_words(self, words: list[bytes]) -> tuple[np.ndarray, set]:
+        """The same for one document, whose grams are winnowed here."""
+        found, grams, h = {}, {}, hashed(words)
+        for size in self.prints:
+            g = K.grams(h, size)
+            at = K.winnow(g, self.window - self.k + 1) if size == self.k and not self.short_of_k else np.arange(len(g))
+            found[size], grams[size] = at, g[at]
+        return self.hits(words, found, grams)
 
 
 def fingerprints(h: np.ndarray, n: int, window: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -143,7 +153,7 @@ def _scan(batches: Iterator[pa.RecordBatch], items: Items, text_at: int, schema:
                     for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                         if z - a >= k:
                             inside[a + K.winnow(g[a : z - k + 1], window - k + 1)] = True
-                    if any(len(w) == k for w in items.words):
+                    if items.short_of_k:
                         inside[:] = True
                     at = np.flatnonzero(inside)
                 place = np.searchsorted(prints, g[at])
@@ -156,8 +166,8 @@ def _scan(batches: Iterator[pa.RecordBatch], items: Items, text_at: int, schema:
             for d, found in per_doc.items():
                 a, z = int(first[d]), int(first[d + 1])
                 words = [data[s:e].tobytes() for s, e in zip(starts[a:z].tolist(), ends[a:z].tolist(), strict=True)]
-                n_hit, which = items.hits(words, {s: np.array([x[0] for x in v]) for s, v in found.items()}, {s: np.array([x[1] for x in v], K.U) for s, v in found.items()})
-                out[d][1:] = [n_hit, *_listed(items, which)]
+                hit, which = items.hits(words, {s: np.array([x[0] for x in v]) for s, v in found.items()}, {s: np.array([x[1] for x in v], K.U) for s, v in found.items()})
+                out[d][1:] = [int(hit.sum()), *_listed(items, which)]
             own = [pa.array([x[i] for x in out], MARKED.field(i).type) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(b.num_columns) if i != text_at), *own], schema=schema)
 
@@ -187,23 +197,19 @@ def _met(window: int, k: int):
     """Rows (key, text, item_id, item_text), one for each document and item that share a fingerprint: (key, start, stop, item_id) of marked runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, items = None, None
         for b in batches:
             keys, starts, stops, ids = [], [], [], []
             for key, text, item_id, item in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                words, own = split(text), split(item)
-                size = min(window, len(own))
-                windows = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)}
-                run_to = -1
-                for i in range(len(words) - size + 1):
-                    if tuple(words[i : i + size]) in windows:
-                        if i <= run_to:
-                            stops[-1] = run_to = i + size
-                        else:
-                            run_to = i + size
-                            keys.append(key)
-                            starts.append(i)
-                            stops.append(run_to)
-                            ids.append(item_id)
+                if items is None or item != last:
+                    last, items = item, Items([(item_id, item)], window, k)
+                hit = items.in_words(split(text))[0].astype(np.int8)
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]))).tolist()
+                for start, stop in zip(edges[0::2], edges[1::2], strict=True):
+                    keys.append(key)
+                    starts.append(start)
+                    stops.append(stop)
+                    ids.append(item_id)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(ids, pa.string())], names=["key", "start", "stop", "item_id"])
 
     return run
@@ -211,11 +217,11 @@ def _met(window: int, k: int):
 
 def _label_by_shuffle(docs: DataFrame, bench: DataFrame, text_col: str, window: int, k: int, sizes: list[int]) -> DataFrame:
     """The way for a benchmark of any size; texts are told apart by their digest, so copies are met once."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_key", F.unhex(F.sha2(text, 256)))
-    once = written(keyed.select(F.col("_key").alias("key"), text.alias("text")).dropDuplicates(["key"]), "distinct-texts")
+    plain, place = by_place(docs)
+    text = F.coalesce(F.col(place[text_col]), F.lit(""))
+    keyed = plain.withColumn("key", F.unhex(F.sha2(text, 256)))
+    once = written(keyed.select("key", text.alias("text")).dropDuplicates(["key"]), "distinct-texts")
     items = written(bench.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("item_text")), "items")
-    n = F.size(F.array_remove(F.split(F.translate("item_text", "\n", " "), " "), ""))
     doc_prints = once.mapInArrow(_prints_of(window, k, sizes), "key binary, size long, h long")
     item_prints = items.withColumn("key", F.col("item")).select("key", "item_text").mapInArrow(_prints_of(window, k, sizes), "key long, size long, h long").select(F.col("key").alias("item"), "size", "h").distinct()
     met = doc_prints.join(item_prints, ["size", "h"]).select("key", "item").distinct()
@@ -224,18 +230,20 @@ def _label_by_shuffle(docs: DataFrame, bench: DataFrame, text_col: str, window:
     covered = runs.select("key", F.explode(F.sequence("start", F.col("stop") - 1)).alias("at")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     listed = runs.filter("item_id IS NOT NULL").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     listed = listed.select("key", F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("items"))
-    hit = covered.join(listed, "key", "left").withColumnRenamed("key", "_key")
+    hit = covered.join(listed, "key", "left")
     words = F.size(F.array_remove(F.split(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), " "), "")).cast("long")
-    out = keyed.join(hit, "_key", "left").withColumn("n_words", words)
+    out = keyed.join(hit, "key", "left").withColumn("n_words", words)
     filled = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("n_hit", "n_items")} | {"items": F.coalesce("items", F.lit(""))}
     out = out.withColumns(filled).withColumn("items_sha256", F.sha2("items", 256))
-    rest = [F.col(c) for c in docs.columns if c != text_col]
-    return out.select(*rest, "n_words", "n_hit", "n_items", "items", "items_sha256")
+    return out.select(*[F.col(p).alias(c) for c, p in place.items() if c != text_col], *(f.name for f in MARKED))
 
 
 def label(docs: DataFrame, bench: DataFrame, text_col: str = "text", window: int = WINDOW, k: int = GRAM, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """The columns of docs but the text, and n_words, n_hit, n_items, items, items_sha256, contaminated."""
+    """The columns of docs but the text (those that bear a name of the result are left out), and n_words, n_hit, n_items,
+    items, items_sha256, contaminated.
+    """
     spark = docs.sparkSession
+    docs = docs.drop(*[c for c in (*(f.name for f in MARKED), "contaminated") if c != text_col])
     bench = bench.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     pieces = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), " "), lambda x: x != "")
     sized = bench.withColumn("n", F.size(pieces))
@@ -261,9 +269,9 @@ def label(docs: DataFrame, bench: DataFrame, text_col: str = "text", window: int
 
 def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the contaminated rows; columns as they were."""
-    plain = docs.withColumns({f"_c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}).select([f"_c{i}" for i in range(len(docs.columns))] + [F.col(text_col).alias("_text")])
-    kept = label(plain, bench, "_text").filter("NOT contaminated")
-    return kept.select([F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    plain, place = by_place(docs)
+    kept = label(plain.withColumn("text", F.col(place[text_col])), bench).filter("NOT contaminated")
+    return kept.select([F.col(p).alias(c) for c, p in place.items()])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

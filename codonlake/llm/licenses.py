@@ -3,8 +3,10 @@
 Blocks are paragraphs (between empty lines); a block matches a template when it holds at least THRESHOLD of the
 template's distinct words. Words are ordered by how often they occur in the whole corpus, rarest first. To reach the
 threshold a block must hold one of the first |T| - need + 1 words of that order (prefix filter) and have at least `need`
-words (length filter); while its words are looked up in that order it is given up once the words that are left cannot
-reach `need` (positional filter). What passes is counted in full, so every matching block is found.
+distinct words (length filter). The prefix index says for each such word which templates begin with it and at which
+place; of a template whose first word in the block stands at place i, no more than |T| - i words can be there, so it is
+given up if that is below `need`, and likewise at each later word that the block lacks (positional filter). What passes
+is counted in full, so every matching block is found. The templates are a parameter, and their index goes to the tasks.
 
 Defined results: null counts as empty; a text without words has no labels and score 0; rows that repeat an id are rows
 of their own; an empty table gives an empty result; columns other than id and text are not read.
@@ -26,7 +28,7 @@ from codonlake.llm.decontaminate import hashed, split
 
 #: Phrases and labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Opening sentences of well-known licenses.
+#: Opening sentences and notices of well-known licenses.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -35,6 +37,10 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("apache-notice", "Licensed under the Apache License, Version 2.0."),
+    ("cc-by-nc-notice", "Licensed under CC BY-NC 4.0."),
+    ("gpl-line", "This work is licensed under the GNU General Public License, version 3."),
+    ("mit-notice", "Released under the MIT License."),
     ("no-warranty", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability"),
 )
 THRESHOLD = 0.8
@@ -45,41 +51,47 @@ def need_of(n: int, threshold: float) -> int:
 
 
 class Ordered:
-    """Templates with their words in the global order."""
+    """Templates with their words in the global order, and the index of their prefixes."""
 
     def __init__(self, templates: list[tuple[str, list[bytes]]], counts: dict[bytes, int], threshold: float) -> None:
-        self.threshold = threshold
-        self.templates = []
-        prefixes: dict[bytes, list] = {}
+        self.templates: list[tuple[str, list[bytes], int]] = []
+        self.prefixes: dict[bytes, list[tuple[int, int]]] = {}  # word -> (template, its place in the order)
         for label, words in templates:
             own = sorted(set(words), key=lambda w: (counts.get(w, 0), w))
+            if not own:
+                continue  # a template without words matches nothing
             need = need_of(len(own), threshold)
-            at = len(self.templates)
+            for i, w in enumerate(own[: len(own) - need + 1]):
+                self.prefixes.setdefault(w, []).append((len(self.templates), i))
             self.templates.append((label, own, need))
-            for w in own[: len(own) - need + 1]:
-                prefixes.setdefault(w, []).append(at)
-        self.words = sorted(prefixes)
-        h = hashed(self.words)
-        order = np.argsort(h)
-        self.hashes = h[order]
-        self.of = [prefixes[self.words[i]] for i in order.tolist()]
-
-    def containment(self, at: int, block: set[bytes], n_words: int) -> float | None:
-        """Share of the template's words that the block holds, if it reaches the threshold."""
-        _, own, need = self.templates[at]
-        if n_words < need:
-            return None
-        have = 0
-        for i, w in enumerate(own):
-            have += w in block
-            if have + len(own) - 1 - i < need:
-                return None
-        return have / len(own)
+        self.hashes = np.sort(hashed(list(self.prefixes)))
+
+    def matches(self, block: set[bytes]) -> dict[str, float]:
+        """Labels of the templates of which the block holds enough, and the share of their words that it holds."""
+        first: dict[int, int] = {}
+        for w in self.prefixes.keys() & block:
+            for at, i in self.prefixes[w]:
+                first[at] = min(i, first.get(at, i))
+        out: dict[str, float] = {}
+        for at, i in first.items():
+            label, own, need = self.templates[at]
+            left = len(own) - i
+            if len(block) < need or left < need:
+                continue
+            for w in own[i:]:
+                if w not in block:
+                    left -= 1
+                    if left < need:
+                        break
+            else:
+                out[label] = max(left / len(own), out.get(label, 0.0))
+        return out
 
 
 def _counted(vocabulary: list[bytes]):
     h = hashed(vocabulary)
     order = np.argsort(h)
+    ranked = h[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(len(h), np.int64)
@@ -88,8 +100,8 @@ def _counted(vocabulary: list[bytes]):
                 data = K.LOWERED[raw]
                 starts, ends, _ = K.words(data, offsets, K.ALNUM)
                 own = K.word_hashes(data, starts, ends)
-                place = np.minimum(np.searchsorted(h[order], own), len(h) - 1)
-                counts += np.bincount(order[place[h[order][place] == own]], minlength=len(h))
+                place = np.minimum(np.searchsorted(ranked, own), len(h) - 1)
+                counts += np.bincount(order[place[ranked[place] == own]], minlength=len(h))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(h))), pa.array(counts)], names=["word", "n"])
 
     return run
@@ -99,7 +111,7 @@ def ordered(docs: DataFrame, text_col: str, templates: tuple = TEMPLATES, thresh
     """The templates ordered by their words' frequencies in all texts; a row a template word reaches the driver."""
     parts = [(label, split(text)) for label, text in templates]
     vocabulary = sorted({w for _, words in parts for w in words})
-    rows = docs.select(text_col).mapInArrow(_counted(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text_col).mapInArrow(_counted(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect() if vocabulary else []
     return Ordered(parts, {vocabulary[r["word"]]: r["n"] for r in rows}, threshold)
 
 
@@ -109,7 +121,7 @@ FOUND = "n_words long, n_base long, first_word long, last_word long, base_labels
 
 def _scanned(order: Ordered):
     phrases = [(label, split(text)) for text, label in PHRASES]
-    phrase_hashes = [(label, hashed(words)) for label, words in phrases]
+    phrase_hashes = [(label, words, hashed(words)) for label, words in phrases]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,7 +130,7 @@ def _scanned(order: Ordered):
                 starts, ends, first = K.words(data, offsets, K.ALNUM)
                 own = K.word_hashes(data, starts, ends)
                 places: dict[int, list] = {}
-                for label, h in phrase_hashes:
+                for label, words, h in phrase_hashes:
                     n = len(h)
                     if len(own) < n:
                         continue
@@ -128,18 +140,16 @@ def _scanned(order: Ordered):
                     at = np.flatnonzero(hit)
                     doc = np.searchsorted(first, at, "right") - 1
                     for d, a in zip(doc.tolist(), at.tolist(), strict=True):
-                        if a + n <= first[d + 1]:
+                        if a + n <= first[d + 1] and [data[x:y].tobytes() for x, y in zip(starts[a : a + n], ends[a : a + n], strict=True)] == words:
                             places.setdefault(d, []).append((a - int(first[d]), label))
-                where = np.minimum(np.searchsorted(order.hashes, own), len(order.hashes) - 1)
-                near = np.unique(np.searchsorted(first, np.flatnonzero(order.hashes[where] == own), "right") - 1)
+                where = np.searchsorted(order.hashes, own)
+                where[where == len(order.hashes)] = 0
+                near = np.unique(np.searchsorted(first, np.flatnonzero(order.hashes[where] == own), "right") - 1) if len(order.hashes) else ()
                 matched: dict[int, dict[str, float]] = {}
                 blocks: dict[int, int] = {}
-                for d in near.tolist():
+                for d in map(int, near):
                     for block in _EMPTY_LINE.split(data[offsets[d] : offsets[d + 1]].tobytes()):
-                        words = split(block.decode(errors="replace"))
-                        held = set(words)
-                        tried = {t for w, ts in zip(order.words, order_of(order), strict=True) if w in held for t in ts}
-                        best = {order.templates[t][0]: c for t in tried if (c := order.containment(t, held, len(words))) is not None}
+                        best = order.matches(set(split(block.decode(errors="replace"))))
                         if best:
                             blocks[d] = blocks.get(d, 0) + 1
                             mine = matched.setdefault(d, {})
@@ -163,12 +173,6 @@ def _scanned(order: Ordered):
     return run
 
 
-def order_of(order: Ordered) -> list[list[int]]:
-    """Templates of each prefix word, in the order of order.words."""
-    by_hash = dict(zip(order.hashes.tolist(), order.of, strict=True))
-    return [by_hash[h] for h in hashed(order.words).tolist()]
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks) of every row."""
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

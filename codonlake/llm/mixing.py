@@ -53,7 +53,8 @@ def queued(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """(doc_id, text_hash, source, size, source_size, target, before): before is the source's words ahead of the row."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     text_hash = F.xxhash64(text_col)
-    own = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), text_hash.cast("string")))  # null ids are dealt out by their texts
+    own = F.md5(F.concat_ws("|", F.lit(str(seed)), name).cast("binary"))
     turn = F.conv(F.substring(own, 1, 15), 16, 10).cast("long")  # 60 bits of a hash
     rows = written(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash.alias("text_hash"), F.col(source_col).alias("source"), size.alias("size"), turn.alias("turn")), "sizes"

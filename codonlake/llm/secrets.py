@@ -2,14 +2,17 @@
 
 Fixed patterns: assign, access and hex (see PATTERNS). Candidates of the battery are runs of at least MIN_TOKEN symbols
 of the base64 alphabets. The encoding is inferred from the symbols that occur (hexadecimal, base32, letters and digits,
-base64), which fixes the alphabet's size A. With n symbols, counts c and symbol values v:
-  uniformity  chi2 = A / n * sum(c^2) - n; uniform: mean A - 1, variance 2 (A - 1)
-  runs        of symbols in the alphabet's upper half, against the expectation for as many upper and lower ones
-  serial      correlation of neighbouring values, times sqrt(n)
-A candidate passes as random when all three stay within their bounds. Its p-value, that an ordinary token would look as
-uniform, is bounded by exp(-z^2 / 2) / (z sqrt(2 pi)), z being the distance of chi2 below its expectation under an ordinary distribution
-of symbols; longer tokens reach smaller values. Within each class of length the Benjamini-Hochberg rule at level FDR
-sets the largest accepted p-value. It is found on counts in BINS steps of -ln p, a table of fixed size.
+base64), which fixes the alphabet's size A. What is tested is that a token is ordinary: an identifier, a path, a word. With n
+symbols, counts c, symbol values v, and the encoding's ordinary figures (ORDINARY: shares of squared and cubed symbol
+frequencies k2 and k3, rate q of changes between kinds of symbols, correlation r of neighbours):
+  uniformity  chi2 = A / n * sum(c^2) - n is (n - 1) (A k2 - 1) + A - 1 for ordinary tokens, and lower for random ones
+  runs        the runs of digits, capitals, small letters and others change (n - 1) q times in ordinary tokens, more in random ones
+  serial      the correlation of neighbouring values is r in ordinary tokens, about 0 in random ones
+Each test gives the distance z from the ordinary expectation in standard deviations, towards random. The three are added
+and divided by sqrt(3 + 6 * TOGETHER), their deviation when each two correlate by TOGETHER, and the tail beyond that
+combined z, bounded by exp(-z^2 / 2) / (z sqrt(2 pi)), is the one p-value of the token; longer tokens reach smaller ones.
+Within each class of length the Benjamini-Hochberg rule at level FDR sees the p-values of all candidates and sets the
+largest that is accepted. It is found on counts in BINS steps of -ln p, a table of fixed size.
 
 Defined results: null counts as empty; a text without findings has empty spans; rows that repeat an id are rows of
 their own; an empty table gives an empty result; columns other than id and text are not read.
@@ -37,8 +40,15 @@ BINS = 400
 BIN_STEPS = 4.0
 FDR = 0.02
 LENGTH_CLASSES = (32, 48, 64)
-#: Symbol repetition (sum of squared shares, of cubed shares) of ordinary letters, and of ordinary hexadecimal strings.
-ORDINARY = {"letters": (0.066, 0.0056), "hex": (0.11, 0.0145)}
+#: Ordinary figures by encoding: k2, k3, q, r.
+ORDINARY = {"hex": (0.11, 0.0145, 0.2, 0.3), "base32": (0.066, 0.0056, 0.1, 0.3), "alphanumeric": (0.066, 0.0056, 0.35, 0.3), "base64": (0.066, 0.0056, 0.35, 0.3)}
+#: Symbols by encoding, in the order of their values.
+LETTERS_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+SYMBOLS = {"hex": "0123456789abcdef", "base32": "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ", "alphanumeric": LETTERS_DIGITS, "base64": "+/-_" + LETTERS_DIGITS}
+#: Sizes of the alphabets; the two base64 alphabets differ in two symbols.
+SIZES = {"hex": 16, "base32": 32, "alphanumeric": 62, "base64": 64}
+KIND_RUNS = "[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+"
+TOGETHER = 0.1
 
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 
@@ -64,46 +74,49 @@ def found(text: Column, pattern: str, kind: int, least: int) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(empty)
 
 
+def encoding(token: Column) -> Column:
+    """The narrowest encoding that has all symbols of the token."""
+    return (
+        F.when(F.rlike(token, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), "hex")
+        .when(F.rlike(token, F.lit("^[A-Z2-7]+$")), "base32")
+        .when(F.rlike(token, F.lit("^[A-Za-z0-9]+$")), "alphanumeric")
+        .otherwise("base64")
+    )
+
+
 def battery(token: Column) -> Column:
-    """Struct (n, random, minus_ln_p) of a token."""
-    n = F.length(token)
-    hexadecimal = F.rlike(token, F.lit("^([0-9a-f]+|[0-9A-F]+)$"))
-    code = F.when(hexadecimal, F.lit("0123456789abcdef")).when(F.rlike(token, F.lit("^[A-Z2-7]+$")), F.lit("234567ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    letters = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-    code = code.when(F.rlike(token, F.lit("^[A-Za-z0-9]+$")), F.lit(letters)).otherwise(F.lit("+/-_" + letters))
-    shown = F.when(hexadecimal, F.lower(token)).otherwise(token)
-    head = F.named_struct(F.lit("n"), n, F.lit("shown"), shown, F.lit("code"), code, F.lit("hexed"), hexadecimal)
-
-    def with_code(h: Column) -> Column:
-        size = F.when(h["hexed"], 16.0).when(F.length(h["code"]) == 66, 64.0).otherwise(F.length(h["code"]).cast("double"))
-        squares = F.aggregate(F.split(h["code"], ""), F.lit(0.0), lambda a, c: a + F.pow((h["n"] - F.length(F.replace(h["shown"], c, F.lit("")))).cast("double"), F.lit(2.0)))
-        values = F.transform(F.split(h["shown"], ""), lambda c: F.instr(h["code"], c).cast("double"))
-        return F.struct(h["n"].cast("double").alias("n"), size.alias("a"), squares.alias("sq"), values.alias("v"), h["hexed"].alias("hexed"))
+    """Struct (n, encoding, z, minus_ln_p) of a token."""
+
+    def of(table: dict, kind: Column) -> Column:
+        out = None
+        for name, value in table.items():
+            out = F.when(kind == name, value) if out is None else out.when(kind == name, value)
+        return out
+
+    def with_values(h: Column) -> Column:
+        shown = F.when(h["kind"] == "hex", F.lower(h["token"])).otherwise(h["token"])
+        code = of({k: F.lit(v) for k, v in SYMBOLS.items()}, h["kind"])
+        changes = F.when(h["kind"] == "hex", F.regexp_count(h["token"], F.lit("[0-9]+|[A-Za-z]+"))).otherwise(F.regexp_count(h["token"], F.lit(KIND_RUNS))) - 1
+        squares = F.aggregate(F.split(code, ""), F.lit(0.0), lambda a, c: a + F.pow((F.length(shown) - F.length(F.replace(shown, c, F.lit("")))).cast("double"), F.lit(2.0)))
+        values = F.transform(F.split(shown, ""), lambda c: F.instr(code, c).cast("double"))
+        figures = [of({k: F.lit(float(v[i])) for k, v in ORDINARY.items()}, h["kind"]).alias(name) for i, name in enumerate(("k2", "k3", "q", "r"))]
+        return F.struct(F.length(h["token"]).cast("double").alias("n"), h["kind"].alias("kind"), of({k: F.lit(float(v)) for k, v in SIZES.items()}, h["kind"]).alias("a"), squares.alias("sq"), values.alias("v"), changes.cast("double").alias("changes"), *figures)
 
     def tests(t: Column) -> Column:
         n, a, v = t["n"], t["a"], t["v"]
-        chi = a / n * t["sq"] - n
-        z_chi = (chi - (a - 1)) / F.sqrt(2 * (a - 1))
-        upper = F.aggregate(v, F.lit(0.0), lambda s, x: s + F.when(x > a / 2, 1.0).otherwise(0.0))
-        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-        runs = 1 + F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when((p["x"] > a / 2) != (p["y"] > a / 2), 1.0).otherwise(0.0))
-        mu = 2 * upper * (n - upper) / n + 1
-        var = (mu - 1) * (mu - 2) / (n - 1)
-        z_runs = F.when(var > 0.25, (runs - mu) / F.sqrt(F.greatest(var, F.lit(0.25)))).otherwise(F.lit(99.0))
+        expected = (n - 1) * (a * t["k2"] - 1) + (a - 1)
+        z_chi = (expected - (a / n * t["sq"] - n)) / F.sqrt(2 * (a - 1) + 4 * n * a * a * (t["k3"] - t["k2"] * t["k2"]))
+        z_runs = (t["changes"] - (n - 1) * t["q"]) / F.sqrt((n - 1) * t["q"] * (1 - t["q"]))
         mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
         spread = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-        serial = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["x"] - mean) * (p["y"] - mean))
-        z_serial = F.when(spread > 0, serial / F.greatest(spread, F.lit(1e-9)) * F.sqrt(n)).otherwise(F.lit(99.0))
-        k2 = F.when(t["hexed"], ORDINARY["hex"][0]).otherwise(ORDINARY["letters"][0])
-        k3 = F.when(t["hexed"], ORDINARY["hex"][1]).otherwise(ORDINARY["letters"][1])
-        expected = (n - 1) * (a * k2 - 1) + (a - 1)
-        sd = F.sqrt(2 * (a - 1) + 4 * n * a * a * (k3 - k2 * k2))
-        z = (expected - chi) / sd
-        random = (z_chi < 4) & (F.abs(z_runs) < 3.5) & (F.abs(z_serial) < 3.5)
-        return F.struct(n.cast("int").alias("n"), random.alias("random"), F.when(z > 1, z * z / 2 + F.ln(F.greatest(z, F.lit(1.0)) * math.sqrt(2 * math.pi))).otherwise(0.0).alias("minus_ln_p"))
+        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda x, y: (x - mean) * (y - mean))
+        serial = F.when(spread > 0, F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.greatest(spread, F.lit(1e-9))).otherwise(F.lit(1.0))
+        z_serial = (t["r"] - serial) * F.sqrt(n) / F.sqrt(1 - t["r"] * t["r"])
+        z = (z_chi + z_runs + z_serial) / math.sqrt(3 + 6 * TOGETHER)
+        return F.struct(n.cast("int").alias("n"), t["kind"].alias("kind"), z.alias("z"), F.when(z > 1, z * z / 2 + F.ln(F.greatest(z, F.lit(1.0)) * math.sqrt(2 * math.pi))).otherwise(0.0).alias("minus_ln_p"))
 
-    one = F.transform(F.transform(F.array(head), with_code), tests)
-    return F.element_at(one, 1)
+    head = F.struct(token.alias("token"), encoding(token).alias("kind"))
+    return F.element_at(F.transform(F.transform(F.array(head), with_values), tests), 1)
 
 
 def length_class(n: Column) -> Column:
@@ -134,11 +147,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level:
     base = F.array_sort(F.concat(*[found(text, p, i, least) for i, (_, p, _, least) in enumerate(PATTERNS)]))
     tokens = found(text, TOKEN, 3, MIN_TOKEN)
     tested = F.transform(F.col("tokens"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])).alias("b")))
-    slim = F.transform("tested", lambda t: F.struct(t["start"], t["end"], length_class(t["b"]["n"]).alias("class"), F.when(t["b"]["random"], F.least(F.floor(t["b"]["minus_ln_p"] * BIN_STEPS), F.lit(BINS)).cast("int")).otherwise(F.lit(-1)).alias("step")))
+    slim = F.transform("tested", lambda t: F.struct(t["start"], t["end"], length_class(t["b"]["n"]).alias("class"), F.least(F.floor(t["b"]["minus_ln_p"] * BIN_STEPS), F.lit(BINS)).cast("int").alias("step")))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select("doc_id", "text", base.alias("base"), tokens.alias("tokens"))
     rows = rows.withColumn("tested", F.when(F.size("tokens") > 0, tested)).select("doc_id", "base", slim.alias("tested"))
     rows = written(rows, "tokens")
-    steps = accepted(rows.select(F.explode("tested").alias("t")).select("t.class", F.greatest("t.step", F.lit(0)).alias("step")), level)
+    steps = accepted(rows.select(F.explode("tested").alias("t")).select("t.class", "t.step"), level)
     bound = F.create_map(*[F.lit(x) for c in range(len(LENGTH_CLASSES) + 1) for x in (c, steps.get(c, BINS + 1))])
     more = F.transform(F.filter("tested", lambda t: t["step"] >= bound[t["class"]]), lambda t: F.struct(t["start"], t["end"], F.lit(3).alias("kind")))
     return rows.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce(more, F.array().cast(SPAN)))).alias("spans"))

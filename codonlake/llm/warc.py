@@ -4,12 +4,15 @@ A revisit takes the body of the latest response of its canonical URL that is str
 validators agree (equal entity tags; without a tag on either side, a modification date not after the response's), and
 the headers that a not-modified answer may renew (RENEWED) replace the response's.
 
-The join is a running maximum. A URL may hold a third of all records, so records are dealt by URL and time range: the
-latest response inside a range is a window over (URL, range), and that of the ranges before is a window over one row
-for each (URL, range).
+The join is a running maximum over times, ids and validators; bodies and headers stay out of it and are joined once, by
+the response that was found, for resolved revisits only. A URL may hold a third of all records, so records are dealt by
+URL and time range (about RANGE_ROWS rows of all URLs each): the latest response inside a range is a window over (URL,
+range), and that of the ranges before is a window over one row for each (URL, range). A response that many revisits name
+is broadcast or split by `skew_lookup`.
 
 Defined results: a null URL or time resolves to nothing; of responses at the same time the one with the largest id
-counts, a revisit never meets a response of its own time; missing headers count as none; an empty table gives an empty
+counts, of those with equal ids the largest validators, then headers, then payload; a revisit never meets a response of
+its own time; repeated records are records of their own; missing headers count as none; an empty table gives an empty
 result; other columns are not read.
 """
 
@@ -18,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codonlake.llm.common import LOWER, UPPER
+from codonlake.llm.common import LOWER, UPPER, skew_lookup, written
 
 #: Fields that a 304 response may carry to renew a stored response.
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-TIME_RANGES = 64
+RANGE_ROWS = 20_000
+#: Most time ranges, found in two steps of its square root; beyond RANGE_ROWS times this many rows the ranges grow.
+MOST_RANGES = 4096
 
 
 def canonical(url: Column) -> Column:
@@ -39,77 +44,124 @@ def canonical(url: Column) -> Column:
     return F.concat(host, short, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
-def latest_before(records: DataFrame, ranges: int = TIME_RANGES) -> DataFrame:
+def range_of(at: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are not above `at`: first among every 64th, then between two of those."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    coarse = cuts[::step]
+    fine = F.array(*[F.array(*[F.lit(c) for c in cuts[i + 1 : i + step]] or [F.lit(None).cast("long")]) for i in range(0, len(cuts), step)])
+    upto = F.size(F.filter(F.array(*[F.lit(c) for c in coarse]), lambda c: c <= at))
+    return F.when(upto > 0, (upto - 1) * step + 1 + F.size(F.filter(F.get(fine, upto - 1), lambda c: c <= at))).otherwise(F.lit(0))
+
+
+def latest_before(records: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """records (url_key, at, id, answer) with `found`: the largest (at, id, answer) of an earlier time whose answer is not null."""
-    cuts = records.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    rows = records.withColumn("range", sum(((F.col("at") >= c).cast("int") for c in sorted(set(cuts))), F.lit(0)))
+    ranges = min(MOST_RANGES, -(-records.count() // range_rows))
+    cuts = records.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else None
+    rows = records.withColumn("range", F.when(F.col("at").isNotNull(), range_of(F.col("at"), sorted(set(cuts or ())))))
     entry = F.when(F.col("answer").isNotNull(), F.struct("at", "id", "answer"))
     inside = Window.partitionBy("url_key", "range").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("near", F.max(entry).over(inside))
     last = rows.groupBy("url_key", "range").agg(F.max(entry).alias("entry"))
     ahead = Window.partitionBy("url_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(F.col("url_key").alias("_u"), F.col("range").alias("_r"), F.max("entry").over(ahead).alias("far"))
-    out = rows.join(carried, (F.col("url_key") == F.col("_u")) & (F.col("range") == F.col("_r")), "left")
-    return out.withColumn("found", F.coalesce("near", "far")).drop("near", "far", "range", "_u", "_r")
+    carried = last.select(F.col("url_key").alias("far_key"), F.col("range").alias("far_range"), F.max("entry").over(ahead).alias("far"))
+    out = rows.join(carried, (F.col("url_key") == F.col("far_key")) & (F.col("range") == F.col("far_range")), "left")
+    return out.withColumn("found", F.coalesce("near", "far")).drop("near", "far", "range", "far_key", "far_range")
+
+
+def answer_key(url_key: Column, at: Column, id_: Column, etag: Column, modified: Column) -> Column:
+    return F.md5(F.to_json(F.struct(url_key.alias("u"), at.alias("a"), id_.alias("i"), etag.alias("e"), modified.alias("m"))).cast("binary"))
 
 
-def resolve(records: DataFrame, ranges: int = TIME_RANGES) -> DataFrame:
-    """records (id, url, at, kind response or revisit, etag, modified, headers map, payload) with, added,
-    target_id, status (response, resolved, validator_mismatch, no_earlier_response), merged headers and payload digest.
+def resolve(records: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """records (id, url, at, kind response or revisit, etag, modified, headers map, payload) with url_key, target_id,
+    status (response, resolved, validator_mismatch, no_earlier_response), merged headers and body.
     """
     kept = records.select("id", "url", "at", "kind", "etag", "modified", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "payload", canonical(F.col("url")).alias("url_key"))
-    # maps cannot be compared; entries sorted by name can
-    listed = F.array_sort(F.map_entries("headers"))
-    answer = F.when((F.col("kind") == "response") & F.col("at").isNotNull() & F.col("url_key").isNotNull(), F.struct("etag", "modified", listed.alias("headers"), "payload"))
-    rows = latest_before(kept.withColumn("answer", answer), ranges)
+    kept = written(kept.drop("url"), "captures")
+    answers = (F.col("kind") == "response") & F.col("at").isNotNull() & F.col("url_key").isNotNull()
+    slim = kept.withColumn("answer", F.when(answers, F.struct("etag", "modified")))
+    rows = latest_before(slim, range_rows)
     a = F.col("found.answer")
     tags = F.col("etag").isNotNull() & a["etag"].isNotNull()
     agree = F.when(tags, F.col("etag") == a["etag"]).otherwise(F.coalesce(F.col("modified") <= a["modified"], F.lit(False)))
-    revisit = F.col("kind") == "revisit"
+    revisit = F.coalesce(F.col("kind") == "revisit", F.lit(False))
     rows = rows.withColumn("status", F.when(~revisit, "response").when(F.col("found").isNull(), "no_earlier_response").when(agree, "resolved").otherwise("validator_mismatch"))
     resolved = F.col("status") == "resolved"
+    rows = rows.withColumn("wanted", F.when(resolved, answer_key(F.col("url_key"), F.col("found.at"), F.col("found.id"), a["etag"], a["modified"])))
+    target = F.when(revisit, F.when(resolved, F.col("found.id"))).otherwise(F.col("id"))
+    rows = written(rows.select("id", "url_key", "at", "kind", "headers", "payload", "status", "wanted", target.alias("target_id")), "matched")
+    # bodies of the responses that revisits resolve to; maps cannot be compared, entries sorted by name can
+    asked = rows.filter("wanted IS NOT NULL").groupBy("wanted").agg(F.count("*").alias("revisits"))
+    bodies = kept.filter(answers).withColumn("wanted", answer_key(*(F.col(c) for c in ("url_key", "at", "id", "etag", "modified"))))
+    best = F.max(F.struct(F.array_sort(F.map_entries("headers")).alias("headers"), "payload"))
+    bodies = bodies.join(asked, "wanted").groupBy("wanted").agg(best.alias("stored"), F.first("revisits").alias("revisits"))
+    out = skew_lookup(rows, bodies, "wanted", "revisits", rows.count(), "id")
     renewing = F.map_filter("headers", lambda k, v: k.isin(*RENEWED))
-    stored = F.filter(a["headers"], lambda e: ~F.map_contains_key(renewing, e["key"]))
+    stored = F.filter(F.col("stored.headers"), lambda e: ~F.map_contains_key(renewing, e["key"]))
     merged = F.when(resolved, F.map_concat(F.map_from_entries(stored), renewing)).otherwise(F.col("headers"))
-    target = F.when(revisit, F.when(resolved, F.col("found.id"))).otherwise(F.col("id"))
-    payload = F.when(revisit, F.when(resolved, a["payload"])).otherwise(F.col("payload"))
-    return rows.select("id", "url_key", "at", "kind", target.alias("target_id"), "status", merged.alias("merged"), payload.alias("body"))
+    body = F.when(revisit, F.when(resolved, F.col("stored.payload"))).otherwise(F.col("payload"))
+    return out.select("id", "url_key", "at", "kind", "target_id", "status", merged.alias("merged"), body.alias("body"))
 
 
 def records_of(pages: DataFrame) -> DataFrame:
-    """Pages as capture records in the order of page_id; each third one is a not-modified answer."""
-    revisit = F.col("page_id") % 3 == 2
-    tag = F.concat_ws("-", F.substring(F.md5(canonical(F.col("url")).cast("binary")), 1, 8), (F.floor(F.col("page_id") / 3) % 2).cast("string"))
-    common = [F.lit("date"), F.concat(F.lit("t"), F.col("page_id").cast("string"))]
+    """Capture records of pages, which hold none themselves: of each page a response; a not-modified answer before it
+    (every third page), after it under a tracked URL, and later under another host name and scheme; and between the last
+    two, for every second page, a changed response. Every fifth page has no entity tags, only modification dates.
+    """
+    p, url = F.col("page_id"), F.col("url")
+    tag = lambda n: F.when(p % 5 != 0, F.concat(F.substring(F.md5(canonical(url).cast("binary")), 1, 8), F.lit(f"-{n}")))
+    html = F.coalesce("html", F.lit(""))
+    tracked = F.concat(url, F.when(F.instr(url, "?") > 0, "&").otherwise("?"), F.lit("utm_source=feed"))
+    moved = F.regexp_replace(url, "^https?://", "http://www.")
+    none = F.lit(None).cast("string")
+
+    def slot(n: int, kind: str, after: int, where: Column, etag: Column, modified: Column, payload: Column, when: Column | None = None) -> Column:
+        one = F.struct(F.lit(n).alias("slot"), F.lit(kind).alias("kind"), (p * 10 + after).alias("at"), where.alias("url"), etag.alias("etag"), modified.alias("modified"), payload.alias("payload"))
+        return one if when is None else F.when(when, one)
+
+    slots = F.array(
+        slot(0, "revisit", -1, url, tag(1), p, none, p % 3 == 0),
+        slot(1, "response", 0, url, tag(1), p, F.md5(html.cast("binary"))),
+        slot(2, "revisit", 3, tracked, tag(1), p, none),
+        slot(3, "response", 5, url, tag(2), p + 1, F.md5(F.concat(F.lit("2|"), html).cast("binary")), p % 2 == 0),
+        slot(4, "revisit", 7, moved, tag(1), F.when(p % 10 == 0, p + 2).otherwise(p), none),
+    )
+    rows = pages.select("page_id", F.explode(slots).alias("s")).filter("s IS NOT NULL").select("page_id", "s.*")
+    common = [F.lit("date"), F.concat(F.lit("t"), F.col("at").cast("string"))]
     full = F.create_map(*common, F.lit("content-type"), F.lit("text/html"), F.lit("cache-control"), F.lit("no-cache"))
     short = F.create_map(*common, F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-type"), F.lit("text/plain"))
-    return pages.select(
-        F.col("page_id").alias("id"), "url", F.col("page_id").alias("at"), F.when(revisit, "revisit").otherwise("response").alias("kind"),
-        F.when(F.col("page_id") % 5 != 0, tag).alias("etag"), F.floor(F.col("page_id") / 4).alias("modified"), F.when(revisit, short).otherwise(full).alias("headers"),
-        F.when(~revisit, F.md5(F.coalesce("html", F.lit("")).cast("binary"))).alias("payload"),
-    )
+    return rows.select((p * 5 + F.col("slot")).alias("id"), "url", "at", "kind", "etag", "modified", F.when(F.col("kind") == "revisit", short).otherwise(full).alias("headers"), "payload")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     lines = F.array_join(F.transform(F.array_sort(F.map_entries("merged")), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; ")
-    return resolve(records_of(pages)).select(F.col("id").alias("page_id"), "url_key", "kind", "target_id", "status", lines.alias("headers"), "body")
+    out = resolve(records_of(pages))
+    return out.select(F.floor(F.col("id") / 5).alias("page_id"), F.col("id").alias("record_id"), "url_key", "kind", "target_id", "status", lines.alias("headers"), "body")
 
 
 ORACLE = r"""
-WITH u AS (SELECT page_id, html, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+v AS (
+  SELECT page_id, 0 AS slot, 'revisit' AS kind, -1 AS after, url, 1 AS version, page_id AS modified, NULL AS payload FROM p WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id, 1, 'response', 0, url, 1, page_id, md5(html) FROM p
+  UNION ALL SELECT page_id, 2, 'revisit', 3, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=feed', 1, page_id, NULL FROM p
+  UNION ALL SELECT page_id, 3, 'response', 5, url, 2, page_id + 1, md5('2|' || html) FROM p WHERE page_id % 2 = 0
+  UNION ALL SELECT page_id, 4, 'revisit', 7, regexp_replace(url, '^https?://', 'http://www.'), 1, CASE WHEN page_id % 10 = 0 THEN page_id + 2 ELSE page_id END, NULL FROM p),
+u AS (SELECT *, regexp_replace(url, '#.*$', '') AS bare FROM v),
 h AS (SELECT *, translate(regexp_extract(bare, '^([A-Za-z]+://[^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS head, regexp_replace(bare, '^[A-Za-z]+://[^/?]*', '') AS rest FROM u),
 q AS (SELECT *, array_to_string(list_sort(list_filter(string_split(CASE WHEN contains(rest, '?') THEN regexp_replace(rest, '^[^?]*\?', '') ELSE '' END, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS asked FROM h),
-k AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(head, '^[a-z]+://', ''), '^www\.', ''), ':(80|443)$', '')
+k AS (SELECT page_id, slot, kind, page_id * 10 + after AS moment, version, modified, payload, regexp_replace(regexp_replace(regexp_replace(head, '^[a-z]+://', ''), '^www\.', ''), ':(80|443)$', '')
         || regexp_replace(regexp_replace(regexp_replace(rest, '\?.*$', ''), '/index\.html?$', ''), '/+$', '') || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END AS url_key FROM q),
-r AS (SELECT *, page_id % 3 = 2 AS revisit, CASE WHEN page_id % 5 <> 0 THEN substr(md5(url_key), 1, 8) || '-' || CAST((page_id // 3) % 2 AS VARCHAR) END AS etag, page_id // 4 AS modified FROM k),
-f AS (SELECT a.*, b.page_id AS found, b.etag AS b_etag, b.modified AS b_modified, b.html AS b_html
-      FROM r a ASOF LEFT JOIN (SELECT * FROM r WHERE NOT revisit) b ON a.url_key = b.url_key AND a.page_id > b.page_id),
-s AS (SELECT *, CASE WHEN NOT revisit THEN 'response' WHEN found IS NULL THEN 'no_earlier_response'
+r AS (SELECT *, page_id * 5 + slot AS id, CASE WHEN page_id % 5 <> 0 THEN substr(md5(url_key), 1, 8) || '-' || version END AS etag FROM k),
+f AS (SELECT a.*, b.id AS found, b.etag AS b_etag, b.modified AS b_modified, b.payload AS b_payload
+      FROM r a ASOF LEFT JOIN (SELECT * FROM r WHERE kind = 'response') b ON a.url_key = b.url_key AND a.moment > b.moment),
+s AS (SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN found IS NULL THEN 'no_earlier_response'
         WHEN CASE WHEN etag IS NOT NULL AND b_etag IS NOT NULL THEN etag = b_etag ELSE modified <= b_modified END THEN 'resolved' ELSE 'validator_mismatch' END AS status FROM f)
-SELECT page_id, url_key, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS kind,
-  CASE WHEN NOT revisit THEN page_id WHEN status = 'resolved' THEN found END AS target_id, status,
-  'cache-control: ' || CASE WHEN revisit THEN 'max-age=60' ELSE 'no-cache' END || '; content-type: ' || CASE WHEN revisit AND status <> 'resolved' THEN 'text/plain' ELSE 'text/html' END || '; date: t' || CAST(page_id AS VARCHAR) AS headers,
-  CASE WHEN NOT revisit THEN md5(coalesce(html, '')) WHEN status = 'resolved' THEN md5(coalesce(b_html, '')) END AS body
+SELECT page_id, id AS record_id, url_key, kind, CASE WHEN kind = 'response' THEN id WHEN status = 'resolved' THEN found END AS target_id, status,
+  'cache-control: ' || CASE WHEN kind = 'revisit' THEN 'max-age=60' ELSE 'no-cache' END || '; content-type: ' || CASE WHEN kind = 'revisit' AND status <> 'resolved' THEN 'text/plain' ELSE 'text/html' END || '; date: t' || CAST(moment AS VARCHAR) AS headers,
+  CASE WHEN kind = 'response' THEN payload WHEN status = 'resolved' THEN b_payload END AS body
 FROM s
 """

@@ -89,6 +89,70 @@ def brute_secrets(text):
     return ",".join(x[2] for x in sorted(found))
 
 
+def brute_battery(t):
+    """(encoding, combined z) of a token, test by test."""
+    import math
+
+    n = len(t)
+    kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t) else "base32" if re.fullmatch("[A-Z2-7]+", t) else "alphanumeric" if re.fullmatch("[A-Za-z0-9]+", t) else "base64"
+    k2, k3, q, r = secrets.ORDINARY[kind]
+    size, symbols = secrets.SIZES[kind], secrets.SYMBOLS[kind]
+    shown = t.lower() if kind == "hex" else t
+    chi = size / n * sum(shown.count(c) ** 2 for c in symbols) - n
+    uniform = ((n - 1) * (size * k2 - 1) + size - 1 - chi) / math.sqrt(2 * (size - 1) + 4 * n * size * size * (k3 - k2 * k2))
+    sort = [("L" if kind == "hex" else "U" if c.isupper() else "l") if c.isalpha() else "d" if c.isdigit() else "o" for c in t]
+    changes = sum(a != b for a, b in zip(sort, sort[1:], strict=False))
+    runs = (changes - (n - 1) * q) / math.sqrt((n - 1) * q * (1 - q))
+    v = [symbols.index(c) + 1 for c in shown]
+    mean = sum(v) / n
+    spread = sum((x - mean) ** 2 for x in v)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / spread if spread else 1.0
+    return kind, (uniform + runs + (r - serial) * math.sqrt(n) / math.sqrt(1 - r * r)) / math.sqrt(3 + 6 * secrets.TOGETHER)
+
+
+def ordinary_tokens(rng, n):
+    words = "user name from data base config value loader handler get set with file path index count manager factory stream reader writer cache buffer process event request response thread".split()
+    some = lambda: rng.choices(words, k=rng.randrange(4, 8))
+    forms = (lambda: "".join(w.capitalize() for w in some()), lambda: "_".join(some()), lambda: "/".join(some()), lambda: "".join(some()))
+    return [forms[i % 4]() for i in range(n)]
+
+
+def test_battery_equals_brute_force(spark):
+    rng = random.Random(12)
+    tokens = ordinary_tokens(rng, 60) + ["a" * 30, "0" * 25, "ABCDEF0123456789ABCDEF", "A" * 20 + "7"]
+    tokens += ["".join(rng.choice(s) for _ in range(n)) for s in secrets.SYMBOLS.values() for n in (20, 33, 90)]
+    rows = spark.createDataFrame(list(enumerate(tokens)), "i long, t string").select("i", secrets.battery(F.col("t")).alias("b")).select("i", "b.*")
+    for r in rows.collect():
+        kind, z = brute_battery(tokens[r["i"]])
+        assert r["kind"] == kind and r["z"] == pytest.approx(z, abs=1e-9) and r["n"] == len(tokens[r["i"]]), tokens[r["i"]]
+
+
+def test_random_spans_equal_brute_force_and_find_keys(spark):
+    """Every random span of a table against the battery and the Benjamini-Hochberg rule in plain Python; and how many are found."""
+    import math
+
+    rng = random.Random(7)
+    tokens = [("ordinary", t) for t in ordinary_tokens(rng, 3000) if len(t) >= secrets.MIN_TOKEN]
+    for kind, symbols in secrets.SYMBOLS.items():
+        usable = symbols.replace("-", "").replace("_", "")
+        tokens += [(f"{kind} {n}", "".join(rng.choice(usable) for _ in range(n))) for n in (32, 40, 64) for _ in range(40)]
+    df = spark.createDataFrame([(i, f"see {t} .") for i, (_, t) in enumerate(tokens)], "doc_id long, text string")
+    got = {r["doc_id"]: "random" in r["spans"] for r in secrets.scan(df).select("doc_id", secrets.listed("spans").alias("spans")).collect()}
+    steps, classes = {}, {}
+    for i, (_, t) in enumerate(tokens):
+        z = brute_battery(t)[1]
+        ln_p = z * z / 2 + math.log(z * math.sqrt(2 * math.pi)) if z > 1 else 0.0
+        steps[i] = min(secrets.BINS, int(ln_p * secrets.BIN_STEPS))
+        classes.setdefault(sum(len(t) >= b for b in secrets.LENGTH_CLASSES), []).append(i)
+    for members in classes.values():
+        accepted = [s for s in {steps[i] for i in members} if len(members) * math.exp(-s / secrets.BIN_STEPS) <= secrets.FDR * sum(steps[i] >= s for i in members)]
+        for i in members:
+            assert got[i] == (bool(accepted) and steps[i] >= min(accepted)), tokens[i]
+    share = lambda name: sum(got[i] for i, (k, _) in enumerate(tokens) if k == name) / sum(k == name for k, _ in tokens)
+    assert share("ordinary") < 0.01
+    assert all(share(f"{k} 64") == 1.0 and share(f"{k} 40") >= 0.9 and share(f"{k} 32") >= 0.8 for k in secrets.SYMBOLS)
+
+
 def test_secrets(spark, empty):
     rng = random.Random(1)
     strong = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(64))
@@ -104,6 +168,8 @@ def test_secrets(spark, empty):
         assert set(filter(None, out[i]["base"].split(","))) <= set(out[i]["spans"].split(","))
     assert "random:4:68" in out[9]["spans"] and "random" not in out[10]["spans"] + out[11]["spans"]
     assert secrets.scan(empty).count() == 0
+    twice = df.filter("doc_id IN (7, 9)").unionByName(df.filter("doc_id IN (7, 9)")).withColumn("doc_id", F.lit(None).cast("long"))
+    assert secrets.scan(twice).filter("doc_id IS NULL AND size(spans) > 0").count() == 4
 
 
 # ---- 3
@@ -113,7 +179,8 @@ def word_list(t):
 
 def test_licenses(spark, empty):
     mit = dict(licenses.TEMPLATES)["mit"]
-    rows = [None, "", "CC-BY or cc,by", "all rights\nreserved. All Rights reserved", "General public License", f"intro\n\n{mit}\n\nend", mit[: len(mit) // 2], f"{mit} \x00 {'filler ' * 5000}", "cc", "by cc"]
+    rows = [None, "", "CC-BY or cc,by", "all rights\nreserved. All Rights reserved", "General public License", f"intro\n\n{mit}\n\nend", mit[: len(mit) // 2], f"{mit} \x00 {'filler ' * 5000}", "cc", "by cc", "x\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0", "all rights " * 30_000 + "reserved", "released under mit"]
+    rows += rows[2:4]
     out = {r["doc_id"]: r for r in licenses.scan(clashing(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()}
     for i, t in enumerate(rows):
         w = word_list(t)
@@ -131,6 +198,13 @@ def test_licenses(spark, empty):
         assert r["base_labels"] == ",".join(sorted({x[1] for x in at})) and r["labels"] == ",".join(sorted({x[1] for x in at} | set(best)))
         assert r["score"] == pytest.approx(1.0 if at else max(best.values(), default=0.0))
     assert licenses.scan(empty).count() == 0
+    nothing = licenses.scan(spark.createDataFrame([(1, "all rights reserved")], "doc_id long, text string"), templates=(("blank", "..."),)).first()
+    assert nothing["labels"] == "reserved"
+
+
+def test_licenses_of_the_table_go_beyond_the_phrases(spark, sf):
+    out = licenses.query(spark, sf)
+    assert out.filter("labels <> base_labels").count() > 0 and out.filter("n_base = 0 AND score >= 0.8").count() > 0
 
 
 # ---- 4
@@ -155,7 +229,7 @@ def test_decontaminate(spark, empty, bound):
     rng = random.Random(5)
     w = lambda n: " ".join(rng.choice(["a", "b", "c9", "dé", "e"]) for _ in range(n))
     items = [(10, w(30)), (9, w(13)), (2, w(12)), (3, w(5)), (4, "solo"), (5, None), (6, "..."), (7, w(40)), (7, "twin id solo"), (None, "no id here"), (8, "a a a a a a a a a a a a a a a a")]
-    docs = [(0, None), (1, ""), (2, w(50) + " " + items[0][1].upper()[5:] + " " + w(5)), (3, "x " + items[1][1].replace(" ", "--") + " solo!"), (4, w(400)), (5, items[2][1]), (6, "no id here no id here"), (7, "a " * 40), (8, items[7][1][:30] + " q " + items[7][1]), (9, items[3][1])]
+    docs = [(11, w(60_000) + " " + items[0][1]), (12, items[0][1]), (13, items[0][1]), (0, None), (1, ""), (2, w(50) + " " + items[0][1].upper()[5:] + " " + w(5)), (3, "x " + items[1][1].replace(" ", "--") + " solo!"), (4, w(400)), (5, items[2][1]), (6, "no id here no id here"), (7, "a " * 40), (8, items[7][1][:30] + " q " + items[7][1]), (9, items[3][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     frame = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
     want = brute_contamination(docs, items)
@@ -167,6 +241,11 @@ def test_decontaminate(spark, empty, bound):
     assert decontaminate.label(frame, bench.limit(0), broadcast_words=bound).filter("n_hit > 0").isEmpty()
     assert decontaminate.label(empty, bench, broadcast_words=bound).count() == 0
     assert decontaminate.clean(frame, bench).columns == frame.columns
+    named = frame.withColumns({c: F.lit(1) for c in ("key", "n_words", "n_hit", "contaminated", "c0", "_text", "_c0", "items")})
+    assert decontaminate.clean(named, bench).columns == named.columns
+    assert decontaminate.label(named, bench, broadcast_words=bound).filter("n_hit > 0").count() == sum(v[1] > 0 for v in want.values())
+    twice = decontaminate.label(frame.unionByName(frame), bench, broadcast_words=bound)
+    assert twice.count() == 2 * len(docs) and twice.distinct().count() <= len(docs)
 
 
 # ---- 5
@@ -210,6 +289,8 @@ def test_mixing(spark, docs, empty):
     assert sum(r["taken"] for r in rows) <= total and all(r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"]) for r in rows)
     again = sorted((str(r["doc_id"]), r["taken"], r["size"]) for r in mixing.mix(docs.repartition(7)).select("doc_id", "taken", "size").toLocalIterator())
     assert again == sorted((str(r["doc_id"]), r["taken"], r["size"]) for r in rows)
+    lost = docs.filter("text IS NOT NULL").withColumn("doc_id", F.lit(None).cast("long"))
+    assert mixing.queued(lost).select("before").distinct().count() > 3 and mixing.mix(lost).count() == lost.count()
     assert mixing.mix(empty).count() == 0 and mixing.mix(docs.withColumn("text", F.lit(None).cast("string"))).filter("taken > 0").isEmpty()
 
 
@@ -325,6 +406,20 @@ def test_chat_folds_events(spark):
     assert chat.rendered(chat.folded(events.limit(0))).count() == 0
 
 
+def test_chat_ties_repeats_and_long_texts(spark):
+    long = "<|" * 60_000
+    log = [(1, 4, "delta", "b", "user", "tie b"), (1, 4, "delta", "a", "user", "tie a"), (1, 4, "delta", "c", "assistant", "first"), (1, 9, "delta", "l", "assistant", long), (2, 1, "delta", "r", "user", "x"), (2, 1, "delta", "r", "user", "x"), (None, None, None, None, None, None)]
+    out = chat.rendered(chat.folded(spark.createDataFrame(log, "conv_id long, seq long, kind string, msg_id string, role string, text string")))
+    got = {r["conv_id"]: ([tuple(t) for t in r["turns"]], r["loss"]) for r in out.select("conv_id", chat.parsed(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("mask")).alias("loss")).collect()}
+    assert got == {1: ([("assistant", "first"), ("user", "tie a"), ("user", "tie b"), ("assistant", long)], "first" + long), 2: ([("user", "xx")], ""), None: ([("", "")], "")}
+
+
+def test_chat_log_of_the_table_has_every_kind(spark, sf):
+    log = chat.events_of(spark.read.parquet(f"{sf}/conversations.parquet"))
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"delta", "edit", "regenerate", "delete"} and min(kinds.values()) > 10
+
+
 @pytest.mark.parametrize("text", ["", "\\", "\\\\<|", "<\\|", "<<|turn|>", "a<", "|text|>", "\n<|\\|>\U0001f600"])
 def test_chat_escape_round_trip(spark, text):
     row = spark.range(1).select(chat.escaped(F.lit(text)).alias("e")).select("e", chat.unescaped(F.col("e")).alias("u")).first()
@@ -367,7 +462,7 @@ def test_warc(spark):
     urls = ["http://www.Ex.com:80/a/index.html#x", "https://ex.com/a?utm_source=f&b=2&a=1", "https://EX.com/a?a=1&b=2", "https://ex.com/a/", None, "ex.com/a"]
     rows = [(i, rng.choice(urls), rng.choice([None, *range(12)]), rng.choice(["response", "revisit"]), rng.choice([None, "e1", "e2"]), rng.choice([None, 1, 2]), {"etag": "e", "content-type": f"t{i}"} if i % 3 else None, f"p{i}") for i in range(120)]
     schema = "id long, url string, at long, kind string, etag string, modified long, headers map<string,string>, payload string"
-    got = {r["id"]: r for r in warc.resolve(spark.createDataFrame(rows, schema).withColumns({c: F.lit(1) for c in ("url_key", "range", "answer", "found", "near", "status")}), ranges=4).collect()}
+    got = {r["id"]: r for r in warc.resolve(spark.createDataFrame(rows, schema).withColumns({c: F.lit(1) for c in ("url_key", "range", "answer", "found", "near", "status", "wanted", "stored")}), range_rows=20).collect()}
     key = {i: r["url_key"] for i, r in got.items()}
     assert {key[r[0]] for r in rows if r[1] in (urls[0], urls[3], urls[5])} == {"ex.com/a"} and {key[r[0]] for r in rows if r[1] in urls[1:3]} == {"ex.com/a?a=1&b=2"}
     for r in rows:
@@ -388,6 +483,27 @@ def test_warc(spark):
     assert warc.resolve(empty).count() == 0
 
 
+def test_warc_repeated_rows_ties_and_long_bodies(spark):
+    schema = "id long, url string, at long, kind string, etag string, modified long, headers map<string,string>, payload string"
+    long = "y" * 200_000
+    rows = [(1, "http://a.b/c", 1, "response", "e", None, None, "small"), (2, "http://a.b/c", 1, "response", "e", None, None, long), (2, "http://a.b/c", 1, "response", "e", None, None, long), (3, "http://a.b/c", 2, "revisit", "e", None, None, None), (3, "http://a.b/c", 2, "revisit", "e", None, None, None), (None, None, None, None, None, None, None, None)]
+    out = warc.resolve(spark.createDataFrame(rows, schema)).collect()
+    assert len(out) == len(rows) and [(r["target_id"], r["status"], r["body"]) for r in out if r["id"] == 3] == [(2, "resolved", long)] * 2
+    assert [r["status"] for r in out if r["id"] is None] == ["response"]
+
+
+def test_warc_records_of_the_table_meet_every_status(spark, sf):
+    found = {r["status"]: r["count"] for r in warc.query(spark, sf).groupBy("status").count().collect()}
+    assert set(found) == {"response", "resolved", "validator_mismatch", "no_earlier_response"} and min(found.values()) > 20
+
+
+def test_warc_time_ranges(spark):
+    for n in (0, 1, 2, 5, 64, 100):
+        cuts = [7 * i for i in range(1, n + 1)]
+        got = spark.range(-5, 800).select("id", warc.range_of(F.col("id"), cuts).alias("r")).collect()
+        assert all(r["r"] == sum(c <= r["id"] for c in cuts) for r in got), n
+
+
 # ---- shared pieces
 def test_winnow_keeps_every_window_minimum():
     import numpy as np

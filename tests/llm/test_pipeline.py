@@ -58,3 +58,64 @@ def test_stages_equal_brute_force(spark, sf, tmp_path):
     assert set(text["decontaminate"]) == clean
     mixed = kept["mix"].collect()
     assert {r["doc_id"] for r in mixed} <= clean and all(r["taken"] % r["size"] == 0 and r["taken"] <= 3 * r["size"] for r in mixed)
+    taken = brute_mix([(r["doc_id"], r["text"], r["source"]) for r in kept["decontaminate"].collect()])
+    assert {r["doc_id"]: r["taken"] for r in mixed} == {i: n for i, n in taken.items() if n}
+
+
+def brute_mix(rows, weights=(5, 2, 1), most=3):
+    """Words taken of each document: queues by source, shuffled by the same hash, served in the order of virtual finish times."""
+    import hashlib
+    import re
+
+    size = {i: len(re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t, _ in rows}
+    total = sum(size.values())
+    sources = sorted({s for _, _, s in rows if s is not None}) + ([None] if any(s is None for _, _, s in rows) else [])
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    held = {s: sum(size[i] for i, _, x in rows if x == s) for s in sources}
+    target, open_, left = {}, list(sources), float(total)
+    while over := [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) >= most * held[s]]:
+        target |= {s: float(most * held[s]) for s in over}
+        open_ = [s for s in open_ if s not in over]
+        left = total - sum(target.values())
+    target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    served = []
+    for s in sources:
+        queue = sorted((int(hashlib.md5(f"17|{i}".encode()).hexdigest()[:15], 16), i) for i, _, x in rows if x == s)
+        upto = 0
+        for _, i in queue:
+            upto += size[i]
+            served += [((e * held[s] + upto) / target[s], size[i], i) for e in range(most) if size[i]]
+    out, spent = dict.fromkeys(size, 0), 0
+    for _, n, i in sorted(served):
+        if spent + n > total:
+            break
+        spent += n
+        out[i] += n
+    return out
+
+
+def test_stages_on_odd_rows(spark, sf):
+    labelled = spark.read.parquet(f"{sf}/documents.parquet").filter("lang IS NOT NULL").limit(60)
+    word = "the of and edha ininges shor "
+    odd = [(None, None, None, None, None), (1000, "", "en", "a", 0), (1001, "  ", None, None, None), (1002, "12 ?!", "en", "b", 5), (1003, word * 12_000, "en", None, None), (1003, word * 12_000, "en", None, None), (None, word + "tail", None, "a", 1), (1004, word.upper() + "TAIL", None, "a", 1), (1005, "one", None, None, None)]
+    docs = labelled.unionByName(spark.createDataFrame(odd, labelled.schema))
+    extra = ("size", "target", "taken", "source_size", "_d", "_t", "key", "node", "h", "id", "keep_id", "c0", "lang_pred", "score", "hit", "salt", "gone_id", "mixed_id")
+    named = docs.withColumns({c: docs["n_chars"] * 0 + 7 for c in extra})
+    seen = named
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, named.limit(0), sf)
+        assert nothing.count() == 0
+        out = stage(spark, seen, sf)
+        if name == "mix":
+            assert set(out.columns) == set(named.columns)
+            assert out.filter("taken = 7 AND size = 7").isEmpty() and out.filter("taken > 3 * size").isEmpty()
+        else:
+            assert out.columns == named.columns
+            seen = spark.createDataFrame(out.collect(), named.schema)
+        ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+        if name == "language_id":
+            assert not {1000, 1001, 1002} & set(ids) and ids.count(1003) == 2 and ids.count(None) == 1
+        else:
+            assert ids.count(1003) <= 1
+        if name == "exact_dedup":
+            assert 1004 in ids and None not in ids
