@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
+
+Defined results of every stage: other columns stay as they are, whatever their names; an empty table gives an empty one.
+Null and empty texts, and texts without letters, have no language and go in the first stage; so do all texts if no label
+teaches a language. Of equal texts the row with the largest id stays, null being the smallest; rows that repeat id and
+text become one. Texts without words are near duplicates of nothing. A null source is a source of its own.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonlake.llm import decontaminate, exact_dedup, language, minmax_dedup, mixing
-from codonlake.llm.common import written
+from codonlake.llm.common import by_place, written
+
+MIXED = ("size", "source_size", "target", "taken")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +38,16 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, and how many of their words, repeats counted, with their sources' targets."""
-    mixed = mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "size", "source_size", "target", "taken")
-    mixed = mixed.dropDuplicates(["_d", "_t"])
-    out = docs.join(mixed, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")))
-    return out.select(*[docs[c] for c in ("doc_id", "text", "lang", "source", "n_chars")], "size", "source_size", "target", "taken")
+    """Documents of which the mix takes any words, with size, source_size, target and taken (words taken, repeats counted).
+
+    A column of docs that bears one of those four names is left out. Rows that repeat both id and text get the same
+    numbers, those of the row of which most is taken.
+    """
+    taken = mixing.mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("mixed_id"), F.col("text_hash").alias("mixed_text"))
+    mixed = taken.agg(F.max(F.struct("taken", "size", "source_size", "target")).alias("m")).select("mixed_id", "mixed_text", *[F.col(f"m.{c}").alias(c) for c in MIXED])
+    plain, place = by_place(docs)
+    same = F.col(place["doc_id"]).cast("long").eqNullSafe(F.col("mixed_id")) & (F.xxhash64(place["text"]) == F.col("mixed_text"))
+    return plain.join(mixed, same).select(*[F.col(p).alias(c) for c, p in place.items() if c not in MIXED], *MIXED)
 
 
 STAGES = [
