@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 BASES = "TCAG"
 #: Amino acids of the standard code (NCBI table 1), codons in TCAG order, third base fastest; * is a stop.
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -153,12 +156,32 @@ CAI = _table(CAI_TEXT)
 TAI = _table(TAI_TEXT)
 
 
-def weights(kind: str, species: str) -> dict[str, float]:
+@dataclass(frozen=True)
+class Tables:
+    """Weight tables of a user's own, in the place of a species' built-in ones."""
+
+    name: str
+    cai: dict[str, float]
+    tai: dict[str, float]
+
+
+def weights(kind: str, species: str | Tables) -> dict[str, float]:
     """Codon weights of a species; all positive, as their logarithms are averaged."""
-    table = {"cai": CAI, "tai": TAI}[kind]
-    if species not in table:
-        raise ValueError(f"unknown species {species!r}; known: {', '.join(SPECIES)}")
-    found = table[species]
+    if isinstance(species, Tables):
+        found = {"cai": species.cai, "tai": species.tai}[kind]
+    else:
+        table = {"cai": CAI, "tai": TAI}[kind]
+        if species not in table:
+            raise ValueError(f"unknown species {species!r}; known: {', '.join(SPECIES)}")
+        found = table[species]
+    if unknown := sorted(set(found) - set(SENSE)):
+        raise ValueError(f"{kind} weights name unknown codons: {', '.join(unknown)}")
     if any(w <= 0 for w in found.values()):
         raise ValueError(f"{kind} weights must be positive")
     return found
+
+
+def weights_key(species: str | Tables) -> str:
+    """Name of the species or tables, and a digest of the weights."""
+    values = [sorted(weights(kind, species).items()) for kind in ("cai", "tai")]
+    return f"{species if isinstance(species, str) else species.name}-{hashlib.sha1(repr(values).encode()).hexdigest()[:12]}"

@@ -10,25 +10,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonlake.functions import sequence as S
-from codonlake.functions.codons import SENSE, weights
+from codonlake.functions.codons import SENSE, Tables, weights
 from codonlake.operators.folding import mfe
 
-REGION = {r: F.col for r in S.REGIONS}
-EXACT = {"cai": ("cai", "cds"), "tai": ("tai", "cds"), "kozak_score": ("kozak", "window"), "mfe_start": ("mfe", "window"), "uAUG_count": ("uaug", "utr5"), "log_tx": ("length", "full"), "gc_full": ("gc", "full")}
 KMER_GROUPS = {1: "mono", 2: "di", 3: "kmer3"}
+#: Raised when a column's values change, so that stored matrices of older code are not met.
+VERSION = 2
 
 
 @dataclass(frozen=True)
 class Block:
-    """Names of a group's columns and their values: an array column, or one column."""
+    """Names of a group's columns, the region they describe, and their values: an array column, or one column."""
 
     names: list[str]
-    value: Callable[[str], Column]  # of the species
+    region: str
+    value: Callable[[str | Tables], Column]  # of the species, or of given weight tables
     array: bool = False
 
 
 def _kmer_block(k: int) -> list[Block]:
-    return [Block([f"{r}_{m}" for m in S.kmers(k)], lambda _, r=r: S.kmer_frequencies(F.col(r), k), True) for r in S.REGIONS]
+    return [Block([f"{r}_{m}" for m in S.kmers(k)], r, lambda _, r=r: S.kmer_frequencies(F.col(r), k), True) for r in S.REGIONS]
 
 
 def _log(name: str) -> Callable[[str], Column]:
@@ -43,7 +44,7 @@ def _share(_: str) -> Column:
 def _adaptation(kind: str) -> Callable[[str], Column]:
     """Geometric mean of the weights of all codons that have one, from the counts; null if there is none."""
 
-    def value(species: str) -> Column:
+    def value(species: str | Tables) -> Column:
         table = weights(kind, species)
         has = F.array(*[F.lit(1.0 if c in table else 0.0) for c in SENSE])
         logs = F.array(*[F.lit(math.log(table[c]) if c in table else 0.0) for c in SENSE])
@@ -55,53 +56,48 @@ def _adaptation(kind: str) -> Callable[[str], Column]:
     return value
 
 
+def _named(r: str) -> str:
+    """The region of the columns that describe the whole transcript."""
+    return "full" if r == "tx" else r
+
+
+#: Names of groups, columns and regions.
 GROUPS: dict[str, list[Block]] = {
-    "length": [Block([f"log_{r}"], _log(r)) for r in (*S.REGIONS, "tx")],
-    "gc": [Block([f"gc_{n}"], lambda _, r=r: S.gc_fraction(F.col(r))) for n, r in (("utr5", "utr5"), ("cds", "cds"), ("utr3", "utr3"), ("full", "tx"))],
+    "length": [Block([f"log_{r}"], _named(r), _log(r)) for r in (*S.REGIONS, "tx")],
+    "gc": [Block([f"gc_{_named(r)}"], _named(r), lambda _, r=r: S.gc_fraction(F.col(r))) for r in (*S.REGIONS, "tx")],
     "mono": _kmer_block(1),
     "di": _kmer_block(2),
     "kmer3": _kmer_block(3),
-    "codon": [Block([f"codon_{c}" for c in SENSE], _share, True)],
-    "uaug": [Block(["uAUG_count"], lambda _: S.count_of(F.col("utr5"), "ATG").cast("double"))],
-    "kozak": [Block(["kozak_score"], lambda _: S.kozak_score(F.col("utr5"), F.col("cds")))],
-    "cai": [Block(["cai"], _adaptation("cai"))],
-    "tai": [Block(["tai"], _adaptation("tai"))],
-    "mfe": [Block(["mfe_start"], lambda _: mfe(S.start_window(F.col("utr5"), F.col("cds"))))],
+    "codon": [Block([f"codon_{c}" for c in SENSE], "cds", _share, True)],
+    "uaug": [Block(["uAUG_count"], "utr5", lambda _: S.count_of(F.col("utr5"), "ATG").cast("double"))],
+    "kozak": [Block(["kozak_score"], "window", lambda _: S.kozak_score(F.col("utr5"), F.col("cds")))],
+    "cai": [Block(["cai"], "cds", _adaptation("cai"))],
+    "tai": [Block(["tai"], "cds", _adaptation("tai"))],
+    "mfe": [Block(["mfe_start"], "window", lambda _: mfe(S.start_window(F.col("utr5"), F.col("cds"))))],
 }
 FEATURES = [name for blocks in GROUPS.values() for b in blocks for name in b.names]
+#: Group and region of each column, as the groups above list them.
+PLACE = {name: (g, b.region) for g, blocks in GROUPS.items() for b in blocks for name in b.names}
 
 
 def classify(name: str) -> tuple[str, str]:
-    """(group, region) of a feature column, from its name."""
-    if name in EXACT:
-        return EXACT[name]
-    head, _, tail = name.partition("_")
-    if head == "codon" and tail:
-        return "codon", "cds"
-    if head in ("log", "gc") and tail in S.REGIONS:
-        return {"log": "length", "gc": "gc"}[head], tail
-    if head in S.REGIONS and tail:
-        return KMER_GROUPS.get(len(tail), "unknown"), head
-    return "unknown", "unknown"
+    """(group, region) of a feature column: from the groups, or for a foreign k-mer column from its name."""
+    if name in PLACE:
+        return PLACE[name]
+    region, _, kmer = name.partition("_")
+    return (KMER_GROUPS.get(len(kmer), "unknown"), region) if region in S.REGIONS and kmer else ("unknown", "unknown")
 
 
 def classified(name: Column) -> tuple[Column, Column]:
     """The same as columns."""
-    head, tail = F.substring_index(name, "_", 1), F.expr("NULL")
-    tail = F.when(F.instr(name, "_") > 0, F.regexp_replace(name, "^[^_]*_", "")).otherwise(F.lit(""))
-    exact = F.create_map(*[x for n, (g, r) in EXACT.items() for x in (F.lit(n), F.struct(F.lit(g).alias("g"), F.lit(r).alias("r")))])
-    known = F.try_element_at(exact, name)
-    by_size = F.when(F.length(tail) == 1, "mono").when(F.length(tail) == 2, "di").when(F.length(tail) == 3, "kmer3").otherwise("unknown")
-    rows = (
-        (known.isNotNull(), known["g"], known["r"]),
-        ((head == "codon") & (tail != ""), F.lit("codon"), F.lit("cds")),
-        (head.isin("log", "gc") & tail.isin(*S.REGIONS), F.when(head == "log", "length").otherwise("gc"), tail),
-        (head.isin(*S.REGIONS) & (tail != ""), by_size, head),
-    )
-    group = region = F.lit("unknown")
-    for test, g, r in reversed(rows):
-        group, region = F.when(test, g).otherwise(group), F.when(test, r).otherwise(region)
-    return group, region
+    known = F.try_element_at(F.create_map(*[x for n, (g, r) in PLACE.items() for x in (F.lit(n), F.struct(F.lit(g).alias("g"), F.lit(r).alias("r")))]), name)
+    region = F.regexp_extract(name, f"^({'|'.join(S.REGIONS)})_.", 1)
+    size = F.length(name) - F.length(region) - 1
+    group = F.lit("unknown")
+    for k, g in KMER_GROUPS.items():
+        group = F.when(size == k, g).otherwise(group)
+    foreign = region != ""
+    return F.coalesce(known["g"], F.when(foreign, group), F.lit("unknown")), F.coalesce(known["r"], F.when(foreign, region), F.lit("unknown"))
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
@@ -123,7 +119,7 @@ def chosen(groups: list[str] | None) -> list[str]:
     return [g for g in GROUPS if groups is None or g in groups]
 
 
-def blocks(transcripts: DataFrame, species: str = "human", groups: list[str] | None = None, keep: tuple[str, ...] = ("gene_id",)) -> DataFrame:
+def blocks(transcripts: DataFrame, species: str | Tables = "human", groups: list[str] | None = None, keep: tuple[str, ...] = ("gene_id",)) -> DataFrame:
     """One column for each block of the groups, arrays as they are: few columns, so the stage keeps generated code."""
     rows = with_regions(transcripts)
     names = chosen(groups)
@@ -132,7 +128,7 @@ def blocks(transcripts: DataFrame, species: str = "human", groups: list[str] | N
     return rows.select(*keep, *[b.value(species).alias(f"{g}_{i}") for g in names for i, b in enumerate(GROUPS[g])])
 
 
-def matrix(transcripts: DataFrame, species: str = "human", groups: list[str] | None = None, keep: tuple[str, ...] = ("gene_id",)) -> DataFrame:
+def matrix(transcripts: DataFrame, species: str | Tables = "human", groups: list[str] | None = None, keep: tuple[str, ...] = ("gene_id",)) -> DataFrame:
     """One row a gene, one double column a feature, in the order of FEATURES."""
     wide = []
     for g in chosen(groups):

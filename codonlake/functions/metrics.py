@@ -10,11 +10,6 @@ from codonlake.functions.sequence import safe_ratio
 NAMES = ("r2", "mae", "rmse", "pearson_r", "spearman_r")
 
 
-def _correlation(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """From centred sums: null for fewer than two points or a constant side."""
-    return F.when((n >= 2) & (sxx > 0) & (syy > 0), sxy / (F.sqrt(sxx) * F.sqrt(syy)))
-
-
 def centred(rows: DataFrame, keys: list[str], x: str, y: str, prefix: str) -> DataFrame:
     """Centred second moments of x and y by group, with partial aggregation."""
     n = F.count("*").cast("double")
@@ -23,30 +18,56 @@ def centred(rows: DataFrame, keys: list[str], x: str, y: str, prefix: str) -> Da
     )
 
 
-def ranked(rows: DataFrame, keys: list[str], ranges: int = 32) -> DataFrame:
-    """rows with average ranks ry and rp of y and y_hat within each group.
+#: Rows whose values one range of a group is meant to hold, and the most ranges of a group.
+RANGE_ROWS = 1_000_000
+MOST_RANGES = 4096
+
+
+def _same(left: str, right: str, keys: list[str]) -> Column:
+    on = F.lit(True)
+    for i in range(len(keys)):
+        on = on & F.col(f"{left}{i}").eqNullSafe(F.col(f"{right}{i}"))
+    return on
+
+
+def ranges_of(rows: DataFrame, keys: list[str], range_rows: int = RANGE_ROWS) -> int:
+    """How many ranges the largest group asks for."""
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return min(MOST_RANGES, -(-largest // range_rows))
+
+
+def value_ranks(rows: DataFrame, keys: list[str], value: str, ranges: int) -> DataFrame:
+    """(k0, k1, ..., value, rank): the average rank of each distinct value within its group.
 
-    A group is not sorted in one task: values are dealt into `ranges` quantile ranges, counted by range, and ranked
-    inside (group, range); the counts of the ranges before give the offset.
+    Values are counted first, so repeated ones are sorted once. A group is not sorted in one task: its distinct values
+    are dealt into quantile ranges and accumulated inside (group, range); the counts of the ranges before give the offset.
     """
-    out = rows
+    own = [f"k{i}" for i in range(len(keys))]
+    counted = rows.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    if ranges > 1:
+        cuts = rows.groupBy(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keys)]).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("cuts"))  # one row a group
+        placed = counted.join(F.broadcast(cuts), _same("k", "c", keys)).withColumn("range", F.size(F.filter("cuts", lambda c: c <= F.col("value")))).select(*own, "value", "n", "range")
+    else:
+        placed = counted.withColumn("range", F.lit(0))
+    upto = F.sum("n").over(Window.partitionBy(*own, "range").orderBy("value"))
+    inside = placed.withColumn("rank", upto - (F.col("n") - 1) / 2)
+    if ranges <= 1:
+        return inside.select(*own, "value", "rank")
+    sizes = placed.groupBy(*own, "range").agg(F.sum("n").alias("held"))
+    ahead = F.sum("held").over(Window.partitionBy(*own).orderBy("range")) - F.col("held")
+    before = sizes.select(*[F.col(o).alias(o.replace("k", "a")) for o in own], F.col("range").alias("at"), ahead.alias("ahead"))  # one row a group and range
+    return inside.join(F.broadcast(before), _same("k", "a", keys) & (F.col("range") == F.col("at"))).select(*own, "value", (F.col("rank") + F.col("ahead")).alias("rank"))
+
+
+def ranked(rows: DataFrame, keys: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """rows with average ranks ry and rp of y and y_hat within each group."""
+    out, ranges = rows, ranges_of(rows, keys, range_rows)
     for value, name in (("y", "ry"), ("y_hat", "rp")):
-        steps = [i / ranges for i in range(1, ranges)]
-        cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, steps, 10_000)).alias("_cuts"))
-        cuts = cuts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cuts")  # one row a group
-        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-        on = same[0] if same else F.lit(True)
-        for s in same[1:]:
-            on = on & s
-        placed = out.join(F.broadcast(cuts), on).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts", *[f"_k{i}" for i in range(len(keys))])
-        sizes = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_held"))
-        ahead = sizes.withColumn("_ahead", F.sum("_held").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_held"))
-        ahead = ahead.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_ahead")
-        inside = Window.partitionBy(*keys, "_range").orderBy(value)
-        peers = Window.partitionBy(*keys, "_range", value)
-        placed = placed.withColumn("_rank", F.rank().over(inside) + (F.count("*").over(peers) - 1) / 2)
-        out = placed.join(F.broadcast(ahead), on & (F.col("_range") == F.col("_r"))).withColumn(name, F.col("_rank") + F.col("_ahead"))
-        out = out.drop("_range", "_rank", "_ahead", "_r", *[f"_k{i}" for i in range(len(keys))])
+        ranks = value_ranks(rows, keys, value, ranges)
+        on = F.col(value).eqNullSafe(F.col("value"))
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"k{i}"))
+        out = out.join(ranks, on).withColumn(name, F.col("rank")).drop("rank", "value", *[f"k{i}" for i in range(len(keys))])
     return out
 
 

@@ -18,23 +18,60 @@ class Spec:
     regions: tuple[str, ...] | None = None
 
 
-def _catalogue() -> dict[str, Spec]:
-    out: dict[str, Spec] = {}
-    steps = ("gc", "mono", "di", "kmer3", "length", "codon", "uaug", "kozak")
-    for i in range(len(steps)):
-        out[f"A{i + 1}"] = Spec(steps[: i + 1])
-    for i, more in enumerate((("cai",), ("tai",), ("cai", "tai"), ("cai", "tai", "mfe"), ("cai", "tai", "mfe"))):
-        out[f"A{i + 9}"] = Spec(steps + more)
-    for i in range(1, 7):
-        for name, more in (("cai", ("cai",)), ("tai", ("tai",)), ("cai_tai", ("cai", "tai"))):
-            out[f"A{i}_{name}"] = Spec(steps[:i] + more)
-    local = ("length", "gc", "mono", "di", "kmer3")
-    for i, regions in enumerate((("utr5",), ("cds",), ("utr3",), ("utr5", "cds"), ("cds", "utr3"))):
-        out[f"B{i + 1}"] = Spec(local, regions)
-    for i, groups in enumerate((("uaug", "kozak"), ("codon", "cai", "tai"), ("uaug", "kozak", "codon", "cai", "tai"))):
-        out[f"C{i + 1}"] = Spec(groups)
-    for i, groups in enumerate((("kmer3",), ("codon",), ("kmer3", "codon"), ("kozak", "mfe"))):
-        out[f"D{i + 1}"] = Spec(groups)
+#: Id, feature groups and, after a bar, regions of each ablation.
+ABLATION_TEXT = """
+A1 gc
+A2 gc mono
+A3 gc mono di
+A4 gc mono di kmer3
+A5 gc mono di kmer3 length
+A6 gc mono di kmer3 length codon
+A7 gc mono di kmer3 length codon uaug
+A8 gc mono di kmer3 length codon uaug kozak
+A9 gc mono di kmer3 length codon uaug kozak cai
+A10 gc mono di kmer3 length codon uaug kozak tai
+A11 gc mono di kmer3 length codon uaug kozak cai tai
+A12 gc mono di kmer3 length codon uaug kozak cai tai mfe
+A13 gc mono di kmer3 length codon uaug kozak cai tai mfe
+A1_cai gc cai
+A1_tai gc tai
+A1_cai_tai gc cai tai
+A2_cai gc mono cai
+A2_tai gc mono tai
+A2_cai_tai gc mono cai tai
+A3_cai gc mono di cai
+A3_tai gc mono di tai
+A3_cai_tai gc mono di cai tai
+A4_cai gc mono di kmer3 cai
+A4_tai gc mono di kmer3 tai
+A4_cai_tai gc mono di kmer3 cai tai
+A5_cai gc mono di kmer3 length cai
+A5_tai gc mono di kmer3 length tai
+A5_cai_tai gc mono di kmer3 length cai tai
+A6_cai gc mono di kmer3 length codon cai
+A6_tai gc mono di kmer3 length codon tai
+A6_cai_tai gc mono di kmer3 length codon cai tai
+B1 length gc mono di kmer3 | utr5
+B2 length gc mono di kmer3 | cds
+B3 length gc mono di kmer3 | utr3
+B4 length gc mono di kmer3 | utr5 cds
+B5 length gc mono di kmer3 | cds utr3
+C1 uaug kozak
+C2 codon cai tai
+C3 uaug kozak codon cai tai
+D1 kmer3
+D2 codon
+D3 kmer3 codon
+D4 kozak mfe
+"""
+
+
+def _read(text: str) -> dict[str, Spec]:
+    out = {}
+    for line in text.strip().splitlines():
+        left, _, right = line.partition("|")
+        name, *groups = left.split()
+        out[name] = Spec(tuple(groups), tuple(right.split()) or None)
     return out
 
 
@@ -47,7 +84,7 @@ def checked(specs: dict[str, Spec]) -> dict[str, Spec]:
     return specs
 
 
-ABLATIONS = checked(_catalogue())
+ABLATIONS = checked(_read(ABLATION_TEXT))
 
 
 def as_spec(spec: str | Spec | list | tuple | dict | None) -> Spec:

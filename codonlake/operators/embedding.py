@@ -18,7 +18,6 @@ from codonlake.functions import sequence as S
 
 RNAFM_LONGEST = 1022
 NT_TOKENS = 1000
-RNAFM_WIDTH = 640
 POOLINGS = ("mean", "max", "cls")
 
 
@@ -130,6 +129,13 @@ def combined(features: DataFrame, vectors: DataFrame, key: str = "gene_id") -> D
     return out
 
 
+def matrix_key(path: str, species: str, most: int | None, source: str, width: int, pooling: str = "mean") -> str:
+    """Name of a stored matrix of embeddings: input, species, number of rows, model and its parameters."""
+    stem = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    limits = {"rnafm": f"rnafm_{pooling}_L{RNAFM_LONGEST}", "nt": f"nt_hashed_{pooling}_T{NT_TOKENS}"}
+    return f"{stem}_{species}_{'full' if most is None else f'n{most}'}_{limits[source]}_{width}"
+
+
 def feature_sets(which: str, source: str) -> list[str]:
     """Labels of the runs that --features asks for: the embedding alone, with all hand-made features, or both."""
     joint = {"rnafm": "rnafm_combined", "nt": "nt_plus_full"}[source]

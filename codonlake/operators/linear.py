@@ -28,15 +28,16 @@ def scaled(rows: DataFrame, names: list[str]) -> DataFrame:
 
 @dataclass
 class Moments:
-    """Count and cross products of [1, x..., y]."""
+    """Count and cross products of [1, x - shift..., y - shift]; the shift, common to all parts, keeps their digits."""
 
     cross: np.ndarray
+    shift: np.ndarray
 
     def __sub__(self, other: Moments) -> Moments:
-        return Moments(self.cross - other.cross)
+        return Moments(self.cross - other.cross, self.shift)
 
     def __add__(self, other: Moments) -> Moments:
-        return Moments(self.cross + other.cross)
+        return Moments(self.cross + other.cross, self.shift)
 
     @property
     def n(self) -> float:
@@ -51,15 +52,15 @@ class Moments:
         deviation = np.sqrt(np.maximum(np.diag(cov), 0))
         deviation[deviation < 1e-12] = 1.0
         xy = (self.cross[i, -1] / self.n - mean * y_mean) / deviation
-        return cov / np.outer(deviation, deviation), xy, mean, deviation, y_mean
+        return cov / np.outer(deviation, deviation), xy, mean + self.shift[np.array(at)], deviation, y_mean + self.shift[-1]
 
 
-def _partial(width: int):
+def _partial(shift: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             fold = b.column(0).to_numpy(zero_copy_only=False)
-            x = np.column_stack([np.ones(b.num_rows), *(b.column(i).to_numpy(zero_copy_only=False) for i in range(1, width + 2))])
+            x = np.column_stack([np.ones(b.num_rows), *(b.column(i + 1).to_numpy(zero_copy_only=False) - m for i, m in enumerate(shift))])
             for f in np.unique(fold):
                 part = x[fold == f]
                 sums[int(f)] = sums.get(int(f), 0) + part.T @ part
@@ -74,12 +75,17 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def moments(rows: DataFrame, names: list[str], target: str = "te") -> dict[int, Moments]:
-    """Cross products by fold. The driver gets one matrix of (features + 2)^2 numbers a fold, whatever the number of rows."""
-    part = rows.select("fold", *names, target).mapInArrow(_partial(len(names)), "fold int, cross binary")
+    """Cross products by fold, shifted by the means of all rows. The driver gets one matrix of (features + 2)^2 numbers a
+    fold, whatever the number of rows.
+    """
+    columns = [*names, target]
+    means = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()  # one row
+    shift = np.array([0.0 if m is None or not np.isfinite(m) else m for m in means])
+    part = rows.select("fold", *columns).mapInArrow(_partial(shift), "fold int, cross binary")
     tree = part.withColumn("lot", F.spark_partition_id() % FAN_IN).groupBy("fold", "lot").applyInArrow(_added, "fold int, cross binary")
     out = tree.groupBy("fold").applyInArrow(_added, "fold int, cross binary").collect()
     width = len(names) + 2
-    return {r["fold"]: Moments(np.frombuffer(r["cross"], float).reshape(width, width)) for r in out}
+    return {r["fold"]: Moments(np.frombuffer(r["cross"], float).reshape(width, width), shift) for r in out}
 
 
 def accelerated(gram: np.ndarray, xy: np.ndarray, soft: float, ridge: float, most: int = 4000) -> np.ndarray:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP_CSV, TOP_BAR, TOP_HEATMAP = 50, 30, 25
 MODEL_ORDER = ("Lasso", "ElasticNet", "LinearSVM", "RandomForest", "LightGBM", "XGBoost", "SVR")
 
 
+def model_place(model: str = "model") -> Column:
+    """Place of a model in MODEL_ORDER; others come last."""
+    place = F.create_map(*[F.lit(x) for i, m in enumerate(MODEL_ORDER) for x in (m, i)])
+    return F.coalesce(F.try_element_at(place, F.col(model)), F.lit(len(MODEL_ORDER)))
+
+
 def top_features(rows: DataFrame, most: int = TOP_CSV) -> DataFrame:
     """model, rank, feature, importance, signed_coef of each model's first features; ties in feature order."""
     order = Window.partitionBy("model").orderBy(F.desc("importance"), "feature_idx")

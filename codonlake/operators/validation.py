@@ -7,13 +7,16 @@ rows are sent by broadcast up to BROADCAST_BYTES and by a shuffle beyond; a task
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonlake.operators import learners, linear
-from codonlake.operators.ranking import MODEL_ORDER
+from codonlake.operators.ranking import model_place
 
 BROADCAST_BYTES = 256 << 20
 MODELS = ("Lasso", "ElasticNet", "RandomForest", "LightGBM", "XGBoost", "SVR", "LinearSVM")
@@ -35,16 +38,23 @@ def _checked(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows
 
 
-def _linear(rows: DataFrame, names: list[str], models: list[str]) -> tuple[list[DataFrame], dict]:
-    by_fold = linear.moments(rows, names)
-    total = sum(by_fold.values(), linear.Moments(np.zeros((len(names) + 2,) * 2)))
-    at = list(range(len(names)))
-    out, refit = [], {}
-    for m in models:
-        fitted = {f: linear.fit(total - part if len(by_fold) > 1 else total, at, m) for f, part in by_fold.items()}
-        out.append(linear.predicted(rows, names, fitted, m))
-        refit[m] = linear.fit(total, at, m)
-    return out, refit
+@dataclass
+class Sums:
+    """Cross products by fold of some columns: one pass over the data serves every selection of them."""
+
+    names: list[str]
+    by_fold: dict[int, linear.Moments]
+
+    @classmethod
+    def of(cls, rows: DataFrame, names: list[str]) -> Sums:
+        return cls(names, linear.moments(rows, names))
+
+    def fit(self, names: list[str], model: str) -> tuple[dict[int, linear.Linear], linear.Linear]:
+        """The model of each held-out fold, trained on the others, and the one of all rows."""
+        at = [self.names.index(n) for n in names]
+        total = reduce(lambda a, b: a + b, self.by_fold.values())
+        alone = len(self.by_fold) == 1
+        return {f: linear.fit(total if alone else total - part, at, model) for f, part in self.by_fold.items()}, linear.fit(total, at, model)
 
 
 def _fanned(rows: DataFrame, names: list[str], keys: list[tuple], key_schema: str, work, schema: str) -> DataFrame:
@@ -60,13 +70,18 @@ def _fanned(rows: DataFrame, names: list[str], keys: list[tuple], key_schema: st
     return sent.groupBy(*[f"_{k}" for k in key_names]).applyInPandas(lambda key, own: work(key, own.sort_values("gene_id", kind="stable", ignore_index=True)), schema)
 
 
-def out_of_fold(rows: DataFrame, names: list[str], models: list[str], scale: float = 1.0) -> DataFrame:
-    """(model, fold, id, y, y_hat): each row predicted by a model that was trained on the other folds."""
+def out_of_fold(rows: DataFrame, names: list[str], models: list[str], scale: float = 1.0, sums: Sums | None = None) -> DataFrame:
+    """(model, fold, id, y, y_hat): each row predicted by a model that was trained on the other folds.
+
+    sums: cross products of the same rows, of these columns or more, where they are there already.
+    """
     rows = _checked(rows.select("gene_id", "fold", "te", *names), names)
     unknown = [m for m in models if m not in MODELS]
     if unknown:
         raise ValueError(f"unknown models: {unknown}")
-    parts, _ = _linear(rows, names, [m for m in models if m in linear.PENALTIES]) if set(models) & set(linear.PENALTIES) else ([], {})
+    straight = [m for m in models if m in linear.PENALTIES]
+    sums = sums or (Sums.of(rows, names) if straight else None)
+    parts = [linear.predicted(rows, names, sums.fit(names, m)[0], m) for m in straight]
     heavy = [m for m in models if m not in linear.PENALTIES]
     if heavy:
         folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
@@ -86,14 +101,16 @@ def out_of_fold(rows: DataFrame, names: list[str], models: list[str], scale: flo
     return out
 
 
-def importances(rows: DataFrame, names: list[str], models: list[str], scale: float = 1.0, repeats: int = 5) -> DataFrame:
-    """(model, feature_idx, feature, importance, signed_coef) of models fitted on all rows."""
+def importances(rows: DataFrame, names: list[str], models: list[str], scale: float = 1.0, repeats: int = 5, sums: Sums | None = None) -> DataFrame:
+    """(model, feature_idx, feature, importance, signed_coef) of models fitted on all rows, in MODEL_ORDER and then by feature."""
     spark = rows.sparkSession
     rows = _checked(rows.select("gene_id", "fold", "te", *names), names)
     table = []
-    if lin := [m for m in models if m in linear.PENALTIES]:
-        for m, fitted in _linear(rows, names, lin)[1].items():
-            table += [(m, i, n, abs(float(w)), float(w)) for i, (n, w) in enumerate(zip(names, fitted.coefficients, strict=True))]
+    if straight := [m for m in models if m in linear.PENALTIES]:
+        sums = sums or Sums.of(rows, names)
+        for m in straight:
+            coefficients = sums.fit(names, m)[1].coefficients
+            table += [(m, i, n, abs(float(w)), float(w)) for i, (n, w) in enumerate(zip(names, coefficients, strict=True))]
     schema = "model string, feature_idx int, feature string, importance double, signed_coef double"
     out = spark.createDataFrame(table, schema)
     heavy = [m for m in models if m not in linear.PENALTIES]
@@ -109,5 +126,33 @@ def importances(rows: DataFrame, names: list[str], models: list[str], scale: flo
             return pd.DataFrame({"model": key[0], "feature_idx": np.arange(len(names), dtype=np.int32), "feature": names, "importance": value, "signed_coef": signed if signed is not None else [None] * len(names)})
 
         out = out.unionByName(_fanned(rows, names, [(m,) for m in heavy], "model string", run, schema))
-    place = F.create_map(*[F.lit(x) for i, m in enumerate(MODEL_ORDER) for x in (m, i)])
-    return out.withColumn("ord", place[F.col("model")]).filter(F.col("model").isin(*models)).drop("ord")
+    return out.filter(F.col("model").isin(*models)).orderBy(model_place(), "feature_idx")
+
+
+def violations(rows: DataFrame, names: list[str], model: str) -> DataFrame:
+    """(model, fold, feature, violation): how far each held-out fold's Lasso or ElasticNet is from its optimality
+    conditions. The residuals' correlations with the standardised features come from the rows, not from the cross
+    products that the models were solved from: one more pass, with partial sums by fold.
+    """
+    fitted = Sums.of(rows, names).fit(names, model)[0]
+    alpha, share = linear.PENALTIES[model]
+    folds = sorted(fitted)
+
+    def partial(parts):
+        sums = np.zeros((len(folds), len(names) + 1))
+        for part in parts:
+            x, y, own = part[names].to_numpy(float), part["te"].to_numpy(float), part["fold"].to_numpy()
+            for i, f in enumerate(folds):
+                m = fitted[f]
+                trained = own != f if len(folds) > 1 else own == f
+                z = (x[trained] - m.means) / m.deviations
+                left = y[trained] - m.intercept - z @ m.coefficients
+                sums[i, :-1] += z.T @ left
+                sums[i, -1] += trained.sum()
+        yield pd.DataFrame({"fold": np.repeat(np.array(folds, np.int32), len(names)), "idx": np.tile(np.arange(len(names), dtype=np.int32), len(folds)), "slope": sums[:, :-1].ravel(), "n": np.repeat(sums[:, -1], len(names))})
+
+    total = rows.select("fold", "te", *names).mapInPandas(partial, "fold int, idx int, slope double, n double").groupBy("fold", "idx").agg((F.sum("slope") / F.sum("n")).alias("slope"))
+    w = rows.sparkSession.createDataFrame([(f, i, n, float(c)) for f in folds for i, (n, c) in enumerate(zip(names, fitted[f].coefficients, strict=True))], "fold int, idx int, feature string, w double")
+    pull = F.col("slope") - alpha * (1 - share) * F.col("w")
+    gap = F.when(F.col("w") == 0, F.greatest(F.abs(pull) - alpha * share, F.lit(0.0))).otherwise(F.abs(pull - alpha * share * F.signum("w")))
+    return total.join(F.broadcast(w), ["fold", "idx"]).select(F.lit(model).alias("model"), "fold", "feature", gap.alias("violation"))

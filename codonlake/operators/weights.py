@@ -21,17 +21,23 @@ def codon_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, c, AMINO_OF[c]) for i, c in enumerate(CODONS)], "ord int, codon string, aa string")
 
 
-def sound(seq: Column) -> Column:
+def sound(seq: Column, codons: Column) -> Column:
     """A coding sequence: ATG, whole codons of ACGT, one stop, at the end."""
-    codons = S.codons(seq)
     inner = F.slice(codons, 1, F.greatest(F.size(codons) - 1, F.lit(0)))
     return F.rlike(seq, F.lit("^ATG([ACGT]{3})+$")) & F.element_at(codons, -1).isin(*STOPS) & ~F.exists(inner, lambda c: c.isin(*STOPS))
 
 
 def checked(records: DataFrame) -> DataFrame:
-    """records (rec_id, header, seq) with seq normalised, gene, valid and reference."""
-    rows = records.withColumn("seq", S.normalised(F.col("seq"))).withColumn("gene", S.gene_tag(F.col("header")))
-    rows = rows.withColumn("valid", F.coalesce(F.length("seq") >= 6, F.lit(False)) & F.coalesce(F.when(F.length("seq") >= 6, sound(F.col("seq"))), F.lit(False)))
+    """records (rec_id, header, seq) with seq normalised, gene, valid, reference, and codons (null unless valid).
+
+    Sequence and codons are bound, so that a row's are derived once and not wherever they are named.
+    """
+    def of(seq: Column) -> Column:
+        whole = S.bound(S.codons(seq), lambda c: F.when(sound(seq, c), c))
+        return F.struct(seq.alias("seq"), F.when(F.length(seq) >= 6, whole).alias("codons"))
+
+    rows = records.withColumn("parts", S.bound(S.normalised(F.col("seq")), of)).withColumn("gene", S.gene_tag(F.col("header")))
+    rows = rows.withColumns({"seq": F.col("parts.seq"), "codons": F.col("parts.codons"), "valid": F.col("parts.codons").isNotNull()}).drop("parts")
     return rows.withColumn("reference", F.col("valid") & F.coalesce(F.rlike("gene", F.lit(REFERENCE_GENE)), F.lit(False)))
 
 
@@ -45,10 +51,14 @@ def families(spark: SparkSession) -> DataFrame:
     return codon_dimension(spark).filter("aa <> '*'").groupBy("aa").agg(F.count("*").alias("n_codons"), F.array_join(F.array_sort(F.collect_list("codon")), ",").alias("codons"))
 
 
-def codon_totals(sequences: DataFrame) -> DataFrame:
-    """(codon, count) over all sequences, each without its last codon."""
-    codons = S.codons(F.col("seq"))
-    return sequences.select(F.explode(F.slice(codons, 1, F.greatest(F.size(codons) - 1, F.lit(0)))).alias("codon")).groupBy("codon").agg(F.count("*").alias("count"))
+def _without_last(codons: Column) -> Column:
+    return F.slice(codons, 1, F.greatest(F.size(codons) - 1, F.lit(0)))
+
+
+def codon_totals(rows: DataFrame) -> DataFrame:
+    """(codon, count) over the reference genes of `checked` rows, each without its last codon."""
+    counted = F.when(F.col("reference"), _without_last(F.col("codons")))
+    return rows.select(F.explode(counted).alias("codon")).groupBy("codon").agg(F.count("*").alias("count"))
 
 
 def rscu(totals: DataFrame) -> DataFrame:
@@ -61,12 +71,21 @@ def rscu(totals: DataFrame) -> DataFrame:
     return rows.select("codon", "aa", "count", "rscu", F.coalesce(S.safe_ratio(F.col("rscu"), F.max("rscu").over(family)), F.lit(0.0)).alias("cai_weight"))
 
 
+GENES = "genes"
+
+
 def cai_weights(records: DataFrame, warn=print) -> DataFrame:
-    """(codon, amino_acid, count, rscu, cai_weight), rounded to four places, of the reference genes of records."""
-    reference = checked(records).filter("reference")
-    if reference.limit(FEW_REFERENCE_GENES).count() < FEW_REFERENCE_GENES:
+    """(codon, amino_acid, count, rscu, cai_weight), rounded to four places, of the reference genes of records.
+
+    One pass counts codons and genes (each gene adds one mark to its codons); of it one row a codon reaches the driver.
+    """
+    marked = F.when(F.col("reference"), F.concat(_without_last(F.col("codons")), F.array(F.lit(GENES))))
+    totals = checked(records).select(F.explode(marked).alias("codon")).groupBy("codon").agg(F.count("*").alias("count"))
+    found = {r["codon"]: r["count"] for r in totals.collect()}
+    if found.pop(GENES, 0) < FEW_REFERENCE_GENES:
         warn(f"fewer than {FEW_REFERENCE_GENES} reference genes: weights will be unreliable")
-    return rscu(codon_totals(reference)).select("codon", F.col("aa").alias("amino_acid"), "count", F.round("rscu", 4).alias("rscu"), F.round("cai_weight", 4).alias("cai_weight"))
+    counts = records.sparkSession.createDataFrame(sorted(found.items()), "codon string, count long")
+    return rscu(counts).select("codon", F.col("aa").alias("amino_acid"), "count", F.round("rscu", 4).alias("rscu"), F.round("cai_weight", 4).alias("cai_weight"))
 
 
 def anticodons_of(lines: DataFrame) -> DataFrame:

@@ -89,8 +89,17 @@ def _cache(spark, sf):
 
 @register("q_codon_weights", f"WITH {DUCK_WEIGHTS} SELECT codon, cai_h AS cai_weight_human, cai_m AS cai_weight_mouse, tai_h AS tai_weight_human, tai_m AS tai_weight_mouse FROM w")
 def _weights(spark, sf):
-    rows = [(c, CAI["human"][c], CAI["mouse"][c], TAI["human"].get(c), TAI["mouse"].get(c)) for c in SENSE]
-    return spark.createDataFrame(rows, "codon string, cai_weight_human double, cai_weight_mouse double, tai_weight_human double, tai_weight_mouse double")
+    """The built-in tables as combined CSV files, read again as a user's own."""
+    from codonlake.sources import readers, store
+
+    out = None
+    for kind, table in (("cai", CAI), ("tai", TAI)):
+        names = [f"{kind}_weight_{s}" for s in ("human", "mouse")]
+        rows = spark.createDataFrame([(c, AMINO_OF[c], table["human"].get(c), table["mouse"].get(c)) for c in SENSE], f"codon string, amino_acid string, {names[0]} double, {names[1]} double")
+        path = store.write_csv(rows, f"{store.shared_root(spark)}/weights-{kind}", order=["codon"])
+        read = readers.table(spark, path, readers.CAI_TABLES if kind == "cai" else readers.TAI_TABLES).select("codon", *names)
+        out = read if out is None else out.join(read, "codon")
+    return out
 
 
 # ---- scalar operators
@@ -110,12 +119,23 @@ register("q_codon_usage", f"{_T}, {_CODON_CTE} SELECT t.gene_id, {_USAGE_SQL} FR
 register("q_cai", f"{_T}, {_CODON_CTE} SELECT gene_id, round(cai, 6) AS cai FROM t LEFT JOIN ca USING (gene_id)")(lambda spark, sf: rounded(features.matrix(X.transcripts(spark, sf), groups=["cai"])))
 register("q_tai", f"{_T}, {_CODON_CTE} SELECT gene_id, round(tai, 6) AS tai FROM t LEFT JOIN ta USING (gene_id)")(lambda spark, sf: rounded(features.matrix(X.transcripts(spark, sf), groups=["tai"])))
 register("q_mfe")(lambda spark, sf: features.matrix(X.transcripts(spark, sf), groups=["mfe"]))
-_ALL_SQL = f"""{_T}, {_CODON_CTE}, cu AS (SELECT t.gene_id, {_USAGE_SQL.replace(", 9)", ", 6)")} FROM t LEFT JOIN k1 USING (gene_id) LEFT JOIN k2 USING (gene_id) GROUP BY t.gene_id, k2.total)
-SELECT t.gene_id, t.fold, {_LENGTH_SQL}, {_GC_SQL}, {_kmer_sql(1, 6)}, {_kmer_sql(2, 6)}, {_kmer_sql(3, 6)}, cu.* EXCLUDE (gene_id), CAST({_hits("utr5", "ATG")} AS DOUBLE) AS "uAUG_count", {_KOZAK_SQL} AS kozak_score, round(cai, 6) AS cai, round(tai, 6) AS tai
-FROM t LEFT JOIN cu USING (gene_id) LEFT JOIN ca USING (gene_id) LEFT JOIN ta USING (gene_id)""".replace(", 9)", ", 6)")
-register("q_feature_matrix")(lambda spark, sf: rounded(features.matrix(X.transcripts(spark, sf), keep=("gene_id", "fold"))))
+_ALL_SQL = f"""{_T}, {_CODON_CTE}, cu AS (SELECT t.gene_id, {_USAGE_SQL} FROM t LEFT JOIN k1 USING (gene_id) LEFT JOIN k2 USING (gene_id) GROUP BY t.gene_id, k2.total)
+SELECT t.gene_id, t.fold, {_LENGTH_SQL}, {_GC_SQL}, {_kmer_sql(1)}, {_kmer_sql(2)}, {_kmer_sql(3)}, cu.* EXCLUDE (gene_id), CAST({_hits("utr5", "ATG")} AS DOUBLE) AS "uAUG_count", {_KOZAK_SQL} AS kozak_score, round(cai, 6) AS cai, round(tai, 6) AS tai
+FROM t LEFT JOIN cu USING (gene_id) LEFT JOIN ca USING (gene_id) LEFT JOIN ta USING (gene_id)"""
+
+
+def _matrix(groups: list[str] | None):
+    """Frequencies at 9 places, where ratios of counts do not tie; the weighted means, sums of logarithms, at 6."""
+    def run(spark, sf):
+        rows = features.matrix(X.transcripts(spark, sf), groups=groups, keep=("gene_id", "fold"))
+        return rows.select(*[F.round(c, 6 if c in ("cai", "tai") else 9).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+    return run
+
+
+register("q_feature_matrix")(_matrix(None))
 #: The columns that SQL can express: all but mfe.
-register("q_feature_matrix_sql", _ALL_SQL)(lambda spark, sf: rounded(features.matrix(X.transcripts(spark, sf), groups=[g for g in features.GROUPS if g != "mfe"], keep=("gene_id", "fold"))))
+register("q_feature_matrix_sql", _ALL_SQL)(_matrix([g for g in features.GROUPS if g != "mfe"]))
 register("q_feature_subset", f"{_T} SELECT gene_id, {_GC_SQL}, CAST({_hits('utr5', 'ATG')} AS DOUBLE) AS \"uAUG_count\" FROM t")(_group_query(["uaug", "gc"]))
 register("q_impute0", f"{_T} SELECT gene_id, coalesce({_KOZAK_SQL}, 0) AS kozak_score, " + ", ".join(f"coalesce(round(len(regexp_extract_all({r}, '[GC]')) / nullif(length({r}), 0), 9), 0) AS gc_{n}" for n, r in (("utr5", "utr5"), ("cds", "cds"), ("utr3", "utr3"), ("full", "tx"))) + " FROM t")(
     lambda spark, sf: rounded(ablation.imputed(features.matrix(X.transcripts(spark, sf), groups=["gc", "kozak"]), ["kozak_score", "gc_utr5", "gc_cds", "gc_utr3", "gc_full"]), 9)
@@ -166,7 +186,7 @@ register("q_cds_qc", f"WITH {_CHECKED_SQL} SELECT rec_id, valid FROM c")(lambda
 register("q_reference_set", f"WITH {_CHECKED_SQL} SELECT rec_id, gene, length(seq) AS length_nt FROM c WHERE reference")(lambda spark, sf: weights.checked(X.cds_records(spark, sf)).filter("reference").select("rec_id", "gene", F.length("seq").cast("long").alias("length_nt")))
 register("q_cds_counters", f"WITH {_CHECKED_SQL} SELECT count(*) AS n_total, count(*) FILTER (valid) AS n_valid, count(*) FILTER (reference) AS n_ref FROM c")(lambda spark, sf: weights.counters(weights.checked(X.cds_records(spark, sf))))
 register("q_codon_families", f"WITH {DUCK_DIM} SELECT aa, count(*) AS n_codons, string_agg(codon, ',' ORDER BY codon) AS codons FROM dim WHERE aa <> '*' GROUP BY aa")(lambda spark, sf: weights.families(spark))
-register("q_codon_counts", f"WITH {_CHECKED_SQL} SELECT codon, count(*) AS count FROM (SELECT unnest(cs[:-2]) AS codon FROM c WHERE reference) GROUP BY codon")(lambda spark, sf: weights.codon_totals(weights.checked(X.cds_records(spark, sf)).filter("reference")))
+register("q_codon_counts", f"WITH {_CHECKED_SQL} SELECT codon, count(*) AS count FROM (SELECT unnest(cs[:-2]) AS codon FROM c WHERE reference) GROUP BY codon")(lambda spark, sf: weights.codon_totals(weights.checked(X.cds_records(spark, sf))))
 register("q_rscu", f"SELECT codon, amino_acid, count, rscu FROM ({_RSCU_SQL})")(lambda spark, sf: weights.cai_weights(X.cds_records(spark, sf)).drop("cai_weight"))
 register("q_cai_weights", f"SELECT codon, amino_acid, cai_weight FROM ({_RSCU_SQL})")(lambda spark, sf: weights.cai_weights(X.cds_records(spark, sf)).select("codon", "amino_acid", "cai_weight"))
 register("q_anticodon_counts", f"WITH {X.DUCK_HEADERS} SELECT replace(upper(a), 'U', 'T') AS anticodon, count(*) AS gene_copy_number FROM (SELECT unnest(regexp_extract_all(line, '(?i)tRNA-[A-Za-z]{{3}}-([ACGTU]{{3}})', 1)) AS a FROM h WHERE starts_with(line, '>')) GROUP BY 1")(lambda spark, sf: weights.anticodons_of(X.trna_headers(spark)))
@@ -299,6 +319,24 @@ def _permutation(spark, sf):
     return importances(*_model_rows(spark, sf, "C1"), ["SVR"], 1.0)
 
 
+_LINEAR_ROWS = f"{_T}, u AS (SELECT * FROM t WHERE te IS NOT NULL)"
+
+
+def _optimality(model: str):
+    def run(spark, sf):
+        from codonlake.operators.validation import violations
+
+        return violations(*_model_rows(spark, sf, "A5"), model).select("model", "fold", "feature", (F.col("violation") <= 1e-4).alias("optimal"))
+
+    return run
+
+
+#: Each fold's coefficients meet the optimality conditions of their penalty, computed from the rows themselves.
+for _name, _model in (("q_lasso_optimality", "Lasso"), ("q_elasticnet_optimality", "ElasticNet")):
+    _columns = ", ".join(f"('{c}')" for c in ablation.columns("A5"))
+    register(_name, f"{_LINEAR_ROWS} SELECT '{_model}' AS model, fold, feature, true AS optimal FROM (SELECT DISTINCT fold FROM u), (VALUES {_columns}) AS v(feature)")(_optimality(_model))
+
+
 @register("q_fasta_parse", f"WITH {X.DUCK_CDS} SELECT header, seq FROM r")
 def _fasta(spark, sf):
     """Coding records as FASTA text and read again."""

@@ -9,45 +9,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonlake.functions import metrics
+from codonlake.functions.codons import Tables
 from codonlake.operators import ablation, embedding, ranking, validation, weights
 from codonlake.sources import readers, store
 
+#: Columns that go with the features.
+KEPT = ("gene_id", "fold", "te")
+
 
 @dataclass(frozen=True)
 class Dataset:
     path: str
     label: str
     species: str
+    target: str
+
+
+#: Name, label, species and target column of the datasets.
+DATASETS = (("human", "Human_HCT116", "human", "TE_HCT116"), ("mouse", "Mouse_4T1", "mouse", "TE_4T1"))
+
 
+def datasets(spark: SparkSession, root: str) -> dict[str, Dataset]:
+    """The datasets below root: NAME.parquet, NAME.csv or NAME.xlsx."""
+    out = {}
+    for name, label, species, target in DATASETS:
+        paths = [f"{root}/{name}.{kind}" for kind in ("parquet", "csv", "xlsx")]
+        out[name] = Dataset(next((p for p in paths if store.exists(spark, p)), paths[0]), label, species, target)
+    return out
 
-def datasets(root: str) -> dict[str, Dataset]:
-    return {"human": Dataset(f"{root}/human.parquet", "Human_HCT116", "human"), "mouse": Dataset(f"{root}/mouse.parquet", "Mouse_4T1", "mouse")}
 
+def array_job(index: int, ids: list[str], names: list[str]) -> tuple[str, str]:
+    """(ablation, dataset) of a job array's task: ablations first, then datasets."""
+    if not 0 <= index < len(ids) * len(names):
+        raise ValueError(f"task {index} of {len(ids) * len(names)}")
+    return ids[index % len(ids)], names[index // len(ids)]
 
-def prepared(transcripts: DataFrame, spec, species: str = "human", most: int | None = None) -> tuple[DataFrame, list[str]]:
+
+def prepared(transcripts: DataFrame, spec, species: str | Tables = "human", most: int | None = None) -> tuple[DataFrame, list[str]]:
     """Model-ready rows of an ablation; only the groups it names are computed."""
     rows = ablation.usable(transcripts, most=most)
     s = ablation.as_spec(spec)
-    matrix = store.feature_cache(rows, species, list(s.groups), ("gene_id", "fold", "te"))
+    matrix = store.feature_cache(rows, species, list(s.groups), KEPT)
     return ablation.prepared(matrix, s)
 
 
-def evaluate(transcripts: DataFrame, spec, models: list[str], species: str = "human", scale: float = 1.0, most: int | None = None) -> DataFrame:
+def evaluate(transcripts: DataFrame, spec, models: list[str], species: str | Tables = "human", scale: float = 1.0, most: int | None = None) -> DataFrame:
     """Metric rows (model, fold, five metrics): each fold, mean, std and pooled."""
     rows, names = prepared(transcripts, spec, species, most)
     return metrics.summary(validation.out_of_fold(rows, names, models, scale), ["model"], strict=False)
 
 
-def report(rows: DataFrame, names: list[str], models: list[str], label: str, out: str, scale: float = 1.0) -> list[str]:
+def report(rows: DataFrame, names: list[str], models: list[str], label: str, out: str, scale: float = 1.0, sums: validation.Sums | None = None) -> list[str]:
     """Writes the metric, R2 and top-feature tables and the charts' data of one run."""
-    oof = validation.out_of_fold(rows, names, models, scale).persist()
+    if set(models) & set(validation.linear.PENALTIES):
+        sums = sums or validation.Sums.of(rows, names)
+    oof = validation.out_of_fold(rows, names, models, scale, sums).persist()
     dataset = F.lit(label).alias("dataset")
-    imp = validation.importances(rows, names, models, scale).persist()
+    imp = validation.importances(rows, names, models, scale, sums=sums).persist()
+    place = ranking.model_place()
+    top = ranking.top_features(imp).select(dataset, "*")
     written = [
-        store.write_csv(metrics.summary(oof, ["model"], strict=False).select(dataset, "*"), f"{out}/{label}_eval_results", order=["model", "fold"]),
-        store.write_csv(metrics.summary(oof, ["model"], strict=True).select(dataset, "*"), f"{out}/{label}_r2_results", order=["model", "fold"]),
-        store.write_csv(ranking.top_features(imp).select(dataset, "*"), f"{out}/{label}_top_features", order=["model", "rank"]),
-        store.write_csv(ranking.bars(imp).select(dataset, "*"), f"{out}/{label}_bars", order=["model", "rank"]),
+        store.write_csv(metrics.summary(oof, ["model"], strict=False).select(dataset, "*"), f"{out}/{label}_eval_results", order=[place, "fold"]),
+        store.write_csv(metrics.summary(oof, ["model"], strict=True).select(dataset, "*"), f"{out}/{label}_r2_results", order=[place, "fold"]),
+        store.write_csv(top.orderBy(place, "rank").drop("rank"), f"{out}/{label}_top_features"),
+        store.write_csv(ranking.bars(imp).select(dataset, "*"), f"{out}/{label}_bars", order=[place, "rank"]),
         store.write_csv(ranking.heatmap_wide(imp, models), f"{out}/{label}_heatmap"),
     ]
     oof.unpersist()
@@ -55,34 +80,58 @@ def report(rows: DataFrame, names: list[str], models: list[str], label: str, out
     return written
 
 
-def run_ablations(spark: SparkSession, root: str, out: str, ids: list[str] | None = None, which: list[str] | None = None, models: list[str] | None = None, cache_only: bool = False, scale: float = 1.0) -> list[str]:
+def run_ablations(
+    spark: SparkSession, root: str, out: str, ids: list[str] | None = None, which: list[str] | None = None, models: list[str] | None = None, cache_only: bool = False, scale: float = 1.0,
+    weight_paths: tuple[str, str] | None = None,
+) -> list[str]:
+    """Reports of all (dataset, ablation) below out/ABLATION. The groups that any of them names are computed once, and one
+    pass of cross products serves the linear models of all of them. weight_paths: combined CAI and tAI tables of one's own.
+    """
     written = []
-    for name, d in datasets(root).items():
+    specs = {i: ablation.ABLATIONS[i] for i in ids or list(ablation.ABLATIONS)}
+    groups = sorted({g for s in specs.values() for g in s.groups})
+    models = models or list(validation.MODELS)
+    for name, d in datasets(spark, root).items():
         if which and name not in which:
             continue
-        rows = readers.transcripts(spark, d.path)
-        for aid in ids or list(ablation.ABLATIONS):
-            ready, names = prepared(rows, aid, d.species)
-            if not cache_only:
-                written += report(ready, names, models or list(validation.MODELS), d.label, f"{out}/{aid}", scale)
+        rows = ablation.usable(readers.transcripts(spark, d.path, d.target))
+        species = readers.weight_tables(spark, *weight_paths, d.species) if weight_paths else d.species
+        matrix = store.feature_cache(rows, species, groups, KEPT)
+        if cache_only:
+            continue
+        everything, every = ablation.prepared(matrix, groups)
+        sums = validation.Sums.of(everything, every) if set(models) & set(validation.linear.PENALTIES) else None
+        for aid, spec in specs.items():
+            ready, names = ablation.prepared(matrix, spec)
+            written += report(ready, names, models, d.label, f"{out}/{aid}", scale, sums)
     return written
 
 
-def run_embeddings(spark: SparkSession, root: str, out: str, source: str, which: str = "both", chosen: list[str] | None = None, embed_only: bool = False, provider=None, width: int = 64, models: list[str] | None = None, scale: float = 1.0) -> list[str]:
-    """Embedding features alone and joined with all hand-made ones. source: rnafm or nt."""
+def run_embeddings(
+    spark: SparkSession, root: str, out: str, source: str, which: str = "both", chosen: list[str] | None = None, embed_only: bool = False, provider=None, width: int = 64, models: list[str] | None = None,
+    scale: float = 1.0, most: int | None = None,
+) -> list[str]:
+    """Embedding features alone and joined with all hand-made ones. source: rnafm or nt. The matrix of a dataset's vectors
+    is stored under its key, with the contents it was made of, and read when both are the same.
+    """
     written = []
     provider = provider or (lambda: embedding.hashed_kmers(width))
-    for name, d in datasets(root).items():
+    for name, d in datasets(spark, root).items():
         if chosen and name not in chosen:
             continue
-        rows = ablation.usable(readers.transcripts(spark, d.path))
+        rows = ablation.usable(readers.transcripts(spark, d.path, d.target), most=most)
         raw = F.col("tx_sequence")
         key, seq = (embedding.rnafm_key(raw), embedding.rnafm_input(raw)) if source == "rnafm" else (embedding.nt_key(raw, "hashed"), embedding.nt_input(raw))
-        keyed = rows.select("gene_id", "fold", "te", key.alias("seq_hash"), seq.alias("seq"))
-        vectors = embedding.cached_through(keyed, f"{store.shared_root(spark)}/embeddings/{source}", provider)
+        keyed = rows.select(*KEPT, key.alias("seq_hash"), seq.alias("seq"))
+
+        def vectors(keyed: DataFrame = keyed) -> DataFrame:
+            found = embedding.cached_through(keyed, f"{store.shared_root(spark)}/embeddings/{source}-{width}", provider)
+            return embedding.unstacked(found.select(*KEPT, "embedding"), source, width)
+
+        path = f"{store.shared_root(spark)}/matrices/{embedding.matrix_key(d.path, d.species, most, source, width)}-{store.content(keyed, *KEPT, 'seq_hash')}"
+        wide = store.stored(spark, path, vectors)
         if embed_only:
             continue
-        wide = embedding.unstacked(vectors.select("gene_id", "fold", "te", "embedding"), source, width)
         own = [c for c in wide.columns if c.startswith(f"{source}_")]
         for label in embedding.feature_sets(which, source):
             if label == source:
@@ -125,6 +174,8 @@ def main(argv: list[str] | None = None) -> int:
     run = sub.add_parser("run", help="ablations")
     run.add_argument("--ablation", choices=list(ablation.ABLATIONS))
     run.add_argument("--cache-only", action="store_true")
+    run.add_argument("--weights", nargs=2, metavar=("CAI", "TAI"), help="combined weight tables in the place of the built-in ones")
+    run.add_argument("--index", type=int, help="task of a job array over (ablation, dataset)")
     for source in ("rnafm", "nt"):
         one = sub.add_parser(source, help=f"{source} embeddings")
         one.add_argument("--features", choices=[source, "combined", "both"], default="both")
@@ -143,7 +194,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     which = [a.dataset] if getattr(a, "dataset", None) else None
     if a.command == "run":
-        run_ablations(spark, a.data, a.out, [a.ablation] if a.ablation else None, which, a.models, a.cache_only, a.scale)
+        ids = [a.ablation] if a.ablation else None
+        if a.index is not None:
+            one, name = array_job(a.index, ids or list(ablation.ABLATIONS), which or [d[0] for d in DATASETS])
+            ids, which = [one], [name]
+        run_ablations(spark, a.data, a.out, ids, which, a.models, a.cache_only, a.scale, tuple(a.weights) if a.weights else None)
     elif a.command in ("rnafm", "nt"):
         run_embeddings(spark, a.data, a.out, a.command, a.features, which, a.embed_only, models=a.models, scale=a.scale)
     else:

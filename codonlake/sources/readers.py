@@ -5,25 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRANSCRIPTS = "gene_id long, tx_sequence string, utr5_size int, cds_size int, fold int, te double"
-CAI_TABLE = "codon string, amino_acid string, cai_weight double"
-TAI_TABLE = "codon string, amino_acid string, tai_weight double"
+from codonlake.functions.codons import Tables
+
+COLUMNS = {"gene_id": "long", "tx_sequence": "string", "utr5_size": "int", "cds_size": "int", "fold": "int", "te": "double"}
+CAI_TABLES = "codon string, amino_acid string, cai_weight_human double, cai_weight_mouse double"
+TAI_TABLES = "codon string, amino_acid string, tai_weight_human double, tai_weight_mouse double"
 ANTICODONS = "anticodon string, gene_copy_number int"
 
 
-def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, CSV with a header, or a workbook (first sheet, where openpyxl is there) of transcripts; NaN becomes null."""
+def target_of(columns: list[str], target: str | None = None) -> str:
+    """The target's column: the one named, or `te`, or the only one that begins with TE_."""
+    if target is not None and target in columns:
+        return target
+    if "te" in columns:
+        return "te"
+    found = [c for c in columns if c.startswith("TE_")]
+    if target is not None or len(found) != 1:
+        raise ValueError(f"which column is the target? wanted {target or 'te'}, found {', '.join(found) or 'none'}")
+    return found[0]
+
+
+def transcripts(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
+    """Parquet, CSV with a header, or a workbook (first sheet, where openpyxl is there) of transcripts, by column names.
+
+    Without gene_id rows are numbered; what is no number becomes null, and so does NaN.
+    """
     if path.endswith((".xlsx", ".xls")):
         import pandas as pd
 
-        sheet = pd.read_excel(path)
-        target = next(c for c in sheet.columns if c.startswith("TE_") or c == "te")
-        sheet = sheet.rename(columns={target: "te"}).reset_index(names="gene_id")
-        rows = [tuple(None if pd.isna(v) else v for v in r) for r in sheet[["gene_id", "tx_sequence", "utr5_size", "cds_size", "fold", "te"]].itertuples(index=False)]
-        return spark.createDataFrame([(int(r[0]), r[1], *(None if v is None else int(v) for v in r[2:5]), r[5]) for r in rows], TRANSCRIPTS)
-    read = spark.read.schema(TRANSCRIPTS)
-    rows = read.option("header", True).csv(path) if path.endswith(".csv") else read.parquet(path)
-    return rows.withColumn("te", F.when(~F.isnan("te"), F.col("te")))
+        sheet = pd.read_excel(path)  # a sheet has at most 1,048,576 rows
+        if "gene_id" not in sheet.columns:
+            sheet = sheet.reset_index(names="gene_id")
+        wanted = [target_of(list(sheet.columns), target) if c == "te" else c for c in COLUMNS]
+        values = [[None if pd.isna(v) else str(v) for v in r] for r in sheet[wanted].itertuples(index=False)]
+        rows = spark.createDataFrame(values, ", ".join(f"`{c}` string" for c in wanted))
+    else:
+        rows = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    if "gene_id" not in rows.columns:
+        rows = rows.withColumn("gene_id", F.monotonically_increasing_id())
+    value = target_of(rows.columns, target)
+    number = lambda c, t: F.col(c).cast("string").try_cast("double").try_cast(t) if t != "string" else F.col(c)
+    out = rows.select(*[(F.col(c).try_cast("long") if c == "gene_id" else number(value if c == "te" else c, t)).alias(c) for c, t in COLUMNS.items()])
+    return out.withColumn("te", F.when(~F.isnan("te"), F.col("te")))
+
+
+def weight_tables(spark: SparkSession, cai_path: str, tai_path: str, species: str) -> Tables:
+    """A species' weights from combined tables as `build-cai` and `build-tai` write them: a row a codon."""
+    found = []
+    for kind, path, schema in (("cai", cai_path, CAI_TABLES), ("tai", tai_path, TAI_TABLES)):
+        rows = table(spark, path, schema).select("codon", F.col(f"{kind}_weight_{species}").alias("w")).filter("w > 0")
+        found.append({r["codon"]: r["w"] for r in rows.collect()})  # a row a codon
+    return Tables(species, *found)
 
 
 def table(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:

@@ -1,20 +1,27 @@
-"""Stored tables: the feature cache, written once and shared by all ablations, and the reports."""
+"""Stored tables: matrices written once and shared by all that need them, and the reports."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonlake.functions import features
+from codonlake.functions.codons import Tables, weights_key
 
 
-def fingerprint(transcripts: DataFrame, species: str, groups: list[str] | None) -> str:
-    """Digest of the rows' contents and the parameters, so edited rows never meet stale features."""
-    row = F.xxhash64("gene_id", "tx_sequence", "utr5_size", "cds_size").cast("decimal(38,0)")
-    n, total = transcripts.agg(F.count("*"), F.sum(row)).first()
-    return f"{species}-{'-'.join(features.chosen(groups))}-{n}-{abs(int(total or 0)) % 10**18}"
+def content(rows: DataFrame, *columns: str) -> str:
+    """Number of rows and a digest of the named columns' values, whatever their order."""
+    n, total = rows.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()
+    return f"{n}-{abs(int(total or 0)) % 10**18}"
+
+
+def fingerprint(transcripts: DataFrame, species: str | Tables, groups: list[str] | None, keep: tuple[str, ...] = ()) -> str:
+    """Digest of all that a stored matrix holds or depends on: sequences, sizes, the columns kept, weights, groups, version."""
+    columns = dict.fromkeys(("gene_id", "tx_sequence", "utr5_size", "cds_size", *keep))
+    return f"{weights_key(species)}-v{features.VERSION}-{'-'.join(features.chosen(groups))}-{content(transcripts, *columns)}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -23,26 +30,34 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a temporary folder only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="store-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-def feature_cache(transcripts: DataFrame, species: str = "human", groups: list[str] | None = None, keep: tuple[str, ...] = ("gene_id",), root: str | None = None) -> DataFrame:
-    """The feature matrix, read from the store if it is there and complete, else computed and written.
+def stored(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path, built and written first unless it is there and complete."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def feature_cache(transcripts: DataFrame, species: str | Tables = "human", groups: list[str] | None = None, keep: tuple[str, ...] = ("gene_id",), root: str | None = None) -> DataFrame:
+    """The feature matrix, from the store or computed and written. Columns are wide, so a selection is pruned in the scan.
 
-    Columns are wide, so an ablation's selection is pruned in the scan.
+    Edited rows, folds, targets or weights are other contents, so they never meet a matrix of older ones.
     """
     spark = transcripts.sparkSession
-    path = f"{root or shared_root(spark)}/features/{fingerprint(transcripts, species, groups)}-{'-'.join(keep)}"
-    if not exists(spark, f"{path}/_SUCCESS"):
-        features.matrix(transcripts, species, groups, keep).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = f"{root or shared_root(spark)}/features/{fingerprint(transcripts, species, groups, keep)}-{'-'.join(keep)}"
+    return stored(spark, path, lambda: features.matrix(transcripts, species, groups, keep))
 
 
-def write_csv(rows: DataFrame, path: str, sep: str = ",", order: list[str] | None = None) -> str:
+def write_csv(rows: DataFrame, path: str, sep: str = ",", order: list[str | Column] | None = None) -> str:
     """One small report as one CSV file with a header."""
     (rows.orderBy(*order) if order else rows).coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
     return path
