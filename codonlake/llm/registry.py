@@ -24,5 +24,6 @@ ORACLES = {
     "op6_weighted_mix": mixing.ORACLE,
     "op7_minmax_dedup": minmax_dedup.ORACLE,
     "op8_chat_format": chat.ORACLE,
+    "op9_run_length_dedup": repeats.ORACLE,
     "op10_warc_revisits": warc.ORACLE,
 }

@@ -8,12 +8,14 @@ indexed apart and still hold every such pair of strings:
    same place in each of its occurrences. An anchor's context is all that a string of `length` bytes around it can reach.
 2. Contexts meet by the hash of their anchor. Anchors that stand once are done. Of equal contexts of an anchor only the
    first is indexed; the others repeat it whole; 64-bit hashes of anchor and context tell, bytes are not compared. (This is what makes copies of documents cheap, in any number.)
-3. The different contexts of an anchor are lined up at it and indexed by a positional Burrows-Wheeler transform: at
-   each column the contexts are ordered by what they read backwards from there. The transform is dense (no runs or
-   samples are stored), but inside a run of a column's symbols every context keeps its predecessor, so its matching statistic, the length that it
-   shares with the predecessor, streams on by one; only where a run begins is it found anew by
-   comparing the two texts. Contexts that share at least `length` symbols up to a column stand next to each other and
-   hold one string; all but the earliest are marked. One block holds many anchors.
+3. The different contexts of an anchor are lined up at it and indexed by a run-compressed positional Burrows-Wheeler
+   transform: at each column the contexts are ordered by what they read backwards from there, and the column's symbols in
+   that order are stored as runs: where a run begins, where it goes in the next column's order, and the contexts at its
+   two ends (the sampled run ends). All contexts are then streamed through the stored runs. Inside a run a context keeps
+   its predecessor, so its matching statistic, the length that it shares with the predecessor, grows by one without
+   being touched; only at a run's sampled beginning is it found anew, against the sampled end of the run before.
+   Contexts that share at least `length` symbols up to a column stand next to each other and hold one string; all but
+   the earliest are marked. One block holds many anchors.
 4. An anchor with more than `most_contexts` different contexts does not fit a block. Its strings of `length` bytes
    are told apart by 128-bit hashes and meet in an aggregation with partial minima, so no group is gathered.
 
@@ -115,46 +117,59 @@ def _contexts(length: int, k: int):
 
 
 class RunIndex:
-    """Dense positional transform of groups of strings that are lined up in columns.
+    """Run-compressed positional transform of groups of strings that are lined up in columns.
 
-    symbols: (strings, columns), 0 where a string has no symbol; group: of each string, ascending. `step` moves on by one
-    column; then `order` has the strings by group and by what they read backwards from there, and `common` has, for each
-    string, how many symbols it shares with the one before it in the order (counted up to `most` where a run begins).
+    symbols: (strings, columns), 0 where a string has no symbol; group: of each string, ascending. Of each column the
+    index keeps its runs, in the order of the strings by group and by what they read backwards before the column: first
+    row, row that the run's first string has in the next column's order, symbol, and the strings at both ends.
     """
 
-    def __init__(self, symbols: np.ndarray, group: np.ndarray, most: int) -> None:
-        self.symbols, self.columns, self.most = symbols, np.ascontiguousarray(symbols.T), most
-        self.group = group.astype(np.int64) << 32
-        self.order = np.arange(len(group))
-        self.common = np.zeros(len(group), np.int64)
-        self.column = -1
-        self.heads = 0
-
-    def step(self) -> None:
-        self.column += 1
-        n = len(self.order)
-        here = self.columns[self.column]
-        keys = self.group[self.order] | here[self.order].astype(np.int64) << 24 | np.arange(n)  # at most 2**24 strings
-        keys.sort()
-        place = keys & 0xFFFFFF
-        self.order = self.order[place]
-        kind = keys >> 24
-        same = np.zeros(n, bool)
-        same[1:] = (kind[1:] == kind[:-1]) & (kind[1:] & 0xFF != 0)
-        goes_on = same.copy()
-        goes_on[1:] &= place[1:] == place[:-1] + 1
-        begins = np.flatnonzero(same & ~goes_on)
-        self.common[self.order[~same]] = 0
-        self.common[self.order[goes_on]] += 1
-        if len(begins):
-            self.heads += len(begins)
-            self.common[self.order[begins]] = self._shared(self.order[begins], self.order[begins - 1])
-
-    def _shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Symbols that a and b share backwards from the current column."""
+    def __init__(self, symbols: np.ndarray, group: np.ndarray) -> None:
+        self.symbols, n = symbols, len(group)
+        self.runs: list[tuple[np.ndarray, ...]] = []
+        own_group = group.astype(np.int64) << 8  # groups keep their rows in every column
+        apart = group[1:] != group[:-1]
+        order = np.arange(n)
+        for column in np.ascontiguousarray(symbols.T):
+            here = column[order]
+            starts = np.concatenate([[0], np.flatnonzero((here[1:] != here[:-1]) | apart) + 1])
+            turn = np.argsort(own_group[starts] | here[starts], kind="stable")
+            sizes = np.diff(np.append(starts, n))
+            goes = np.empty(len(starts), np.int64)
+            goes[turn] = np.cumsum(sizes[turn]) - sizes[turn]
+            self.runs.append((starts, goes, here[starts], order[starts], order[starts + sizes - 1]))
+            order = self.moved(order, starts, goes, turn)
+
+    @staticmethod
+    def moved(order: np.ndarray, starts: np.ndarray, goes: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """The order of the next column: whole runs change places, their strings stay side by side."""
+        shift = (starts - goes)[turn]
+        return order[np.arange(len(order)) + np.repeat(shift, np.diff(np.append(goes[turn], len(order))))]
+
+    def statistics(self, group: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(column, order after it, statistic of each string): how many symbols up to the column a string shares with the
+        one before it in that order, 0 for the first of its group or symbol; counted up to `most` where a run begins.
+        """
+        order = np.arange(len(group))
+        since = np.zeros(len(group), np.int64)  # the statistic after a column is column + 1 - since
+        for column, (starts, goes, symbol, first, last) in enumerate(self.runs):
+            turn = np.argsort(goes)
+            a, b = first[turn], last[turn[:-1]]
+            kind = symbol[turn]
+            same = (kind[1:] == kind[:-1]) & (group[a[1:]] == group[b]) & (kind[1:] != 0)
+            since[a] = column + 1
+            left = np.flatnonzero(same)
+            since[a[left + 1]] -= self._shared(a[left + 1], b[left], column + 1, most)
+            if not symbol.all():  # what has no symbol here shares none
+                since[order[np.repeat(symbol == 0, np.diff(np.append(starts, len(order))))]] = column + 1
+            order = self.moved(order, starts, goes, turn)
+            yield column, order, column + 1 - since
+
+    def _shared(self, a: np.ndarray, b: np.ndarray, end: int, most: int) -> np.ndarray:
+        """Symbols that a and b share backwards from the end."""
         out = np.zeros(len(a), np.int64)
-        left, end = np.arange(len(a)), self.column + 1
-        for size in (8, self.most):
+        left = np.arange(len(a))
+        for size in (8, most):
             if not len(left):
                 break
             lo = max(0, end - size)
@@ -181,19 +196,17 @@ def later_matches(bodies: list[bytes], group: np.ndarray, ids: np.ndarray, ats:
     symbols.reshape(-1)[flat] = np.frombuffer(b"".join(bodies), np.uint8) + np.uint8(1)  # UTF-8 has no byte 0xFF
     when = np.empty(len(bodies), np.int64)
     when[np.lexsort((ats, ids))] = np.arange(len(bodies))
-    index = RunIndex(symbols, group, length)
     marked = np.zeros((before + 1, len(bodies)), bool)
-    for column in range(width):
-        index.step()
+    for column, order, shared in RunIndex(symbols, group).statistics(group, length):
         if column < length - 1:
             continue
-        fresh = index.common[index.order] < length
+        fresh = shared[order] < length
         if fresh.all():
             continue
         heads = np.flatnonzero(fresh)
-        own = when[index.order]
+        own = when[order]
         least = np.minimum.reduceat(own, heads)
-        marked[column - length + 1, index.order] = own > np.repeat(least, np.diff(np.append(heads, len(own))))
+        marked[column - length + 1, order] = own > np.repeat(least, np.diff(np.append(heads, len(own))))
     row, at = np.nonzero(marked.T)
     if not len(row):
         return ids[:0], starts[:0], starts[:0]
@@ -325,3 +338,18 @@ def _strip(rows: DataFrame, length: int, k: int, most_contexts: int, block_bytes
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return strip(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Strings of LENGTH bytes as 2 * LENGTH hexadecimal digits; a run ends where the next repeated string begins beyond it.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, p, substr(x, 2 * p + 1, {2 * LENGTH}) AS g FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - {LENGTH - 1})) AS p FROM d WHERE len(x) >= {2 * LENGTH})),
+m AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS n FROM s) WHERE n > 1),
+f AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM m),
+r AS (SELECT doc_id, min(p) AS lo, max(p) + {LENGTH} AS hi FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM f) GROUP BY doc_id, run),
+k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS upto FROM r),
+a AS (SELECT k.doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * upto + 1, 2 * (lo - upto)), '' ORDER BY lo) || substr(any_value(x), 2 * max(hi) + 1) AS kept
+      FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""

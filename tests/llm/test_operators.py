@@ -442,18 +442,46 @@ def brute_repeats(rows, length=100):
     return out
 
 
+def test_run_index_stores_runs_and_streams_statistics():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    group = np.sort(rng.integers(0, 3, 40))
+    symbols = rng.integers(1, 3, (40, 25)).astype(np.uint8)
+    symbols[::3] = symbols[1]  # repetitive: long shared stretches
+    for row in range(0, 40, 4):
+        symbols[row, : rng.integers(0, 9)] = 0
+    index = repeats.RunIndex(symbols, group)
+    for column, order, shared in index.statistics(group, 25):
+        back = [tuple(symbols[i, : column + 1][::-1]) for i in range(40)]
+        assert [group[i] for i in order] == sorted(group) and all(back[a] <= back[b] for a, b in zip(order, order[1:], strict=False) if group[a] == group[b])
+        for at, i in enumerate(order):
+            before = order[at - 1] if at and group[order[at - 1]] == group[i] else None
+            n = 0
+            while before is not None and n <= column and back[i][n] == back[before][n] != 0:
+                n += 1
+            assert shared[i] == n
+        starts, _, symbol, first, last = index.runs[column]
+        assert len(starts) == len(symbol) == len(first) == len(last) < 40 and (symbols[first, column] == symbol).all() and (symbols[last, column] == symbol).all()
+    assert sum(len(r[0]) for r in index.runs) < 40 * 25 / 2
+
+
 @pytest.mark.parametrize("most", [repeats.MOST_CONTEXTS, 3])
 def test_repeats(spark, docs, unique, empty, most):
     rng = random.Random(2)
     line = "".join(rng.choice("abcdefghé ") for _ in range(150))
     pool = [line[: rng.randrange(90, 150)] + "".join(rng.choice("xyz") for _ in range(rng.randrange(60))) + line[rng.randrange(30) :] for _ in range(25)]
-    rows = [(r["doc_id"], r["text"]) for r in unique.filter("length(text) < 50000 OR text IS NULL").collect()] + [(200 + i, t) for i, t in enumerate(pool)]
+    rows = [(r["doc_id"], r["text"]) for r in unique.collect()] + [(200 + i, t) for i, t in enumerate(pool)]
     rows += [(300 + i, "q" * (98 + i)) for i in range(6)] + [(400, "ab" * 80 + line * 3)]
     frame = clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.strip(frame, most_contexts=most, block_bytes=5000).collect()}
     assert got == brute_repeats(rows)
     if most > 3:
-        assert repeats.strip(docs).count() == docs.count() and repeats.strip(empty).count() == 0
+        assert repeats.strip(empty).count() == 0
+        ordered = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+        want = brute_repeats([(i, t) for i, (_, t) in enumerate(ordered)])
+        found = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.strip(docs).collect()), key=str)
+        assert found == sorted(((ordered[i][0], *v) for i, v in want.items()), key=str)  # null ids first, repeated ids by text
 
 
 # ---- 10
