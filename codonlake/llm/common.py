@@ -74,15 +74,15 @@ def skew_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total:
 
     Keys with more than 1/HEAVY of `total` rows are fewer than HEAVY, so they are broadcast whatever the input's
     size; every other key is joined by a shuffle where no key holds more than 1/HEAVY of the rows. Rows that the
-    broadcast has answered are dealt out by the hash of column `deal` in that shuffle. Rows may have any column names.
+    broadcast has answered, and rows without a key, are dealt out by the hash of column `deal` in that shuffle; key and
+    deal are one struct, so the shuffle cannot fall back on a partitioning by the key alone. Rows may have any column names.
     """
     plain, own = by_place(rows)
     heavy = F.col(weight) * HEAVY > F.lit(total)
     values = [c for c in table.columns if c not in (key, weight)]
     hot = table.filter(heavy).select(F.col(key).alias("hot_key"), *[F.col(c).alias(f"hot_{i}") for i, c in enumerate(values)], F.lit(True).alias("hit"))
-    cold = table.filter(~heavy).select(F.col(key).alias("cold_key"), F.lit(0).alias("cold_salt"), *[F.col(c).alias(f"cold_{i}") for i, c in enumerate(values)])
-    first = plain.join(F.broadcast(hot), F.col(own[key]) == F.col("hot_key"), "left").withColumn(
-        "salt", F.when(F.col("hit"), F.pmod(F.xxhash64(own[deal]), F.lit(1_000_003)).cast("int") + 1).otherwise(F.lit(0))
-    )
-    both = first.join(cold, (F.col(own[key]) == F.col("cold_key")) & (F.col("salt") == F.col("cold_salt")), "left")
+    cold = table.filter(~heavy & F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), F.lit(0).alias("salt")).alias("cold_key"), *[F.col(c).alias(f"cold_{i}") for i, c in enumerate(values)])
+    first = plain.join(F.broadcast(hot), F.col(own[key]) == F.col("hot_key"), "left")
+    salt = F.when(F.col("hit") | F.col(own[key]).isNull(), F.pmod(F.xxhash64(own[deal]), F.lit(1_000_003)).cast("int") + 1).otherwise(F.lit(0))
+    both = first.join(cold, F.struct(F.col(own[key]).alias("key"), salt.alias("salt")) == F.col("cold_key"), "left")
     return both.select(*[F.col(own[c]).alias(c) for c in rows.columns], *[F.when(F.col("hit"), F.col(f"hot_{i}")).otherwise(F.col(f"cold_{i}")).alias(c) for i, c in enumerate(values)])

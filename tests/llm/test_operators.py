@@ -547,6 +547,18 @@ def test_skew_lookup_answers_heavy_and_light_keys(spark):
     table = rows.groupBy("k").count().selectExpr("k", "count AS n", "upper(k) AS v").filter("k <> '1'")
     got = common.skew_lookup(rows, table, "k", "n", 5000, "id").collect()
     assert len(got) == 5000 and all(r["v"] == (None if r["k"] == "1" else r["k"].upper()) for r in got)
+    # a table that is dealt by its key already, and rows without a key, which must not all meet in one task
+    none = rows.selectExpr("id", "IF(id % 2 = 0, NULL, k) AS k", "id AS salt", "id AS cold_key")
+    out = common.skew_lookup(none, table, "k", "n", 5000, "id")
+    assert out.columns == ["id", "k", "salt", "cold_key", "v"] and out.filter("k IS NULL").count() == 2500 and out.filter("k IS NULL AND v IS NOT NULL").isEmpty()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        dealt = common.skew_lookup(none, table, "k", "n", 5000, "id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dealt < 2000  # a quarter of the rows is 1250
 
 
 def test_minmax_bands_take_four_permutations():
