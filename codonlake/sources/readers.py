@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from codonlake.functions.codons import Tables
 
 COLUMNS = {"gene_id": "long", "tx_sequence": "string", "utr5_size": "int", "cds_size": "int", "fold": "int", "te": "double"}
+#: The same as a schema; streams are read by it.
+TRANSCRIPTS = ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
 CAI_TABLES = "codon string, amino_acid string, cai_weight_human double, cai_weight_mouse double"
 TAI_TABLES = "codon string, amino_acid string, tai_weight_human double, tai_weight_mouse double"
 ANTICODONS = "anticodon string, gene_copy_number int"
