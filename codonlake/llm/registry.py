@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op2_secret_scan": secrets.ORACLE,
     "op3_license_scan": licenses.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op6_weighted_mix": mixing.ORACLE,

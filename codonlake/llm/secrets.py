@@ -170,3 +170,46 @@ def query(spark, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
     return rows.select("doc_id", count(0), count(1), count(2), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def _oracle() -> str:
+    either = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")  # (?i) would fold beyond A-Z here
+    value = PATTERNS[0][1].partition(")[\"']?\\x20*")[2]
+    patterns = [(f"({either})[\"']?\\x20*{value}", PATTERNS[0][3]), *[(p, least) for _, p, _, least in PATTERNS[1:]], (TOKEN, MIN_TOKEN)]
+    quoted = [("'" + p.replace("'", "''") + "'", least) for p, least in patterns]
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, {least} AS least, regexp_split_to_array(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS w, regexp_extract_all(t, {p}, 2) AS v FROM d WHERE regexp_matches(t, {p})"
+        for k, (p, least) in enumerate(quoted)
+    )
+    figures = ", ".join(f"('{k}', '{SYMBOLS[k]}', CAST({SIZES[k]} AS DOUBLE), " + ", ".join(f"CAST({x} AS DOUBLE)" for x in ORDINARY[k]) + ")" for k in SYMBOLS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({places}),
+u AS (SELECT doc_id, k, least, unnest(range(len(w))) AS i, unnest(w) AS token, unnest(list_transform(w, lambda x: length(x))) AS n,
+      unnest(list_transform(gaps[1:len(w)], lambda x: length(x))) AS gap, unnest(list_transform(v, lambda x: length(x))) AS vn FROM m),
+p AS (SELECT *, z - n AS a FROM (SELECT doc_id, k, least, token, n, vn, sum(gap + n) OVER (PARTITION BY doc_id, k ORDER BY i) AS z FROM u)),
+f(enc, symbols, size, k2, k3, q, r) AS (VALUES {figures}),
+e AS (SELECT doc_id, a, z, token, CAST(n AS DOUBLE) AS n, CASE WHEN regexp_full_match(token, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(token, '[A-Z2-7]+') THEN 'base32'
+      WHEN regexp_full_match(token, '[A-Za-z0-9]+') THEN 'alphanumeric' ELSE 'base64' END AS enc FROM p WHERE k = 3),
+x AS (SELECT e.*, f.* EXCLUDE (enc), CASE WHEN enc = 'hex' THEN lower(token) ELSE token END AS shown,
+      len(CASE WHEN enc = 'hex' THEN regexp_extract_all(token, '[0-9]+|[A-Za-z]+') ELSE regexp_extract_all(token, '{KIND_RUNS}') END) - 1 AS changes FROM e JOIN f USING (enc)),
+c AS (SELECT *, list_sum(v) / n AS mean FROM (SELECT *, list_transform(string_split(shown, ''), lambda s: CAST(instr(symbols, s) AS DOUBLE)) AS v,
+      list_sum(list_transform(string_split(symbols, ''), lambda s: pow(CAST(length(shown) - length(replace(shown, s, '')) AS DOUBLE), 2))) AS squares FROM x)),
+s AS (SELECT *, list_sum(list_transform(v, lambda y: (y - mean) * (y - mean))) AS spread,
+      list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - mean) * (v[i + 1] - mean))) AS together FROM c),
+b AS (SELECT doc_id, a, z, n, ((((n - 1) * (size * k2 - 1) + size - 1) - (size / n * squares - n)) / sqrt(2 * (size - 1) + 4 * n * size * size * (k3 - k2 * k2))
+      + (changes - (n - 1) * q) / sqrt((n - 1) * q * (1 - q))
+      + (r - CASE WHEN spread > 0 THEN together / greatest(spread, 1e-9) ELSE 1 END) * sqrt(n) / sqrt(1 - r * r)) / {math.sqrt(3 + 6 * TOGETHER)!r} AS score FROM s),
+g AS (SELECT doc_id, a, z, {" + ".join(f"CAST(n >= {x} AS INT)" for x in LENGTH_CLASSES)} AS class,
+      CAST(least(floor({BIN_STEPS} * CASE WHEN score > 1 THEN score * score / 2 + ln(score * {math.sqrt(2 * math.pi)!r}) ELSE 0 END), {BINS}) AS INT) AS step FROM b),
+h AS (SELECT class, step, sum(n) OVER (PARTITION BY class) AS total, sum(n) OVER (PARTITION BY class ORDER BY step DESC) AS above FROM (SELECT class, step, count(*) AS n FROM g GROUP BY class, step)),
+o AS (SELECT class, min(step) AS bound FROM h WHERE total * exp(-step / CAST({BIN_STEPS} AS DOUBLE)) <= CAST({FDR} AS DOUBLE) * above GROUP BY class),
+y AS (SELECT doc_id, k, a, z FROM p WHERE k < 3 AND vn >= least UNION ALL SELECT doc_id, 3, a, z FROM g JOIN o USING (class) WHERE step >= bound),
+l AS (SELECT doc_id, k, a, ['assign', 'access', 'hex', 'random'][k + 1] || ':' || a || ':' || z AS one FROM y)
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+       sha256(coalesce(string_agg(one, ',' ORDER BY a, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(one, ',' ORDER BY a, k), '') AS spans
+FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+ORACLE = _oracle()
