@@ -9,7 +9,7 @@ The trigram counts are learned from at most `train_rows` labelled texts a langua
 their ids and labels), of which whole texts are read.
 
 Defined results: null text, or text without any letter: `und`, score 0; nothing to learn from: every text `und`; labels
-that are null teach nothing; words without letters take part in no span; an empty table gives an empty result.
+and ids that are null teach nothing; words without letters take part in no span; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -159,17 +159,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model | None:
     """A model of at most train_rows texts of each label; what reaches the driver is a table of counts of fixed size a label."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, lang_col).alias("turn"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    labelled = own.select("id", "lang", F.xxhash64("id", "lang").alias("turn"))
     totals = labelled.groupBy("lang").agg(F.count("*").alias("rows")).collect()  # one row a label
     if not totals:
         return None
     # the smallest hashes of each label: a share of the hash range that holds a few more rows than wanted, then ranked
     share = F.create_map(*[x for r in totals for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * train_rows / r["rows"] + 1e-9)))])
-    near = labelled.filter((F.pmod("turn", F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")])
+    near = labelled.filter((F.pmod("turn", F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")]).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("turn", F.lit(1 << 30)), "id"))
-    ids = near.withColumn("rank", rank).filter(F.col("rank") <= train_rows).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    ids = near.withColumn("rank", rank).filter(F.col("rank") <= train_rows).select("id", "lang")
     # at most train_rows ids a label: small by its bound
-    chosen = docs.join(F.broadcast(ids), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang"))).select(lang_col, text_col)
+    chosen = own.join(F.broadcast(ids), ["id", "lang"]).select("lang", "text")
     rows = chosen.mapInArrow(_count, COUNTED).groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["lang"] for r in rows})
     place = {x: i for i, x in enumerate(languages)}
@@ -215,7 +216,11 @@ def _predict(shared, text_at: int, switch: float, keep_text: bool):
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", switch: float = SWITCH, keep_text: bool = False) -> DataFrame:
-    """The columns of docs (the text only with keep_text), and lang_pred, score (share of letters' bytes on its spans), n_spans."""
+    """The columns of docs (the text only with keep_text), and lang_pred, score (share of letters' bytes on its spans), n_spans.
+
+    A column of docs that bears one of those three names is left out.
+    """
+    docs = docs.drop(*[c for c, _ in PREDICTED if c != text_col])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats a language
     others = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["lang_pred string, score double, n_spans long"])

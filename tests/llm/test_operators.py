@@ -280,6 +280,12 @@ def test_language(spark, sf, empty, docs):
     assert {r["lang_pred"] for r in language.predict(docs.select("doc_id", "text"), language.train(empty)).collect()} == {"und"}
     assert language.predict(empty.select("doc_id", "text"), model).count() == 0
     assert language.identified(clashing(docs)).columns == clashing(docs).columns
+    names = ("_id", "_lang", "rank", "turn", "lang_pred", "score", "n_spans", "_c0")
+    named = rows.withColumns({c: F.lit(1) for c in names})
+    known = language.train(named.filter(~language.held_out()))
+    assert known.languages == model.languages and (known.logs == model.logs).all()
+    assert language.predict(named, known).columns == [c for c in rows.columns if c != "text"] + ["_id", "_lang", "rank", "turn", "_c0", "lang_pred", "score", "n_spans"]
+    assert language.identified(named).columns == named.columns
 
 
 def test_viterbi_equals_brute_force():
