@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codonlake.llm import chat, decontaminate, exact_dedup, language, licenses, minmax_dedup, mixing, pieces, repeats, secrets, warc
+from codonlake.llm import chat, decontaminate, exact_dedup, language, lexical, licenses, minmax_dedup, mixing, pieces, repeats, secrets, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat.query,
     "op9_run_length_dedup": repeats.query,
     "op10_warc_revisits": warc.query,
+    "op11_ranked_search": lexical.query,
     "op13_sentencepiece": pieces.query,
 }
 
@@ -28,4 +29,5 @@ ORACLES = {
     "op8_chat_format": chat.ORACLE,
     "op9_run_length_dedup": repeats.ORACLE,
     "op10_warc_revisits": warc.ORACLE,
+    "op11_ranked_search": lexical.ORACLE,
 }
