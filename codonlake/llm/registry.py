@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codonlake.llm import chat, decontaminate, exact_dedup, language, lexical, licenses, minmax_dedup, mixing, pieces, repeats, secrets, warc
+from codonlake.llm import chat, decontaminate, exact_dedup, language, lexical, licenses, minmax_dedup, mixing, negatives, pieces, repeats, secrets, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_run_length_dedup": repeats.query,
     "op10_warc_revisits": warc.query,
     "op11_ranked_search": lexical.query,
+    "op12_hard_negatives": negatives.query,
     "op13_sentencepiece": pieces.query,
 }
 
@@ -30,4 +31,5 @@ ORACLES = {
     "op9_run_length_dedup": repeats.ORACLE,
     "op10_warc_revisits": warc.ORACLE,
     "op11_ranked_search": lexical.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
 }
