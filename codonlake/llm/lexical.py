@@ -103,8 +103,8 @@ class Shard:
         self.bytes += len(text)
         self.postings += len(counts)
 
-    def full(self) -> bool:
-        return self.bytes >= SHARD_BYTES or self.postings >= SHARD_POSTINGS
+    def full(self, most_bytes: int, most_postings: int) -> bool:
+        return self.bytes >= most_bytes or self.postings >= most_postings
 
     def batch(self) -> pa.RecordBatch:
         nulls = sum(x is None for x in self.ids)
@@ -136,13 +136,13 @@ class Shard:
 SHARD_TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in SHARD.split(", ")]
 
 
-def _builder(all_docs: int, all_terms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _builder(all_docs: int, all_terms: int, *most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard(all_docs, all_terms)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard.add(doc_id, text or b"")
-                if shard.full():
+                if shard.full(*most):
                     yield shard.batch()
                     shard = Shard(all_docs, all_terms)
         if shard.ids:
@@ -151,11 +151,11 @@ def _builder(all_docs: int, all_terms: int) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
     """Shards of all documents, written to the shared folder; each row is self-contained."""
     sent = small_batches(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text")))
     totals = sent.select("text").mapInArrow(_totals, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
-    return written(sent.mapInArrow(_builder(totals[0] or 0, totals[1] or 1), SHARD), "lexical")
+    return written(sent.mapInArrow(_builder(totals[0] or 0, totals[1] or 1, shard_bytes, shard_postings), SHARD), "lexical")
 
 
 # ---- search

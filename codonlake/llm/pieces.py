@@ -188,24 +188,27 @@ class Model:
 
     def _mapped(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The same through the character map, with runs of spaces squeezed if the model asks for it."""
+        def shown(at: int) -> tuple[bytes, int]:
+            return (self.map.longest(text, at) if self.map else None) or self._character(text, at)
+
         out, source, at, spaced = bytearray(), [], 0, self.squeeze
+        while self.squeeze and at < len(text) and (first := shown(at))[0] == b" ":
+            at += first[1]
+        if at == len(text):
+            return b"", np.array([at])
+        if self.dummy:
+            out += self.space
+            source += [at] * len(self.space)
         while at < len(text):
-            found = self.map.longest(text, at) if self.map else None
-            shown, size = found or self._character(text, at)
+            new, size = shown(at)
             if spaced:
-                shown = shown.lstrip(b" ")
-            if shown:
-                if self.dummy and not out:
-                    out += self.space
-                    source += [at] * len(self.space)
-                for c in shown:
-                    own = self.space if c == 32 else bytes([c])
-                    out += own
-                    source += [at] * len(own)
-                spaced = self.squeeze and shown.endswith(b" ")
-            elif not out and not self.squeeze and self.dummy:
-                out += self.space
-                source += [at] * len(self.space)
+                new = new.lstrip(b" ")
+            for c in new:
+                own = self.space if c == 32 else bytes([c])
+                out += own
+                source += [at] * len(own)
+            if new:
+                spaced = self.squeeze and new.endswith(b" ")
             at += size
         end = len(text)
         while self.squeeze and out.endswith(self.space):
@@ -384,7 +387,7 @@ class Model:
             for i, x in enumerate(own):  # the space of the start: of the first piece that shows anything
                 kind = self.pieces[x][2]
                 if kind == NORMAL and shown[i].startswith(b" "):
-                    shown[i] = shown[i].lstrip(b" ") if self.squeeze else shown[i][1:]
+                    shown[i] = shown[i][1:]
                     if not shown[i] and self.squeeze:
                         continue
                 if kind != CONTROL:
