@@ -7,7 +7,7 @@ indexed apart and still hold every such pair of strings:
 1. Anchors. The hashes of GRAM-byte strings are winnowed so that every string of `length` bytes holds an anchor, at the
    same place in each of its occurrences. An anchor's context is all that a string of `length` bytes around it can reach.
 2. Contexts meet by the hash of their anchor. Anchors that stand once are done. Of equal contexts of an anchor only the
-   first is indexed; the others repeat it whole; 64-bit hashes of anchor and context tell, bytes are not compared. (This is what makes copies of documents cheap, in any number.)
+   first is indexed; the others repeat it whole; 128-bit digests of their bytes tell. (This is what makes copies of documents cheap, in any number.)
 3. The different contexts of an anchor are lined up at it and indexed by a run-compressed positional Burrows-Wheeler
    transform: at each column the contexts are ordered by what they read backwards from there, and the column's symbols in
    that order are stored as runs: where a run begins, where it goes in the next column's order, and the contexts at its
@@ -73,22 +73,30 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple
     return doc, at - offsets[doc], h[at], lo, hi
 
 
+def context_digests(data: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit digest of each context's bytes; equal contexts also have their anchor at the same place."""
+    whole, digest = memoryview(data.tobytes()), hashlib.blake2b
+    both = b"".join([digest(whole[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+    own, rest = np.frombuffer(both, K.U).reshape(-1, 2).T
+    with np.errstate(over="ignore"):
+        return own ^ K.mix(place.astype(K.U) * K.BASE), rest
+
+
 def _anchored(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in K.text_steps(b.column(1)):
                 ids = b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 doc, at, h, first, last = anchors(data, offsets, length, k)
-                with np.errstate(over="ignore"):  # equal contexts have their anchor at the same place in them
-                    own = K.mix(K.span_hashes(data, first, last) + (at + offsets[doc] - first).astype(K.U) * K.BASE)
+                own, rest = context_digests(data, first, last, at + offsets[doc] - first)
                 # of equal contexts in one step all but the first are copies; they need not meet the others, so no task
                 # gets all rows of a passage that stands everywhere
-                order = np.lexsort((at, ids[doc], own, h))
+                order = np.lexsort((at, ids[doc], rest, own, h))
                 copy = np.zeros(len(h), bool)
-                copy[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+                copy[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (own[order[1:]] == own[order[:-1]]) & (rest[order[1:]] == rest[order[:-1]])
                 with np.errstate(over="ignore"):
                     h = np.where(copy, K.mix(own + ids[doc].astype(K.U) * K.BASE + at.astype(K.U)), h)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own.view(np.int64)), pa.array(ids[doc]), pa.array(at.astype(np.int32)), pa.array(copy)], names=["h", "c", "id", "at", "copy"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own.view(np.int64)), pa.array(rest.view(np.int64)), pa.array(ids[doc]), pa.array(at.astype(np.int32)), pa.array(copy)], names=["h", "c", "d", "id", "at", "copy"])
 
     return run
 
@@ -305,11 +313,12 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
 
 def _strip(rows: DataFrame, length: int, k: int, most_contexts: int, block_bytes: int) -> DataFrame:
-    found = rows.mapInArrow(_anchored(length, k), "h long, c long, id long, at int, copy boolean").repartition("h")
-    order = Window.partitionBy("h").orderBy("copy", "c", "id", "at")
+    found = rows.mapInArrow(_anchored(length, k), "h long, c long, d long, id long, at int, copy boolean").repartition("h")
+    order = Window.partitionBy("h").orderBy("copy", "c", "d", "id", "at")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = F.when(~F.col("copy"), F.col("c"))
-    seen = found.select("h", "c", "id", "at", "copy", F.lag("c").over(order).alias("above"), F.min(own).over(whole).alias("c0"), F.max(own).over(whole).alias("c1"))
+    content = F.struct("c", "d")
+    own = F.when(~F.col("copy"), content)
+    seen = found.select("h", content.alias("c"), "id", "at", "copy", F.lag(content).over(order).alias("above"), F.min(own).over(whole).alias("c0"), F.max(own).over(whole).alias("c1"))
     seen = seen.withColumn("first", ~F.col("copy") & (F.col("above").isNull() | (F.col("above") != F.col("c"))))
     several = seen.filter("NOT first OR c0 <> c1").withColumn("kinds", F.sum(F.col("first").cast("int")).over(Window.partitionBy("h")))
     repeated = written(several.select("h", "id", "at", "first", "kinds"), "anchors")
