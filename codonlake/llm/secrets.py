@@ -21,6 +21,8 @@ their own; an empty table gives an empty result; columns other than id and text
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,27 +53,46 @@ KIND_RUNS = "[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+"
 TOGETHER = 0.1
 
 SPAN = "array<struct<start:int,end:int,kind:int>>"
+TOKENS = "array<struct<start:int,end:int,kind:int,token:string>>"
+#: Running sums add up 2 ** DOUBLINGS neighbours: more matches than a string of 2 ** 31 bytes can hold.
+DOUBLINGS = 29
 
 
-def found(text: Column, pattern: str, kind: int, least: int) -> Column:
-    """Spans, in code points, of the pattern's matches whose second group has at least `least` symbols.
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it stands in use."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
+def summed(values: Column) -> Column:
+    """Running sums of an array: of 1, 2, 4, ... neighbours, so that the work grows with n log n."""
+
+    def added(v: Column, far: int) -> Column:
+        return F.when(F.size(v) > far, F.transform(v, lambda x, i: F.when(i >= far, x + F.get(v, i - far)).otherwise(x))).otherwise(v)
+
+    for step in range(DOUBLINGS):
+        values = bound(values, partial(added, far=1 << step))
+    return values
+
+
+def found(text: Column, pattern: str, kind: int, least: int, with_token: bool = False) -> Column:
+    """Spans, in code points, of the pattern's matches whose second group has at least `least` symbols; with its text or not.
 
     The texts between matches and the matches themselves, put side by side, give the places.
     """
-    pieces = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    steps = F.transform(whole, lambda w, i: F.struct(F.length(F.element_at(pieces, i + 1)).alias("gap"), F.length(w).alias("n"), F.length(F.element_at(value, i + 1)).alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
-    empty = F.array().cast(SPAN)
+    empty = F.array().cast(TOKENS if with_token else SPAN)
+    lengths = lambda strings: F.transform(strings, lambda s: F.length(s))
+    pieces, whole, value = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+    matches = F.struct(lengths(pieces).alias("gaps"), lengths(whole).alias("n"), lengths(value).alias("held"), *([value.alias("value")] if with_token else []))
+
+    def spans(m: Column) -> Column:
+        def one(end: Column, i: Column) -> Column:
+            own = F.struct((end - F.get(m["n"], i)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), *([F.get(m["value"], i).alias("token")] if with_token else []))
+            return F.when(F.get(m["held"], i) >= least, own)
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        one = F.array(F.struct(s.alias("start"), (s + x["n"]).alias("end"), F.lit(kind).alias("kind"))).cast(SPAN)
-        return F.struct((s + x["n"]).alias("at"), F.when(x["v"] >= least, F.concat(F.coalesce(acc["out"], empty), one)).otherwise(acc["out"]).alias("out"))
+        ends = summed(F.transform(m["n"], lambda n, i: n + F.get(m["gaps"], i)))
+        return F.filter(F.transform(ends, one), lambda s: s.isNotNull())
 
-    spans = F.coalesce(F.aggregate(steps, start, step, lambda acc: acc["out"]), empty)
-    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(empty)
+    return F.when(F.rlike(text, F.lit(pattern)), bound(matches, spans)).otherwise(empty)
 
 
 def encoding(token: Column) -> Column:
@@ -145,10 +166,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level:
     """(doc_id, base, spans): arrays of (start, end, kind) by start and kind; kind is an index of KINDS."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(F.concat(*[found(text, p, i, least) for i, (_, p, _, least) in enumerate(PATTERNS)]))
-    tokens = found(text, TOKEN, 3, MIN_TOKEN)
-    tested = F.transform(F.col("tokens"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])).alias("b")))
+    tokens = found(text, TOKEN, 3, MIN_TOKEN, with_token=True)
+    tested = F.transform(F.col("tokens"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["token"]).alias("b")))
     slim = F.transform("tested", lambda t: F.struct(t["start"], t["end"], length_class(t["b"]["n"]).alias("class"), F.least(F.floor(t["b"]["minus_ln_p"] * BIN_STEPS), F.lit(BINS)).cast("int").alias("step")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select("doc_id", "text", base.alias("base"), tokens.alias("tokens"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), base.alias("base"), tokens.alias("tokens"))
     rows = rows.withColumn("tested", F.when(F.size("tokens") > 0, tested)).select("doc_id", "base", slim.alias("tested"))
     rows = written(rows, "tokens")
     steps = accepted(rows.select(F.explode("tested").alias("t")).select("t.class", "t.step"), level)
