@@ -1,8 +1,9 @@
 """Resolution of not-modified revisit records: an as-of join by canonical URL to the latest earlier full response.
 
 A revisit takes the body of the latest response of its canonical URL that is strictly earlier; it is accepted when the
-validators agree (equal entity tags; without a tag on either side, a modification date not after the response's), and
-the headers that a not-modified answer may renew (RENEWED) replace the response's.
+validators agree, and the headers that a not-modified answer may renew (RENEWED) replace the response's. Validators: where
+both sides have an entity tag, the tags decide, compared weakly (`W/` left out); where one side or both have none, the
+modification date does, which must not be after the response's. Header names are lower-cased (A-Z) first.
 
 The join is a running maximum over times, ids and validators; bodies and headers stay out of it and are joined once, by
 the response that was found, for resolved revisits only. A URL may hold a third of all records, so records are dealt by
@@ -11,7 +12,8 @@ range), and that of the ranges before is a window over one row for each (URL, ra
 is broadcast or split by `skew_lookup`.
 
 Defined results: a null URL or time resolves to nothing; of responses at the same time the one with the largest id
-counts, of those with equal ids the largest validators, then headers, then payload; a revisit never meets a response of
+counts, of those with equal ids the largest validators, then headers, then payload; of headers whose names differ in case alone
+the largest value; a revisit never meets a response of
 its own time; repeated records are records of their own; missing headers count as none; an empty table gives an empty
 result; other columns are not read.
 """
@@ -59,7 +61,9 @@ def latest_before(records: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
     """records (url_key, at, id, answer) with `found`: the largest (at, id, answer) of an earlier time whose answer is not null."""
     ranges = min(MOST_RANGES, -(-records.count() // range_rows))
     cuts = records.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else None
-    rows = records.withColumn("range", F.when(F.col("at").isNotNull(), range_of(F.col("at"), sorted(set(cuts or ())))))
+    placed = F.col("at").isNotNull() & F.col("url_key").isNotNull()
+    rows = records.filter(placed).withColumn("range", range_of(F.col("at"), sorted(set(cuts or ()))))
+    nowhere = records.filter(~placed)  # they find nothing, and would all meet under one key
     entry = F.when(F.col("answer").isNotNull(), F.struct("at", "id", "answer"))
     inside = Window.partitionBy("url_key", "range").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("near", F.max(entry).over(inside))
@@ -67,7 +71,19 @@ def latest_before(records: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
     ahead = Window.partitionBy("url_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(F.col("url_key").alias("far_key"), F.col("range").alias("far_range"), F.max("entry").over(ahead).alias("far"))
     out = rows.join(carried, (F.col("url_key") == F.col("far_key")) & (F.col("range") == F.col("far_range")), "left")
-    return out.withColumn("found", F.coalesce("near", "far")).drop("near", "far", "range", "far_key", "far_range")
+    out = out.withColumn("found", F.coalesce("near", "far")).drop("near", "far", "range", "far_key", "far_range")
+    return out.unionByName(nowhere.withColumn("found", F.lit(None).cast(out.schema["found"].dataType)))
+
+
+def lower_names(headers: Column) -> Column:
+    """Headers by lower-cased name; of those that then share a name the largest value."""
+    entries = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.translate(e["key"], UPPER, LOWER).alias("key"), e["value"].alias("value"))))
+    own = F.transform(F.array(entries), lambda s: F.filter(s, lambda e, i: ~F.coalesce(F.get(s, i + 1)["key"] == e["key"], F.lit(False))))
+    return F.map_from_entries(F.element_at(own, 1))
+
+
+def strong(etag: Column) -> Column:
+    return F.regexp_replace(etag, "^W/", "")
 
 
 def answer_key(url_key: Column, at: Column, id_: Column, etag: Column, modified: Column) -> Column:
@@ -78,14 +94,14 @@ def resolve(records: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """records (id, url, at, kind response or revisit, etag, modified, headers map, payload) with url_key, target_id,
     status (response, resolved, validator_mismatch, no_earlier_response), merged headers and body.
     """
-    kept = records.select("id", "url", "at", "kind", "etag", "modified", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "payload", canonical(F.col("url")).alias("url_key"))
+    kept = records.select("id", "url", "at", "kind", "etag", "modified", lower_names(F.coalesce("headers", F.create_map().cast("map<string,string>"))).alias("headers"), "payload", canonical(F.col("url")).alias("url_key"))
     kept = written(kept.drop("url"), "captures")
     answers = (F.col("kind") == "response") & F.col("at").isNotNull() & F.col("url_key").isNotNull()
     slim = kept.withColumn("answer", F.when(answers, F.struct("etag", "modified")))
     rows = latest_before(slim, range_rows)
     a = F.col("found.answer")
     tags = F.col("etag").isNotNull() & a["etag"].isNotNull()
-    agree = F.when(tags, F.col("etag") == a["etag"]).otherwise(F.coalesce(F.col("modified") <= a["modified"], F.lit(False)))
+    agree = F.when(tags, strong(F.col("etag")) == strong(a["etag"])).otherwise(F.coalesce(F.col("modified") <= a["modified"], F.lit(False)))
     revisit = F.coalesce(F.col("kind") == "revisit", F.lit(False))
     rows = rows.withColumn("status", F.when(~revisit, "response").when(F.col("found").isNull(), "no_earlier_response").when(agree, "resolved").otherwise("validator_mismatch"))
     resolved = F.col("status") == "resolved"
