@@ -9,6 +9,9 @@ points of each turn's rendering are an assistant's text.
 Template: <|turn|>role<|text|>text<|end|>. Inside roles and texts a backslash becomes two and `<|` becomes `<\\|`, so no
 text can hold a mark, and what was escaped can be read back (see `parsed`).
 
+At one seq an edit, regeneration or deletion comes before deltas; of several the last by name and text counts. A delta
+after a deletion begins the message anew, as after a regeneration. seq may be of any type that can be ordered.
+
 Defined results: null roles, texts and kinds count as empty, empty and `delta`; messages whose first events tie are
 ordered by role and text; repeated rows are events of their own; a conversation whose messages are all deleted has no
 row; an empty log gives an empty result; other columns are not read. A rendered conversation is one value and so
@@ -45,7 +48,7 @@ def folded(events: DataFrame) -> DataFrame:
         F.max(turned).alias("last"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", F.struct("seq", "text")))).alias("deltas"),
     )
-    after = F.filter("deltas", lambda d: F.col("last").isNull() | (d["seq"] > F.col("last.seq")))
+    after = F.filter("deltas", lambda d: F.col("last").isNull() | (d["seq"] >= F.col("last.seq")))
     base = F.when(F.col("last.kind") == "edit", F.col("last.text")).otherwise(F.lit(""))
     whole = F.concat(base, F.array_join(F.transform(after, lambda d: d["text"]), ""))
     gone = F.coalesce((F.col("last.kind") == "delete") & (F.size(after) == 0), F.lit(False))
@@ -88,12 +91,11 @@ def events_of(conversations: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     half = F.floor(F.length(text) / 2).cast("int")
-    at = F.coalesce(F.col("turn"), F.lit(-(2**59))) * 8
-    form = F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)) * 3 + F.coalesce(F.col("turn"), F.lit(0)), F.lit(4))
+    form = F.pmod(F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)), F.lit(4)) * 3 + F.pmod(F.coalesce(F.col("turn"), F.lit(0)), F.lit(4)), F.lit(4))
     none = F.lit(None).cast("string")
 
     def event(after: int, kind: str, words: Column, beside: bool = False) -> Column:
-        return F.struct((at + after).alias("seq"), F.lit(kind).alias("kind"), F.lit(beside).alias("beside"), words.alias("text"))
+        return F.struct(F.struct(F.col("turn").alias("turn"), F.lit(after).alias("part")).alias("seq"), F.lit(kind).alias("kind"), F.lit(beside).alias("beside"), words.alias("text"))
 
     def streamed(after: int) -> list[Column]:
         return [event(after, "delta", F.substring(text, F.lit(1), half)), event(after + 1, "delta", F.substring(text, half + 1, F.length(text)))]
