@@ -69,11 +69,11 @@ def report(rows: DataFrame, names: list[str], models: list[str], label: str, out
     place = ranking.model_place()
     top = ranking.top_features(imp).select(dataset, "*")
     written = [
-        store.write_csv(metrics.summary(oof, ["model"], strict=False).select(dataset, "*"), f"{out}/{label}_eval_results", order=[place, "fold"]),
-        store.write_csv(metrics.summary(oof, ["model"], strict=True).select(dataset, "*"), f"{out}/{label}_r2_results", order=[place, "fold"]),
-        store.write_csv(top.orderBy(place, "rank").drop("rank"), f"{out}/{label}_top_features"),
-        store.write_csv(ranking.bars(imp).select(dataset, "*"), f"{out}/{label}_bars", order=[place, "rank"]),
-        store.write_csv(ranking.heatmap_wide(imp, models), f"{out}/{label}_heatmap"),
+        store.write_csv(metrics.summary(oof, ["model"], strict=False).select(dataset, "*"), f"{out}/{label}_eval_results.csv", order=[place, "fold"]),
+        store.write_csv(metrics.summary(oof, ["model"], strict=True).select(dataset, "*"), f"{out}/{label}_r2_results.csv", order=[place, "fold"]),
+        store.write_csv(top.orderBy(place, "rank").drop("rank"), f"{out}/{label}_top_features.csv"),
+        store.write_csv(ranking.bars(imp).select(dataset, "*"), f"{out}/{label}_bars.csv", order=[place, "rank"]),
+        store.write_csv(ranking.heatmap_wide(imp, models), f"{out}/{label}_heatmap.csv"),
     ]
     oof.unpersist()
     imp.unpersist()
@@ -148,12 +148,12 @@ def build_cai(spark: SparkSession, fasta: dict[str, str], out: str) -> str:
     for species, path in fasta.items():
         records = readers.fasta(spark, path).withColumn("rec_id", F.monotonically_increasing_id())
         checked = weights.checked(records)
-        store.write_csv(checked.filter("reference").select("gene", F.length("seq").alias("length_nt"), "header"), f"{out}/{species}/reference_genes", sep="\t")
+        store.write_csv(checked.filter("reference").select("gene", F.length("seq").alias("length_nt"), "header"), f"{out}/{species}/reference_genes.tsv", sep="\t")
         full = weights.cai_weights(records)
-        store.write_csv(full.drop("cai_weight"), f"{out}/{species}/rscu_table", order=["codon"])
-        store.write_csv(full.select("codon", "amino_acid", "cai_weight"), f"{out}/{species}/cai_weights", order=["codon"])
-        tables[species] = full.select("codon", "cai_weight")
-    return store.write_csv(weights.merged(tables, "cai"), f"{out}/combined_cai_weights", order=["codon"])
+        store.write_csv(full.drop("cai_weight"), f"{out}/{species}/rscu_table.csv", order=["codon"])
+        store.write_csv(full.select("codon", "amino_acid", "cai_weight"), f"{out}/{species}/cai_weights.csv", order=["codon"])
+        tables[species] = readers.table(spark, f"{out}/{species}/cai_weights.csv", readers.CAI_SPECIES).select("codon", "cai_weight")
+    return store.write_csv(weights.merged(tables, "cai"), f"{out}/combined_cai_weights.csv", order=["codon"])
 
 
 def build_tai(spark: SparkSession, fasta: dict[str, str], out: str) -> str:
@@ -162,10 +162,10 @@ def build_tai(spark: SparkSession, fasta: dict[str, str], out: str) -> str:
         counts = weights.anticodons_of(readers.lines(spark, path))
         if counts.isEmpty():
             raise ValueError(f"no anticodons found in {path}")
-        store.write_csv(counts, f"{out}/{species}_trna_gene_counts", order=["anticodon"])
+        store.write_csv(counts, f"{out}/{species}_trna_gene_counts.csv", order=["anticodon"])
         tables[species] = weights.tai_weights(weights.cleaned_anticodons(counts))
-        store.write_csv(tables[species], f"{out}/{species}_tai_weights", order=["codon"])
-    return store.write_csv(weights.merged(tables, "tai"), f"{out}/combined_tai_weights", order=["codon"])
+        store.write_csv(tables[species], f"{out}/{species}_tai_weights.csv", order=["codon"])
+    return store.write_csv(weights.merged(tables, "tai"), f"{out}/combined_tai_weights.csv", order=["codon"])
 
 
 def main(argv: list[str] | None = None) -> int:

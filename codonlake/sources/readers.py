@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from codonlake.functions.codons import Tables
+from codonlake.sources import fasta as fasta_source
+from codonlake.sources import files, workbook
 
 COLUMNS = {"gene_id": "long", "tx_sequence": "string", "utr5_size": "int", "cds_size": "int", "fold": "int", "te": "double"}
 #: The same as a schema; streams are read by it.
 TRANSCRIPTS = ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
 CAI_TABLES = "codon string, amino_acid string, cai_weight_human double, cai_weight_mouse double"
 TAI_TABLES = "codon string, amino_acid string, tai_weight_human double, tai_weight_mouse double"
+CAI_SPECIES = "codon string, amino_acid string, cai_weight double"
+TAI_SPECIES = "codon string, amino_acid string, tai_weight double"
 ANTICODONS = "anticodon string, gene_copy_number int"
 
 
@@ -28,19 +33,15 @@ def target_of(columns: list[str], target: str | None = None) -> str:
 
 
 def transcripts(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
-    """Parquet, CSV with a header, or a workbook (first sheet, where openpyxl is there) of transcripts, by column names.
+    """Parquet, CSV with a header, or a workbook (its first sheet) of transcripts, by column names.
 
     Without gene_id rows are numbered; what is no number becomes null, and so does NaN.
     """
-    if path.endswith((".xlsx", ".xls")):
-        import pandas as pd
-
-        sheet = pd.read_excel(path)  # a sheet has at most 1,048,576 rows
-        if "gene_id" not in sheet.columns:
-            sheet = sheet.reset_index(names="gene_id")
-        wanted = [target_of(list(sheet.columns), target) if c == "te" else c for c in COLUMNS]
-        values = [[None if pd.isna(v) else str(v) for v in r] for r in sheet[wanted].itertuples(index=False)]
-        rows = spark.createDataFrame(values, ", ".join(f"`{c}` string" for c in wanted))
+    if path.endswith(".xlsx"):
+        found = workbook.register(spark).read.format("workbook").load(path).schema
+        value = target_of(found.names, target)
+        wanted = [f for f in found.fields if f.name in COLUMNS or f.name == value]
+        rows = spark.read.format("workbook").schema(StructType(wanted)).load(path)
     else:
         rows = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
     if "gene_id" not in rows.columns:
@@ -64,18 +65,17 @@ def table(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFr
     return spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(header, seq) of FASTA files. A record begins at `>` after a line end, so `>` inside a header splits nothing;
-    what stands before the first record is left out. Lines may end in CR LF.
+def fasta(spark: SparkSession, path: str, split: int = fasta_source.SPLIT) -> DataFrame:
+    """(header, seq) of a FASTA file or a folder of them, read in ranges of `split` bytes. Stores that only Spark's own
+    readers reach go through `large_fasta`.
     """
-    text = F.regexp_replace(F.concat(F.lit("\n"), F.col("value")), "\r", "")
-    pieces = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split(text, "\n>", -1), 2, 2**31 - 1)).alias("piece"))
-    body = F.regexp_replace(F.regexp_replace("piece", "^[^\n]*", ""), "\\s", "")
-    return pieces.select(F.trim(F.substring_index("piece", "\n", 1)).alias("header"), body.alias("seq"))
+    if not files.known(path):
+        return large_fasta(spark, path)
+    return fasta_source.register(spark).read.format("fasta").schema("header string, seq string").option("split", split).load(path)
 
 
 def large_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """The same for files that are too large to be one value each; they must begin with a record."""
+    """The same through Spark's text reader, split at record marks, for stores that only Spark reaches; files must begin with a record."""
     pieces = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", "").alias("piece"))
     body = F.regexp_replace(F.regexp_replace("piece", "^[^\n]*", ""), "\\s", "")
     return pieces.select(F.trim(F.substring_index("piece", "\n", 1)).alias("header"), body.alias("seq"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codonlake.functions import features
 from codonlake.functions.codons import Tables, weights_key
+from codonlake.sources import files, report
 
 
 def content(rows: DataFrame, *columns: str) -> str:
@@ -58,6 +59,14 @@ def feature_cache(transcripts: DataFrame, species: str | Tables = "human", group
 
 
 def write_csv(rows: DataFrame, path: str, sep: str = ",", order: list[str | Column] | None = None) -> str:
-    """One small report as one CSV file with a header."""
-    (rows.orderBy(*order) if order else rows).coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    """A report as one file of exactly this name, with a header, replaced as a whole when all tasks have succeeded.
+
+    Where only Spark's own writers reach the store, a folder of that name with one file in it.
+    """
+    ordered = rows.orderBy(*order) if order else rows
+    if files.known(path):
+        report.register(rows.sparkSession)
+        ordered.write.format("report").mode("overwrite").option("sep", sep).save(path)
+    else:
+        ordered.coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
     return path
