@@ -11,6 +11,8 @@ from codonlake.functions import features, metrics, sequence as S
 from codonlake.functions.codons import CAI, CODONS, AMINO_OF, SENSE, STOPS, TAI
 from codonlake.operators import ablation, embedding, ranking, weights
 from codonlake.plans import fixtures as X
+from codonlake.sources import readers, store, workbook
+from codonlake.sources.store import shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,16 +84,22 @@ ORACLES["q_cv_splits"] = f"{_TX}, u AS (SELECT * FROM transcripts WHERE te IS NO
 
 @register("q_feature_cache_roundtrip", f"{_T} SELECT gene_id, {_GC_SQL} FROM t")
 def _cache(spark, sf):
-    from codonlake.sources.store import feature_cache
+    return rounded(store.feature_cache(X.transcripts(spark, sf), groups=["gc"]), 9)
 
-    return rounded(feature_cache(X.transcripts(spark, sf), groups=["gc"]), 9)
+
+@register("q_workbook_scan", f"{_TX} SELECT gene_id, tx_sequence, utr5_size, cds_size, fold, round(te, 6) AS te FROM transcripts")
+def _workbook(spark, sf):
+    """Transcripts as workbooks, read again with the types that they show."""
+    path = f"{shared_root(spark)}/workbook-{abs(hash(sf)) % 10**9}"
+    workbook.register(spark)
+    X.transcripts(spark, sf).write.format("workbook").mode("overwrite").save(path)
+    read = spark.read.format("workbook").load(path)
+    return rounded(read.select(*[F.col(c).cast("int") if c in ("utr5_size", "cds_size", "fold") else F.col(c) for c in read.columns]))
 
 
 @register("q_codon_weights", f"WITH {DUCK_WEIGHTS} SELECT codon, cai_h AS cai_weight_human, cai_m AS cai_weight_mouse, tai_h AS tai_weight_human, tai_m AS tai_weight_mouse FROM w")
 def _weights(spark, sf):
     """The built-in tables as combined CSV files, read again as a user's own."""
-    from codonlake.sources import readers, store
-
     out = None
     for kind, table in (("cai", CAI), ("tai", TAI)):
         names = [f"{kind}_weight_{s}" for s in ("human", "mouse")]
@@ -140,8 +148,19 @@ register("q_feature_subset", f"{_T} SELECT gene_id, {_GC_SQL}, CAST({_hits('utr5
 register("q_impute0", f"{_T} SELECT gene_id, coalesce({_KOZAK_SQL}, 0) AS kozak_score, " + ", ".join(f"coalesce(round(len(regexp_extract_all({r}, '[GC]')) / nullif(length({r}), 0), 9), 0) AS gc_{n}" for n, r in (("utr5", "utr5"), ("cds", "cds"), ("utr3", "utr3"), ("full", "tx"))) + " FROM t")(
     lambda spark, sf: rounded(ablation.imputed(features.matrix(X.transcripts(spark, sf), groups=["gc", "kozak"]), ["kozak_score", "gc_utr5", "gc_cds", "gc_utr3", "gc_full"]), 9)
 )
-register("q_revcomp", f"WITH {DUCK_DIM} SELECT codon, reverse(translate(codon, 'ACGT', 'TGCA')) AS revcomp FROM dim")(lambda spark, sf: weights.codon_dimension(spark).select("codon", S.reverse_complement(F.col("codon")).alias("revcomp")))
-register("q_codon_enum", f"WITH b(i, x) AS (VALUES (0, 'T'), (1, 'C'), (2, 'A'), (3, 'G')) SELECT a.i * 16 + b.i * 4 + c.i AS ord, a.x || b.x || c.x AS codon FROM b a, b, b c")(lambda spark, sf: weights.codon_dimension(spark).select("ord", "codon"))
+register("q_revcomp", f"{_TX} SELECT gene_id, reverse(translate(replace(upper(tx_sequence), 'U', 'T'), 'ACGT', 'TGCA')) AS revcomp FROM transcripts")(
+    lambda spark, sf: X.transcripts(spark, sf).select("gene_id", S.reverse_complement(S.normalised(F.col("tx_sequence"))).alias("revcomp"))
+)
+
+
+@register("q_codon_enum", f"""WITH {X.DUCK_CDS}, b(i, x) AS (VALUES (0, 'T'), (1, 'C'), (2, 'A'), (3, 'G')), e AS (SELECT a.i * 16 + b.i * 4 + c.i AS ord, a.x || b.x || c.x AS codon FROM b a, b b, b c),
+n AS (SELECT codon, count(*) AS n FROM (SELECT unnest(regexp_extract_all(seq, '...')) AS codon FROM r) GROUP BY codon) SELECT ord, codon, coalesce(n, 0) AS n FROM e LEFT JOIN n USING (codon)""")
+def _enumerated(spark, sf):
+    """All 64 codons in order, with how often coding sequences hold each."""
+    counts = X.cds_records(spark, sf).select(F.explode(S.codons(F.col("seq"))).alias("codon")).groupBy("codon").agg(F.count("*").alias("n"))
+    return weights.codon_dimension(spark).join(counts, "codon", "left").select("ord", "codon", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 register("q_gene_tag", f"WITH {X.DUCK_CDS} SELECT rec_id, nullif(regexp_extract(header, '\\[gene=([^\\]]+)\\]', 1), '') AS gene FROM r")(lambda spark, sf: X.cds_records(spark, sf).select("rec_id", S.gene_tag(F.col("header")).alias("gene")))
 register("q_seq_hash", f"{_TX} SELECT gene_id, sha1('mean|1022|' || tx_sequence) AS rnafm_key, sha1('model|mean|1000|' || tx_sequence) AS nt_key FROM transcripts WHERE tx_sequence IS NOT NULL")(
     lambda spark, sf: X.transcripts(spark, sf).filter("tx_sequence IS NOT NULL").select("gene_id", embedding.rnafm_key(F.col("tx_sequence")).alias("rnafm_key"), embedding.nt_key(F.col("tx_sequence"), "model").alias("nt_key"))
@@ -150,7 +169,10 @@ register("q_rnafm_prep", f"{_TX} SELECT gene_id, left(replace(upper(tx_sequence)
 register("q_nt_prep", f"{_TX} SELECT gene_id, replace(upper(tx_sequence), 'U', 'T') AS seq FROM transcripts")(lambda spark, sf: X.transcripts(spark, sf).select("gene_id", embedding.nt_input(F.col("tx_sequence")).alias("seq")))
 
 # ---- dictionary and ablations
-_NAMES_SQL = "n(idx, name) AS (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate([*features.FEATURES, "mystery", "utr5_AAAA", "foo_A"])) + ")"
+#: Groups whose columns are counted, long: a row for each column of the stored matrix, with how many genes have a value.
+_COUNTED = ["length", "gc", "mono", "uaug", "kozak", "cai"]
+_COUNTED_SQL = f"""{X.DUCK_REGIONS}, {_CODON_CTE}, wide AS (SELECT {_LENGTH_SQL}, {_GC_SQL}, {_kmer_sql(1)}, CAST({_hits("utr5", "ATG")} AS DOUBLE) AS "uAUG_count", {_KOZAK_SQL} AS kozak_score, cai, 1.0 AS mystery, 1.0 AS "utr5_AAAA"
+  FROM t LEFT JOIN ca USING (gene_id)), n AS (SELECT name, count(value) AS n_values FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM wide) ON COLUMNS(*) INTO NAME name VALUE value) GROUP BY name)"""
 _GROUP_SQL = """CASE WHEN name IN ('cai', 'tai') THEN name WHEN name = 'kozak_score' THEN 'kozak' WHEN name = 'mfe_start' THEN 'mfe' WHEN name = 'uAUG_count' THEN 'uaug'
   WHEN name LIKE 'log\\_%' ESCAPE '\\' THEN 'length' WHEN name LIKE 'gc\\_%' ESCAPE '\\' THEN 'gc' WHEN name LIKE 'codon\\_%' ESCAPE '\\' THEN 'codon'
   WHEN regexp_matches(name, '^(utr5|cds|utr3)_.$') THEN 'mono' WHEN regexp_matches(name, '^(utr5|cds|utr3)_..$') THEN 'di' WHEN regexp_matches(name, '^(utr5|cds|utr3)_...$') THEN 'kmer3' ELSE 'unknown' END"""
@@ -158,20 +180,27 @@ _REGION_SQL = """CASE WHEN name IN ('cai', 'tai') OR name LIKE 'codon\\_%' ESCAP
   WHEN regexp_matches(name, '^(log|gc)_') THEN regexp_extract(name, '_(.*)$', 1) WHEN regexp_matches(name, '^(utr5|cds|utr3)_') THEN regexp_extract(name, '^([a-z0-9]+)_', 1) ELSE 'unknown' END"""
 
 
-@register("q_classify_columns", f"WITH {_NAMES_SQL} SELECT idx, name, {_GROUP_SQL} AS grp, {_REGION_SQL} AS region FROM n")
+def _counted(spark: SparkSession, sf: str) -> DataFrame:
+    """(name, n_values) of the columns of a stored matrix, and of two that no group has."""
+    rows = store.feature_cache(X.transcripts(spark, sf), groups=_COUNTED).drop("gene_id").withColumns({"mystery": F.lit(1.0), "utr5_AAAA": F.lit(1.0)})
+    counts = rows.agg(*[F.count(c).alias(c) for c in rows.columns])
+    return counts.unpivot([], counts.columns, "name", "n_values")
+
+
+@register("q_classify_columns", f"WITH {_COUNTED_SQL} SELECT name, n_values, {_GROUP_SQL} AS grp, {_REGION_SQL} AS region FROM n")
 def _classify(spark, sf):
-    names = [*features.FEATURES, "mystery", "utr5_AAAA", "foo_A"]
     group, region = features.classified(F.col("name"))
-    return spark.createDataFrame(list(enumerate(names)), "idx int, name string").select("idx", "name", group.alias("grp"), region.alias("region"))
+    return _counted(spark, sf).select("name", "n_values", group.alias("grp"), region.alias("region"))
 
 
 _SPECS_SQL = "s(id, grps, regions) AS (VALUES " + ", ".join(f"('{i}', {list(s.groups)}, {'NULL' if s.regions is None else list(s.regions)})" for i, s in ablation.ABLATIONS.items()) + ")"
 
 
-@register("q_ablation_columns", f"WITH {_NAMES_SQL}, d AS (SELECT idx, name, {_GROUP_SQL} AS grp, {_REGION_SQL} AS region FROM n WHERE idx < 326), {_SPECS_SQL} SELECT id, idx, name FROM s JOIN d ON list_contains(grps, grp) AND (regions IS NULL OR list_contains(regions, region))")
+@register("q_ablation_columns", f"WITH {_COUNTED_SQL}, d AS (SELECT name, n_values, {_GROUP_SQL} AS grp, {_REGION_SQL} AS region FROM n), {_SPECS_SQL} SELECT id, name, n_values FROM s JOIN d ON list_contains(grps, grp) AND (regions IS NULL OR list_contains(regions, region))")
 def _ablation(spark, sf):
-    place = {n: i for i, n in enumerate(features.FEATURES)}
-    return spark.createDataFrame([(i, place[n], n) for i, s in ablation.ABLATIONS.items() for n in ablation.columns(s)], "id string, idx int, name string")
+    """The columns of a stored matrix that each ablation selects, with how many genes have a value."""
+    picked = spark.createDataFrame([(i, n) for i, s in ablation.ABLATIONS.items() for n in ablation.columns(s)], "id string, name string")
+    return _counted(spark, sf).join(picked, "name").select("id", "name", "n_values")
 
 
 # ---- weight tables
@@ -185,24 +214,37 @@ SELECT codon, aa AS amino_acid, count, round(rscu, 4) AS rscu, round(coalesce(rs
 register("q_cds_qc", f"WITH {_CHECKED_SQL} SELECT rec_id, valid FROM c")(lambda spark, sf: weights.checked(X.cds_records(spark, sf)).select("rec_id", "valid"))
 register("q_reference_set", f"WITH {_CHECKED_SQL} SELECT rec_id, gene, length(seq) AS length_nt FROM c WHERE reference")(lambda spark, sf: weights.checked(X.cds_records(spark, sf)).filter("reference").select("rec_id", "gene", F.length("seq").cast("long").alias("length_nt")))
 register("q_cds_counters", f"WITH {_CHECKED_SQL} SELECT count(*) AS n_total, count(*) FILTER (valid) AS n_valid, count(*) FILTER (reference) AS n_ref FROM c")(lambda spark, sf: weights.counters(weights.checked(X.cds_records(spark, sf))))
-register("q_codon_families", f"WITH {DUCK_DIM} SELECT aa, count(*) AS n_codons, string_agg(codon, ',' ORDER BY codon) AS codons FROM dim WHERE aa <> '*' GROUP BY aa")(lambda spark, sf: weights.families(spark))
+@register("q_codon_families", f"WITH {_CHECKED_SQL}, {DUCK_DIM}, n AS (SELECT codon, count(*) AS n FROM (SELECT unnest(cs[:-2]) AS codon FROM c WHERE reference) GROUP BY codon) SELECT aa, count(*) AS n_codons, string_agg(codon, ',' ORDER BY codon) AS codons, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM dim LEFT JOIN n USING (codon) WHERE aa <> '*' GROUP BY aa")
+def _families(spark, sf):
+    """Synonymous families, with how often the reference genes use each."""
+    totals = weights.codon_totals(weights.checked(X.cds_records(spark, sf))).join(weights.codon_dimension(spark).select("codon", "aa"), "codon").groupBy("aa").agg(F.sum("count").alias("total"))
+    return weights.families(spark).join(totals, "aa", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+
+
 register("q_codon_counts", f"WITH {_CHECKED_SQL} SELECT codon, count(*) AS count FROM (SELECT unnest(cs[:-2]) AS codon FROM c WHERE reference) GROUP BY codon")(lambda spark, sf: weights.codon_totals(weights.checked(X.cds_records(spark, sf))))
 register("q_rscu", f"SELECT codon, amino_acid, count, rscu FROM ({_RSCU_SQL})")(lambda spark, sf: weights.cai_weights(X.cds_records(spark, sf)).drop("cai_weight"))
 register("q_cai_weights", f"SELECT codon, amino_acid, cai_weight FROM ({_RSCU_SQL})")(lambda spark, sf: weights.cai_weights(X.cds_records(spark, sf)).select("codon", "amino_acid", "cai_weight"))
-register("q_anticodon_counts", f"WITH {X.DUCK_HEADERS} SELECT replace(upper(a), 'U', 'T') AS anticodon, count(*) AS gene_copy_number FROM (SELECT unnest(regexp_extract_all(line, '(?i)tRNA-[A-Za-z]{{3}}-([ACGTU]{{3}})', 1)) AS a FROM h WHERE starts_with(line, '>')) GROUP BY 1")(lambda spark, sf: weights.anticodons_of(X.trna_headers(spark)))
+@register("q_anticodon_counts", f"WITH {X.DUCK_HEADERS} SELECT replace(upper(a), 'U', 'T') AS anticodon, count(*) AS gene_copy_number FROM (SELECT unnest(regexp_extract_all(line, '(?i)tRNA-[A-Za-z]{{3}}-([ACGTU]{{3}})', 1)) AS a FROM h WHERE starts_with(line, '>')) GROUP BY 1")
+def _anticodons(spark, sf):
+    """Lines of a tRNA file derived from documents, as a text file read again."""
+    path = f"{shared_root(spark)}/trna-{abs(hash(sf)) % 10**9}"
+    X.trna_lines(spark, sf).write.mode("overwrite").text(path)
+    return weights.anticodons_of(readers.lines(spark, path))
+
+
 _CLEAN_SQL = f"{X.DUCK_COUNTS}, a1 AS (SELECT replace(upper(trim(anticodon)), 'U', 'T') AS anticodon, sum(gene_copy_number)::BIGINT AS gene_copy_number FROM a0 WHERE regexp_full_match(replace(upper(trim(anticodon)), 'U', 'T'), '[ACGT]{{3}}') GROUP BY 1)"
-register("q_anticodon_clean", f"WITH {_CLEAN_SQL} SELECT * FROM a1")(lambda spark, sf: weights.cleaned_anticodons(X.trna_counts(spark)))
+register("q_anticodon_clean", f"WITH {_CLEAN_SQL} SELECT * FROM a1")(lambda spark, sf: weights.cleaned_anticodons(X.trna_counts(spark, sf)))
 _TAI_SQL = f"""WITH {_CLEAN_SQL}, {DUCK_DIM}, o AS (SELECT codon, aa, codon[:2] AS box, codon[3] AS b, coalesce(gene_copy_number, 0)::DOUBLE AS t FROM dim LEFT JOIN a1 ON a1.anticodon = reverse(translate(codon, 'ACGT', 'TGCA'))),
 x AS (SELECT codon, aa, CASE b WHEN 'T' THEN t + 0.59 * (SELECT p.t FROM o p WHERE p.box = o.box AND p.b = 'C') WHEN 'C' THEN t + 0.72 * (SELECT p.t FROM o p WHERE p.box = o.box AND p.b = 'T')
   WHEN 'A' THEN t + 0.0001 * (SELECT p.t FROM o p WHERE p.box = o.box AND p.b = 'T') ELSE t + 0.32 * (SELECT p.t FROM o p WHERE p.box = o.box AND p.b = 'A') END AS w FROM o),
 y AS (SELECT codon, aa, w / (SELECT max(w) FROM x WHERE aa <> '*' AND codon <> 'ATG') AS rel FROM x WHERE aa <> '*' AND codon <> 'ATG')
 SELECT codon, aa AS amino_acid, round(CASE WHEN rel > 0 THEN rel ELSE (SELECT exp(avg(ln(rel))) FROM y WHERE rel > 0) END, 4) AS tai_weight FROM y"""
-register("q_tai_weights", _TAI_SQL)(lambda spark, sf: weights.tai_weights(weights.cleaned_anticodons(X.trna_counts(spark))))
+register("q_tai_weights", _TAI_SQL)(lambda spark, sf: weights.tai_weights(weights.cleaned_anticodons(X.trna_counts(spark, sf))))
 
 
 @register("q_merge_weights", f"WITH a AS ({_TAI_SQL}), {DUCK_WEIGHTS} SELECT codon, coalesce(a.tai_weight, 0) AS tai_weight_human, coalesce(w.tai_m, 0) AS tai_weight_mouse FROM a FULL JOIN (SELECT * FROM w WHERE tai_m IS NOT NULL AND codon NOT LIKE 'A%') w USING (codon)")
 def _merge(spark, sf):
-    human = weights.tai_weights(weights.cleaned_anticodons(X.trna_counts(spark)))
+    human = weights.tai_weights(weights.cleaned_anticodons(X.trna_counts(spark, sf)))
     mouse = spark.createDataFrame([(c, v) for c, v in TAI["mouse"].items() if c[0] != "A"], "codon string, tai_weight double")
     return weights.merged({"human": human, "mouse": mouse}, "tai").drop("amino_acid")
 
@@ -245,10 +287,10 @@ ORACLES["q_standard_scale"] = f"{_T}, g AS (SELECT gene_id, length(utr5)::DOUBLE
 
 # ---- rankings
 _RANK_SQL = f"WITH {X.DUCK_IMPORTANCES}, k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY importance DESC, feature_idx) AS rank FROM i)"
-register("q_top_features", f"{_RANK_SQL} SELECT model, rank, feature, importance, signed_coef FROM k WHERE rank <= 3")(lambda spark, sf: ranking.top_features(X.importances(spark), 3))
-register("q_bar_data", f"{_RANK_SQL} SELECT model, rank, feature, importance, signed_coef, CASE WHEN signed_coef IS NULL THEN NULL WHEN signed_coef > 0 THEN 'positive' ELSE 'negative' END AS sign FROM k WHERE rank <= 30")(lambda spark, sf: ranking.bars(X.importances(spark)))
-register("q_heatmap", f"{_RANK_SQL}, c AS (SELECT * FROM k WHERE rank <= 2), g AS (SELECT f.feature, m.model, coalesce(c.importance, 0) AS v FROM (SELECT DISTINCT feature FROM c) f CROSS JOIN (SELECT DISTINCT model FROM i) m LEFT JOIN c ON c.feature = f.feature AND c.model = m.model) SELECT feature, model, round(v / nullif(max(v) OVER (PARTITION BY model), 0), 6) AS value FROM g")(
-    lambda spark, sf: rounded(ranking.heatmap(X.importances(spark), 2))
+register("q_top_features", f"{_RANK_SQL} SELECT model, rank, feature, importance, signed_coef FROM k WHERE rank <= 50")(lambda spark, sf: ranking.top_features(X.importances(spark, sf)))
+register("q_bar_data", f"{_RANK_SQL} SELECT model, rank, feature, importance, signed_coef, CASE WHEN signed_coef IS NULL THEN NULL WHEN signed_coef > 0 THEN 'positive' ELSE 'negative' END AS sign FROM k WHERE rank <= 30")(lambda spark, sf: ranking.bars(X.importances(spark, sf)))
+register("q_heatmap", f"{_RANK_SQL}, c AS (SELECT * FROM k WHERE rank <= 25), g AS (SELECT f.feature, m.model, coalesce(c.importance, 0) AS v FROM (SELECT DISTINCT feature FROM c) f CROSS JOIN (SELECT DISTINCT model FROM i) m LEFT JOIN c ON c.feature = f.feature AND c.model = m.model) SELECT feature, model, round(v / nullif(max(v) OVER (PARTITION BY model), 0), 6) AS value FROM g")(
+    lambda spark, sf: rounded(ranking.heatmap(X.importances(spark, sf)))
 )
 
 # ---- embeddings
@@ -340,12 +382,9 @@ for _name, _model in (("q_lasso_optimality", "Lasso"), ("q_elasticnet_optimality
 @register("q_fasta_parse", f"WITH {X.DUCK_CDS} SELECT header, seq FROM r")
 def _fasta(spark, sf):
     """Coding records as FASTA text and read again."""
-    from codonlake.sources.readers import fasta
-    from codonlake.sources.store import shared_root
-
     path = f"{shared_root(spark)}/fasta-{abs(hash(sf)) % 10**9}"
     X.cds_records(spark, sf).select(F.concat(F.lit(">"), F.col("header"), F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))).write.mode("overwrite").text(path)
-    return fasta(spark, path)
+    return readers.fasta(spark, path)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

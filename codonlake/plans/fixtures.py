@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codonlake.functions.features import FEATURES
+
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MAPPED = "GCATGCATGCATGCATGCATGCATGCCGTACGTACGTACGTACGTACGTACG"
 
@@ -60,34 +62,32 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.unionByName(odd)
 
 
-TRNA_HEADERS = (
-    ">Homo_sapiens_tRNA-Ala-AGC-1-1 (tRNAscan-SE ID: chr6.trna116) Ala (AGC) 72 bp", ">Homo_sapiens_tRNA-Ala-AGC-1-2 Ala (AGC)", ">Homo_sapiens_tRNA-Cys-GCA-2-1 Cys (GCA)",
-    ">Homo_sapiens_tRNA-iMet-CAT-1-1 iMet (CAT)", ">Homo_sapiens_tRNA-SeC-TCA-1-1 SeC (TCA)", ">Homo_sapiens_tRNA-Gly-gcc-1-1 tRNA-Gly-UCC-3-1 Gly", ">Homo_sapiens_tRNA-Trp-CCA-1-1", "GGGGGTATAGCTCAGTGG", ">no anticodon",
-)
-TRNA_COUNTS = (
-    ("AGC", 22), ("GCA", 29), ("CCA", 7), ("TCA", 1), ("CAT", 10), ("CTT", 15), ("TTT", 12), (" guu ", 20), ("AAT", 14), ("TAT", 5), ("GAA", 10), ("ACGT", 3), ("NNN", 2), ("AGC", 4), ("UGC", 8), ("GCC", 14), ("TCC", 9), ("CTC", 8), ("TTC", 8), ("GTG", 9),
-)
-IMPORTANCES = (
-    ("Lasso", 0, "utr5_A", 0.5, -0.5), ("Lasso", 1, "utr5_T", 0.5, 0.5), ("Lasso", 2, "cds_GC", 0.0, 0.0), ("Lasso", 3, "gc_full", 0.9, 0.9), ("Lasso", 4, "cai", 0.1, -0.1),
-    ("RandomForest", 0, "utr5_A", 0.1, None), ("RandomForest", 1, "utr5_T", 0.3, None), ("RandomForest", 2, "cds_GC", 0.3, None), ("RandomForest", 3, "gc_full", 0.2, None), ("RandomForest", 4, "cai", 0.1, None),
-    ("SVR", 0, "utr5_A", 0.0, None), ("SVR", 1, "utr5_T", 0.0, None), ("SVR", 2, "cds_GC", 0.0, None), ("SVR", 3, "gc_full", 0.0, None), ("SVR", 4, "cai", 0.0, None),
-)
-
-
-def _values(rows: tuple) -> str:
-    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else repr(v) for v in (r if isinstance(r, tuple) else (r,))) + ")" for r in rows)
+#: Lines of a tRNA FASTA file by document: headers with one or two names, isotypes that do not count, and sequence lines.
+_ANTI = "CASE WHEN doc_id % 3 = 1 THEN lower(substr(s, 1 + doc_id % 50, 3)) WHEN doc_id % 3 = 2 THEN replace(substr(s, 1 + doc_id % 50, 3), 'T', 'U') ELSE substr(s, 1 + doc_id % 50, 3) END"
+_TYPE = "CASE doc_id % 5 WHEN 0 THEN 'Ala' WHEN 1 THEN 'Cys' WHEN 2 THEN 'iMet' WHEN 3 THEN 'SeC' ELSE 'gly' END"
+TRNA_LINE = f"""CASE WHEN doc_id % 4 = 3 THEN concat('tRNA-Ala-AGC-', substr(s, 1, 40)) ELSE concat('>Homo_sapiens_tRNA-', {_TYPE}, '-', {_ANTI}, '-', CAST(doc_id % 9 + 1 AS STRING), '-1',
+  CASE WHEN doc_id % 7 = 0 THEN concat(' tRNA-Gly-', substr(s, 5, 3), '-3-1') ELSE '' END) END"""
+#: Anticodon counts as users write them: padded, lower case, RNA letters, of wrong length, repeated.
+RAW_ANTICODON = f"CASE WHEN doc_id % 11 = 0 THEN concat(' ', {_ANTI}, ' ') WHEN doc_id % 13 = 0 THEN substr(s, 1, 4) WHEN doc_id % 17 = 0 THEN 'NNN' ELSE {_ANTI} END"
 
 
-def trna_headers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in TRNA_HEADERS], "line string")
+def trna_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _letters(spark, sf_dir).selectExpr(f"{TRNA_LINE} AS line")
 
 
-def trna_counts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TRNA_COUNTS, "anticodon string, gene_copy_number int")
+def trna_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _letters(spark, sf_dir).selectExpr(f"{RAW_ANTICODON} AS anticodon", "CAST(doc_id % 13 + 1 AS INT) AS gene_copy_number")
 
 
-def importances(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(IMPORTANCES, "model string, feature_idx int, feature string, importance double, signed_coef double")
+def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model, feature_idx, feature, importance, signed_coef by features; ties, zeros and a model of zeros among them."""
+    names = F.array(*[F.lit(n) for n in FEATURES])
+    line = table(spark, sf_dir, "lineitem").selectExpr(
+        "CASE l_linenumber % 3 WHEN 0 THEN 'Lasso' WHEN 1 THEN 'RandomForest' ELSE 'SVR' END AS model", "CAST(l_partkey % 326 AS INT) AS feature_idx", "CAST(l_quantity AS BIGINT) - 25 AS q"
+    )
+    sums = line.groupBy("model", "feature_idx").agg((F.sum("q") / 100).alias("v"))
+    value = F.when(F.col("model") == "SVR", 0.0).otherwise(F.abs("v"))
+    return sums.select("model", "feature_idx", F.get(names, F.col("feature_idx")).alias("feature"), value.alias("importance"), F.when(F.col("model") == "Lasso", F.col("v")).alias("signed_coef"))
 
 
 _DUCK_LETTERS = f"SELECT doc_id, regexp_replace(translate(text, '{LETTERS}', '{MAPPED}'), '[^ACGT]', '', 'g') AS s FROM documents"
@@ -114,6 +114,7 @@ r AS (SELECT doc_id AS rec_id, 'lcl|rec' || doc_id || ' [gene=' || CASE WHEN doc
 DUCK_PREDICTIONS = """
 p AS (SELECT 'base' AS model, CAST(l_orderkey % 10 AS INT) AS fold, l_orderkey * 10 + l_linenumber AS id, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) * 1500 AS y_hat FROM lineitem
   UNION ALL SELECT * FROM (VALUES ('odd', 0, 1, 1.5, 2.0), ('odd', 3, 2, 2.0, 1.0), ('odd', 3, 3, 2.0, 3.0), ('odd', 7, 4, 1.0, 5.0), ('odd', 7, 5, 4.0, 5.0), ('odd', 9, 6, 1.0, 1.0), ('odd', 9, 7, 1.0, 1.0)))"""
-DUCK_HEADERS = f"h(line) AS (VALUES {_values(TRNA_HEADERS)})"
-DUCK_COUNTS = f"a0(anticodon, gene_copy_number) AS (VALUES {_values(TRNA_COUNTS)})"
-DUCK_IMPORTANCES = f"i(model, feature_idx, feature, importance, signed_coef) AS (VALUES {_values(IMPORTANCES)})"
+DUCK_HEADERS = f"h AS (SELECT {TRNA_LINE} AS line FROM ({_DUCK_LETTERS}))"
+DUCK_COUNTS = f"a0 AS (SELECT {RAW_ANTICODON} AS anticodon, CAST(doc_id % 13 + 1 AS INT) AS gene_copy_number FROM ({_DUCK_LETTERS}))"
+DUCK_IMPORTANCES = f"""i AS (SELECT model, feature_idx, {list(FEATURES)}[feature_idx + 1] AS feature, CASE WHEN model = 'SVR' THEN 0.0 ELSE abs(v) END AS importance, CASE WHEN model = 'Lasso' THEN v END AS signed_coef
+  FROM (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'Lasso' WHEN 1 THEN 'RandomForest' ELSE 'SVR' END AS model, CAST(l_partkey % 326 AS INT) AS feature_idx, sum(CAST(l_quantity AS BIGINT) - 25)::DOUBLE / 100 AS v FROM lineitem GROUP BY 1, 2))"""

@@ -82,9 +82,10 @@ def test_summary_layout(spark, sf):
     assert {("odd", f) for f in ("0", "1", "2", "3", "mean", "std", "oof")} <= got
 
 
-def test_heatmap_zero_model_is_null(spark):
-    rows = {(r["feature"], r["model"]): r["value"] for r in heatmap(X.importances(spark), 2).collect()}
-    assert all(v is None for (_, m), v in rows.items() if m == "SVR") and rows[("gc_full", "Lasso")] == 1.0
+def test_heatmap_zero_model_is_null(spark, sf):
+    rows = {(r["feature"], r["model"]): r["value"] for r in heatmap(X.importances(spark, sf), 2).collect()}
+    assert all(v is None for (_, m), v in rows.items() if m == "SVR") and {m for _, m in rows} == {"SVR", "Lasso", "RandomForest"}
+    assert all(max(v for (_, m), v in rows.items() if m == own) == 1.0 for own in ("Lasso", "RandomForest"))
 
 
 def test_folding():
@@ -105,7 +106,7 @@ def test_embedding_cache(spark, tmp_path):
         embedding.pooled(np.zeros((1, 1)), "median")
 
 
-def test_fasta_and_reports(spark, tmp_path):
+def test_fasta_and_reports(spark, sf, tmp_path):
     from codonlake.plans import pipeline
     from codonlake.sources import readers
 
@@ -115,7 +116,7 @@ def test_fasta_and_reports(spark, tmp_path):
     out = pipeline.build_cai(spark, {"human": str(f), "mouse": str(f)}, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(out).count() == 61
     t = tmp_path / "t.fa"
-    t.write_text("\n".join(X.TRNA_HEADERS))
+    t.write_text("\n".join(r["line"] for r in X.trna_lines(spark, sf).collect()))
     out = pipeline.build_tai(spark, {"human": str(t), "mouse": str(t)}, str(tmp_path / "tai"))
     assert spark.read.option("header", True).csv(out).count() == 60
 
