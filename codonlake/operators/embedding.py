@@ -7,14 +7,17 @@ matrices. The one here hashes k-mers to fixed pseudo-random directions: determin
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from codonlake.functions import sequence as S
+from codonlake.sources.store import content, held, shared_root, stored
+from codonlake.sources.vectors import VectorCache
 
 RNAFM_LONGEST = 1022
 NT_TOKENS = 1000
@@ -63,8 +66,9 @@ def embedded(rows: DataFrame, provider: Callable[[], Callable], pooling: str = "
     pooled(np.zeros((1, 1)), pooling)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = provider()
+        model = None
         for part in parts:
+            model = model or provider()
             part = part.sort_values("seq", key=lambda s: -s.str.len(), kind="stable")
             vectors = []
             for i in range(0, len(part), batch):
@@ -81,14 +85,13 @@ def missing(rows: DataFrame, cache: DataFrame | None) -> DataFrame:
 
 
 def cached_through(rows: DataFrame, path: str, provider: Callable[[], Callable], pooling: str = "mean") -> DataFrame:
-    """rows with their embedding; new vectors are appended to the cache at `path`, which the cluster shares."""
-    spark = rows.sparkSession
-    schema = "seq_hash string, embedding array<float>"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    cache = spark.read.schema(schema).parquet(path) if fs.exists(where) else None
-    embedded(missing(rows, cache), provider, pooling).write.mode("append").parquet(path)
-    return rows.join(spark.read.schema(schema).parquet(path).dropDuplicates(["seq_hash"]), "seq_hash")
+    """rows with their embedding; new vectors go to the cache at `path`, which the cluster shares and other jobs may fill too."""
+    cache = VectorCache(rows.sparkSession, path)
+    new = cache.missing(rows.select("seq_hash", "seq"))
+    batch = content(new, "seq_hash")
+    if not batch.startswith("0-"):
+        cache.append(embedded(new, provider, pooling), batch)
+    return cache.found(rows)
 
 
 def unstacked(rows: DataFrame, prefix: str, width: int, vector: str = "embedding") -> DataFrame:
@@ -106,27 +109,43 @@ def pooled_vectors(rows: DataFrame, keys: list[str], pooling: str, vector: str =
     return long.groupBy(*keys, "pos").agg(how[pooling](F.col("x").cast("double")).alias("value"))
 
 
-def batches(rows: DataFrame, size: int = 8, key: str = "gene_id", ranges: int = 64) -> DataFrame:
-    """rows with batch: numbers of equal-size batches, longest sequences first; ranks by length ranges, not in one task."""
-    from pyspark.sql import Window
+#: Rows that one length range of batches() is meant to hold, and the most ranges.
+RANGE_ROWS = 100_000
+MOST_RANGES = 4096
 
+
+def batches(rows: DataFrame, size: int = 8, key: str = "gene_id", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """rows with batch: numbers of equal-size batches, longest sequences first, equal lengths by key.
+
+    Rows are sorted by Spark's range sort over (length, key), which splits equal lengths too; a row's rank is its place in its
+    partition plus the rows of the partitions before, of which there is one count each.
+    """
+    ranges = min(MOST_RANGES, max(1, -(-rows.count() // range_rows)))
     sized = rows.withColumn("_len", F.coalesce(F.length("seq"), F.lit(0)))
-    cuts = sized.agg(F.percentile_approx("_len", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    placed = sized.withColumn("_range", sum(((F.col("_len") <= c).cast("int") for c in sorted(set(cuts))), F.lit(0)))
-    held = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # at most `ranges` rows
-    ahead = held.select(F.col("_range").alias("_r"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_ahead"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc("_len"), key))
-    out = placed.withColumn("_own", own).join(F.broadcast(ahead), F.col("_range") == F.col("_r"))
-    return out.withColumn("batch", F.floor((F.col("_own") + F.col("_ahead") - 1) / size)).drop("_len", "_range", "_own", "_r", "_ahead")
+    placed = held(sized.repartitionByRange(ranges, F.desc("_len"), F.col(key)).withColumn("_part", F.spark_partition_id()))
+    before = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # at most MOST_RANGES rows
+    ahead = before.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("_len"), key))
+    out = placed.withColumn("_own", own).join(F.broadcast(ahead), F.col("_part") == F.col("_p"))
+    return out.withColumn("batch", F.floor((F.col("_own") + F.col("_ahead") - 1) / size)).drop("_len", "_part", "_own", "_p", "_ahead", "_n")
 
 
 def combined(features: DataFrame, vectors: DataFrame, key: str = "gene_id") -> DataFrame:
-    """Hand-made and embedding columns of the same rows, joined by key; a missing row on either side is an error."""
-    n, m = features.count(), vectors.count()
-    out = features.join(vectors, key)
-    if n != m or out.count() != n:
-        raise ValueError(f"feature blocks do not cover the same rows: {n} and {m}")
-    return out
+    """Hand-made and embedding columns of the same rows, joined by key and stored; a missing row on either side is an error.
+
+    Both sides and the join are counted while the join is written, in one job; if they differ, nothing is stored.
+    """
+    spark = features.sparkSession
+    seen = [Observation() for _ in range(3)]
+    count = F.count(F.lit(1)).alias("n")
+    joined = features.observe(seen[0], count).join(vectors.observe(seen[1], count), key).observe(seen[2], count)
+
+    def check() -> None:
+        n, m, both = (o.get["n"] for o in seen)
+        if not n == m == both:
+            raise ValueError(f"feature blocks do not cover the same rows: {n} and {m}, {both} in common")
+
+    return stored(spark, f"{shared_root(spark)}/combined/{uuid.uuid4().hex}", lambda: joined, check)
 
 
 def matrix_key(path: str, species: str, most: int | None, source: str, width: int, pooling: str = "mean") -> str:

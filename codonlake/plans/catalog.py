@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from codonlake.operators import ablation, embedding, ranking, weights
 from codonlake.plans import fixtures as X
 from codonlake.sources import readers, store, workbook
 from codonlake.sources.store import shared_root
+from codonlake.sources.vectors import VectorCache
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -307,8 +309,22 @@ register("q_embed_columns", "SELECT vec_id, " + ", ".join(f"embedding[{i + 1}] A
 
 @register("q_embed_cache_lookup", "SELECT vec_id, sha1('k|' || vec_id) AS seq_hash FROM embeddings WHERE vec_id % 3 <> 0")
 def _lookup(spark, sf):
-    rows = _emb(spark, sf).select("vec_id", S.content_key(F.col("vec_id").cast("string"), "k").alias("seq_hash"))
-    return embedding.missing(rows, rows.filter("vec_id % 3 = 0"))
+    """The keys that a cache holding a third of them lacks."""
+    rows = _emb(spark, sf).select("vec_id", S.content_key(F.col("vec_id").cast("string"), "k").alias("seq_hash"), "embedding")
+    cache = VectorCache(spark, f"{shared_root(spark)}/vectors-{uuid.uuid4().hex}")
+    cache.append(rows.filter("vec_id % 3 = 0").select("seq_hash", "embedding"), "third")
+    return cache.missing(rows.select("vec_id", "seq_hash"))
+
+
+@register("q_embed_cache_found", "SELECT vec_id, sha1('k|' || vec_id) AS seq_hash, len(embedding) AS width, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 4) AS size FROM embeddings WHERE vec_id % 3 = 0")
+def _found(spark, sf):
+    """The vectors that a cache filled by two batches holds, by key."""
+    rows = _emb(spark, sf).select("vec_id", S.content_key(F.col("vec_id").cast("string"), "k").alias("seq_hash"), "embedding")
+    cache = VectorCache(spark, f"{shared_root(spark)}/vectors-{uuid.uuid4().hex}")
+    for batch, some in (("a", "vec_id % 6 = 0"), ("b", "vec_id % 3 = 0")):
+        cache.append(rows.filter(some).select("seq_hash", "embedding"), batch)
+    size = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))), 4)
+    return cache.found(rows.select("vec_id", "seq_hash")).select("vec_id", "seq_hash", F.size("embedding").cast("long").alias("width"), size.alias("size"))
 
 
 @register("q_combined_features", f"{_T} SELECT gene_id, {_GC_SQL}, embedding[1] AS nt_0, embedding[2] AS nt_1 FROM t JOIN embeddings ON vec_id = gene_id")

@@ -96,7 +96,7 @@ def run_ablations(
             continue
         rows = ablation.usable(readers.transcripts(spark, d.path, d.target))
         species = readers.weight_tables(spark, *weight_paths, d.species) if weight_paths else d.species
-        matrix = store.feature_cache(rows, species, groups, KEPT)
+        matrix = store.feature_cache(rows, species, groups, KEPT, source=store.snapshot(spark, d.path, d.target))
         if cache_only:
             continue
         everything, every = ablation.prepared(matrix, groups)

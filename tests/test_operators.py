@@ -100,7 +100,7 @@ def test_embedding_cache(spark, tmp_path):
     path = str(tmp_path / "cache")
     for _ in range(2):
         out = embedding.cached_through(rows, path, lambda: embedding.hashed_kmers(4)).collect()
-        assert len(out) == 3 and spark.read.parquet(path).count() == 2
+        assert len(out) == 3 and spark.read.parquet(f"{path}/data").count() == 2
     assert embedding.feature_sets("both", "nt") == ["nt", "nt_plus_full"]
     with pytest.raises(ValueError):
         embedding.pooled(np.zeros((1, 1)), "median")

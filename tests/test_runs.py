@@ -125,7 +125,7 @@ def test_embedding_runs_and_their_stored_matrix(spark, data, tmp_path):
     assert len(alone) == 5 and {r["feature"] for r in alone} == {f"rnafm_{i}" for i in range(5)} and len(joint) == 50
     assert embedding.matrix_key("/x/human.parquet", "human", None, "nt", 8) == "human_human_full_nt_hashed_mean_T1000_8"
     paths = glob.glob(f"{store.shared_root(spark)}/matrices/human_human_full_rnafm_mean_L1022_5-*")
-    assert len(paths) == 1 and spark.read.parquet(paths[0]).count() == 36
+    assert len(paths) == 1 and spark.read.parquet(store.committed(spark, paths[0])).count() == 36
     fails = lambda: (_ for _ in ()).throw(AssertionError("embedded again"))
     assert pipeline.run_embeddings(spark, data, out, "rnafm", chosen=["human"], embed_only=True, provider=fails, width=5) == []
 
@@ -182,3 +182,78 @@ def test_registered_dictionary():
 
 def test_stand_in_predictions_have_every_odd_fold(spark, sf):
     assert X.predictions(spark, sf).filter("model = 'odd'").count() == 7
+
+
+def test_a_second_read_scans_no_input_and_a_changed_file_misses(spark, tmp_path, monkeypatch):
+    path, root = str(tmp_path / "human.parquet"), str(tmp_path / "store")
+    spark.createDataFrame(genes(), SCHEMA).write.parquet(path)
+    rows = readers.transcripts(spark, path)
+    first = store.feature_cache(rows, groups=["gc"], root=root, source=store.snapshot(spark, path, "te"))
+
+    def scanned(*_):
+        raise AssertionError("the input was read")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "content", scanned)
+        m.setattr(features, "matrix", scanned)
+        again = store.feature_cache(rows, groups=["gc"], root=root, source=store.snapshot(spark, path, "te"))
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
+        with pytest.raises(AssertionError, match="was read"):
+            store.feature_cache(rows, groups=["gc"], root=root, source=store.snapshot(spark, path, "other"))
+    spark.createDataFrame(genes()[:7], SCHEMA).write.mode("overwrite").parquet(path)
+    assert store.feature_cache(readers.transcripts(spark, path), groups=["gc"], root=root, source=store.snapshot(spark, path, "te")).count() == 7
+
+
+def test_two_builders_of_one_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+
+    def late():
+        store.stored(spark, path, lambda: spark.range(5))  # another job is first
+        return spark.range(9)
+
+    assert store.stored(spark, path, late).count() == 5 and len([d for d in tmp_path.joinpath("t").iterdir() if d.is_dir()]) == 1
+    with pytest.raises(Exception, match="broken"):
+        store.stored(spark, f"{path}2", lambda: spark.range(3).select(F.raise_error(F.lit("broken"))))
+    assert store.committed(spark, f"{path}2") is None and not any(tmp_path.joinpath("t2").iterdir())
+    assert store.stored(spark, f"{path}2", lambda: spark.range(3)).count() == 3
+
+
+def test_combined_counts_while_it_writes(spark):
+    a, b = spark.range(10).withColumnRenamed("id", "gene_id"), spark.range(10).selectExpr("id AS gene_id", "id AS v")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("combined-test", "")
+    assert embedding.combined(a, b).count() == 10
+    writes = len(jobs.getJobIdsForGroup("combined-test"))
+    spark.sparkContext.setJobGroup("other", "")
+    for left, right in ((a, b.filter("gene_id > 0")), (a.filter("gene_id > 0"), b), (a, b.unionByName(b)), (a, b.withColumn("gene_id", F.col("gene_id") + 1))):
+        with pytest.raises(ValueError, match="same rows"):
+            embedding.combined(left, right)
+    assert writes <= 6  # shuffles of both sides, the write, the read
+
+
+def test_summary_reads_predictions_once(spark):
+    rows = [("m", f, float(i), float(i * i % 7)) for f in (2, 5, 9) for i in range(6)] + [("m", 9, 1.0, 1.0)] + [("k", 1, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "model string, fold int, y double, y_hat double")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    out = metrics.summary(df.mapInArrow(counted, df.schema), ["model"], strict=False)
+    got = {(r["model"], r["fold"]): r for r in out.collect()}
+    assert read.value == len(rows) and set(got) == {("m", f) for f in ("0", "1", "2", "mean", "std", "oof")} | {("k", f) for f in ("0", "mean", "std", "oof")}
+    assert got["m", "mean"]["mae"] == pytest.approx(sum(got["m", f]["mae"] for f in "012") / 3)
+    assert got["k", "mean"]["r2"] is None and got["k", "oof"]["mae"] == 0 and got["k", "mean"]["mae"] == 0
+    strict = {(r["model"], r["fold"]): r["r2"] for r in metrics.summary(df, ["model"], strict=True).collect()}
+    assert strict["k", "mean"] is None and strict["m", "oof"] == pytest.approx(got["m", "oof"]["r2"])
+    with pytest.raises(Exception, match="needs a fold"):
+        metrics.summary(df.withColumn("fold", F.when(F.col("y") > 1, F.col("fold"))), ["model"], strict=True).collect()
+
+
+def test_batches_of_equal_lengths(spark):
+    rows = spark.range(1000).select(F.col("id").alias("gene_id"), F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 3 == 0, "AC").otherwise("ACGT").alias("seq"))
+    got = {r["gene_id"]: (len(r["seq"] or ""), r["batch"]) for r in embedding.batches(rows, 8, range_rows=70).collect()}
+    order = sorted(got, key=lambda i: (-got[i][0], i))
+    assert [got[i][1] for i in order] == [i // 8 for i in range(1000)] and embedding.batches(rows.limit(0)).count() == 0
