@@ -1,12 +1,17 @@
-"""Column expressions over sequence strings. All of them are built-in functions, so they stay in the JVM and stream."""
+"""Column expressions over sequence strings. All but two are built-in functions and stay in the JVM; k-mers and codons are
+counted by Arrow UDFs, a batch of sequences in one pass. All of them stream.
+"""
 
 from __future__ import annotations
 
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codonlake.functions import counts
+
 REGIONS = ("utr5", "cds", "utr3")
 #: Order in which base, dimer and trimer columns are listed.
 LISTED = "ATGC"
@@ -67,11 +72,12 @@ def kmers(k: int) -> list[str]:
 
 def kmer_frequencies(seq: Column, k: int) -> Column:
     """Array of the frequencies of all k-mers in listed order: non-overlapping counts over n - k + 1; null if n < k."""
-    def frequencies(s: Column, n: Column) -> Column:
-        pieces = F.array(*[F.lit(x) for x in kmers(k)])
-        return F.when(n >= k, F.transform(pieces, lambda p: F.floor((n - F.length(F.replace(s, p, F.lit("")))) / k).cast("double") / (n - (k - 1))))
 
-    return bound(seq, lambda s: bound(F.length(s), lambda n: frequencies(s, n)))
+    @F.arrow_udf("array<double>")
+    def kmers_of(column: pa.Array) -> pa.Array:
+        return counts.frequencies(column, k, LISTED)
+
+    return kmers_of(seq)
 
 
 def gc_fraction(seq: Column) -> Column:
@@ -84,13 +90,13 @@ def codons(cds: Column) -> Column:
 
 
 def codon_counts(cds: Column, order: list[str]) -> Column:
-    """Counts of the codons of `order` among the in-frame codons, as an array of integers.
+    """Counts of the codons of `order` among the in-frame codons, as an array of integers."""
 
-    The codons are joined with a separator so that a count is one scan and never straddles two codons.
-    """
-    wanted = F.array(*[F.lit(c) for c in order])
-    count = lambda s, n: F.transform(wanted, lambda c: F.floor((n - F.length(F.replace(s, c, F.lit("")))) / 3).cast("int"))
-    return bound(F.array_join(codons(cds), ","), lambda s: bound(F.length(s), lambda n: count(s, n)))
+    @F.arrow_udf("array<int>")
+    def codons_of(column: pa.Array) -> pa.Array:
+        return counts.codons_in_frame(column, order, LISTED)
+
+    return codons_of(cds)
 
 
 def kozak_score(utr5: Column, cds: Column) -> Column:
