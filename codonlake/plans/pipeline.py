@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from codonlake.functions.codons import Tables
 from codonlake.operators import ablation, embedding, ranking, validation, weights
 from codonlake.sources import readers, store
 
+#: Runs that hand in their jobs at a time.
+AT_ONCE = 4
 #: Columns that go with the features.
 KEPT = ("gene_id", "fold", "te")
 
@@ -80,31 +86,63 @@ def report(rows: DataFrame, names: list[str], models: list[str], label: str, out
     return written
 
 
+def concurrently(spark: SparkSession, runs: dict[str, Callable[[], list[str]]], at_once: int = AT_ONCE) -> dict[str, list[str]]:
+    """What each run returns, by name. Up to `at_once` runs hand in their jobs at a time, each in a pool of its own, so that
+    with spark.scheduler.mode=FAIR none waits for another's tasks. A run that fails leaves the others; when all have ended,
+    the failures are raised together.
+    """
+
+    def one(name: str) -> list[str]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            return runs[name]()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    done, failed = {}, []
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        futures = {name: pool.submit(inheritable_thread_target(spark)(one), name) for name in runs}
+        for name, future in futures.items():
+            try:
+                done[name] = future.result()
+            except Exception as e:
+                e.add_note(f"in run {name}")
+                failed.append(e)
+    if failed:
+        raise ExceptionGroup(f"{len(failed)} of {len(runs)} runs failed", failed)
+    return done
+
+
 def run_ablations(
     spark: SparkSession, root: str, out: str, ids: list[str] | None = None, which: list[str] | None = None, models: list[str] | None = None, cache_only: bool = False, scale: float = 1.0,
-    weight_paths: tuple[str, str] | None = None,
+    weight_paths: tuple[str, str] | None = None, at_once: int = AT_ONCE,
 ) -> list[str]:
-    """Reports of all (dataset, ablation) below out/ABLATION. The groups that any of them names are computed once, and one
-    pass of cross products serves the linear models of all of them. weight_paths: combined CAI and tAI tables of one's own.
+    """Reports of all (dataset, ablation) below out/ABLATION, `at_once` of them at a time. The groups that any of them names are
+    computed once a dataset, and one pass of cross products serves the linear models of all of them. weight_paths: combined
+    CAI and tAI tables of one's own.
     """
-    written = []
     specs = {i: ablation.ABLATIONS[i] for i in ids or list(ablation.ABLATIONS)}
     groups = sorted({g for s in specs.values() for g in s.groups})
     models = models or list(validation.MODELS)
-    for name, d in datasets(spark, root).items():
-        if which and name not in which:
-            continue
+    chosen = {name: d for name, d in datasets(spark, root).items() if not which or name in which}
+
+    def matrix(d: Dataset) -> DataFrame:
         rows = ablation.usable(readers.transcripts(spark, d.path, d.target))
         species = readers.weight_tables(spark, *weight_paths, d.species) if weight_paths else d.species
-        matrix = store.feature_cache(rows, species, groups, KEPT, source=store.snapshot(spark, d.path, d.target))
-        if cache_only:
-            continue
-        everything, every = ablation.prepared(matrix, groups)
-        sums = validation.Sums.of(everything, every) if set(models) & set(validation.linear.PENALTIES) else None
-        for aid, spec in specs.items():
-            ready, names = ablation.prepared(matrix, spec)
-            written += report(ready, names, models, d.label, f"{out}/{aid}", scale, sums)
-    return written
+        return store.feature_cache(rows, species, groups, KEPT, source=store.snapshot(spark, d.path, d.target))
+
+    matrices = {name: matrix(d) for name, d in chosen.items()}
+    if cache_only:
+        return []
+    linear = bool(set(models) & set(validation.linear.PENALTIES))
+    sums = {name: validation.Sums.of(*ablation.prepared(m, groups)) if linear else None for name, m in matrices.items()}
+
+    def run(name: str, aid: str) -> list[str]:
+        ready, names = ablation.prepared(matrices[name], specs[aid])
+        return report(ready, names, models, chosen[name].label, f"{out}/{aid}", scale, sums[name])
+
+    runs = {f"{name}/{aid}": partial(run, name, aid) for name in chosen for aid in specs}
+    return [path for paths in concurrently(spark, runs, at_once).values() for path in paths]
 
 
 def run_embeddings(
@@ -175,6 +213,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--ablation", choices=list(ablation.ABLATIONS))
     run.add_argument("--cache-only", action="store_true")
     run.add_argument("--weights", nargs=2, metavar=("CAI", "TAI"), help="combined weight tables in the place of the built-in ones")
+    run.add_argument("--at-once", type=int, default=AT_ONCE, help="runs whose jobs may overlap")
     run.add_argument("--index", type=int, help="task of a job array over (ablation, dataset)")
     for source in ("rnafm", "nt"):
         one = sub.add_parser(source, help=f"{source} embeddings")
@@ -198,7 +237,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.index is not None:
             one, name = array_job(a.index, ids or list(ablation.ABLATIONS), which or [d[0] for d in DATASETS])
             ids, which = [one], [name]
-        run_ablations(spark, a.data, a.out, ids, which, a.models, a.cache_only, a.scale, tuple(a.weights) if a.weights else None)
+        run_ablations(spark, a.data, a.out, ids, which, a.models, a.cache_only, a.scale, tuple(a.weights) if a.weights else None, a.at_once)
     elif a.command in ("rnafm", "nt"):
         run_embeddings(spark, a.data, a.out, a.command, a.features, which, a.embed_only, models=a.models, scale=a.scale)
     else:

@@ -112,5 +112,4 @@ class Fasta(DataSource):
 
 
 def register(spark: SparkSession) -> SparkSession:
-    spark.dataSource.register(Fasta)
-    return spark
+    return files.registered(spark, Fasta)

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import posixpath
+import threading
+import weakref
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource
 
 #: Schemes that Arrow opens without Spark; other stores are left to Spark's own readers.
 SCHEMES = ("", "file", "s3", "gs", "hdfs")
@@ -58,3 +62,17 @@ def streamed(path: str) -> pa.NativeFile:
     """A file from its beginning, unpacked if its name says that it is compressed."""
     system, own = placed(path)
     return system.open_input_stream(own, compression="detect")
+
+
+_KNOWN: weakref.WeakKeyDictionary[SparkSession, set[type]] = weakref.WeakKeyDictionary()
+_LOCK = threading.Lock()
+
+
+def registered(spark: SparkSession, source: type[DataSource]) -> SparkSession:
+    """spark, with the data source made known to it once; runs of several threads may ask at a time."""
+    with _LOCK:
+        known = _KNOWN.setdefault(spark, set())
+        if source not in known:
+            spark.dataSource.register(source)
+            known.add(source)
+    return spark

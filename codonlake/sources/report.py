@@ -111,5 +111,4 @@ class Report(DataSource):
 
 
 def register(spark: SparkSession) -> SparkSession:
-    spark.dataSource.register(Report)
-    return spark
+    return files.registered(spark, Report)

@@ -398,5 +398,4 @@ class WorkbookSource(DataSource):
 
 
 def register(spark: SparkSession) -> SparkSession:
-    spark.dataSource.register(WorkbookSource)
-    return spark
+    return files.registered(spark, WorkbookSource)

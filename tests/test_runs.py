@@ -257,3 +257,61 @@ def test_batches_of_equal_lengths(spark):
     got = {r["gene_id"]: (len(r["seq"] or ""), r["batch"]) for r in embedding.batches(rows, 8, range_rows=70).collect()}
     order = sorted(got, key=lambda i: (-got[i][0], i))
     assert [got[i][1] for i in order] == [i // 8 for i in range(1000)] and embedding.batches(rows.limit(0)).count() == 0
+
+
+def test_runs_overlap_and_a_failure_leaves_the_others(spark):
+    import threading
+    import time
+
+    meet, seen = threading.Barrier(2, timeout=60), []
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(1.5)
+            yield b
+
+    def run(name):
+        meet.wait()
+        spark.range(4).coalesce(1).mapInArrow(slow, "id long").count()
+        return [name]
+
+    def watch():
+        while threading.active_count() and len(seen) < 400:
+            seen.append(len(spark.sparkContext.statusTracker().getActiveJobsIds()))
+            time.sleep(0.05)
+        return ["watched"]
+
+    def broken():
+        raise ValueError("broken run")
+
+    with pytest.raises(ExceptionGroup) as e:
+        pipeline.concurrently(spark, {"a": lambda: run("a"), "b": lambda: run("b"), "c": broken, "d": lambda: [seen.extend([0] * 400)] and watch()}, 4)
+    assert [str(x) for x in e.value.exceptions] == ["broken run"] and e.value.exceptions[0].__notes__ == ["in run c"]
+    del seen[:]
+    assert list(pipeline.concurrently(spark, {"a": lambda: run("a"), "b": lambda: run("b"), "w": watch}, 3).values()) == [["a"], ["b"], ["watched"]] and max(seen) >= 2
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+def test_reports_at_once_are_those_of_one_by_one(spark, data, tmp_path, monkeypatch):
+    both = [str(tmp_path / d) for d in ("one", "four")]
+    for out, n in zip(both, (1, 4), strict=True):
+        paths = pipeline.run_ablations(spark, data, out, ["A1", "C1", "B1"], None, ["Lasso", "ElasticNet"], at_once=n)
+        assert [p.removeprefix(out) for p in paths] == [f"/{a}/{d}_{r}.csv" for d in ("Human_HCT116", "Mouse_4T1") for a in ("A1", "C1", "B1") for r in ("eval_results", "r2_results", "top_features", "bars", "heatmap")]
+    names = [p.relative_to(both[0]) for p in tmp_path.joinpath("one").rglob("*.csv")]
+    assert len(names) == 30
+    for n in names:
+        a, b = (table_of(f"{d}/{n}".removesuffix(".csv")) for d in both)
+        assert len(a) == len(b) and list(a[0]) == list(b[0])
+        for x, y in zip(a, b, strict=True):
+            assert all(x[c] == y[c] or float(x[c]) == pytest.approx(float(y[c]), abs=1e-9) for c in x), n
+    once = pipeline.report
+
+    def failing(rows, names, models, label, out, *rest):
+        if out.endswith("C1"):
+            raise ValueError("no disk")
+        return once(rows, names, models, label, out, *rest)
+
+    monkeypatch.setattr(pipeline, "report", failing)
+    with pytest.raises(ExceptionGroup, match="1 of 2"):
+        pipeline.run_ablations(spark, data, str(tmp_path / "f"), ["A1", "C1"], ["human"], ["Lasso"])
+    assert len(list(tmp_path.joinpath("f", "A1").iterdir())) == 5 and not tmp_path.joinpath("f", "C1").exists()
