@@ -63,11 +63,13 @@ def word_scripts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return _SCRIPT_OF[point]
 
 
-def trigram_buckets(data: np.ndarray) -> np.ndarray:
-    """For each byte, the bucket of it and its two neighbours; what is no letter counts as one and the same byte."""
+def trigram_buckets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte, the bucket of it and its two neighbours in its text; what is no letter, or outside, is one and the same byte."""
     x = np.where(_WORD[data], K.LOWERED[data], 0).astype(np.uint32)
     left, right = np.zeros_like(x), np.zeros_like(x)
     left[1:], right[:-1] = x[:-1], x[1:]
+    left[offsets[:-1][offsets[:-1] < len(data)]] = 0
+    right[offsets[1:][offsets[1:] > 0] - 1] = 0
     return ((left * np.uint32(0x9E3779B1) ^ x * np.uint32(0x85EBCA6B) ^ right * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(16)
 
 
@@ -82,9 +84,9 @@ class Model:
         allowed[:, ~allowed.any(0)] = True  # a script that no language writes narrows nothing
         self.bar = np.where(allowed, 0.0, -50.0).astype(np.float32).T.copy()
 
-    def scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def scores(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """(words, languages) log scores of the words' trigrams, with the bar of the script on top."""
-        buckets = trigram_buckets(data)
+        buckets = trigram_buckets(data, offsets)
         out = np.empty((len(starts), len(self.languages)), np.float32)
         cuts = np.empty(2 * len(starts), np.int64)
         cuts[0::2], cuts[1::2] = starts, ends
@@ -138,7 +140,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offsets in K.text_steps(b.column(1)):
             starts, ends, first = K.words(data, offsets, _WORD)
             kind = word_scripts(data, starts)
-            buckets = trigram_buckets(data)
+            buckets = trigram_buckets(data, offsets)
             inside = _WORD[data]
             for i in range(hi - lo):
                 lang = labels[lo + i]
@@ -192,7 +194,7 @@ def _predict(shared, text_at: int, switch: float, keep_text: bool):
                 langs, scores, spans = ["und"] * (hi - lo), np.zeros(hi - lo), np.zeros(hi - lo, np.int64)
                 if model is not None:
                     starts, ends, first = K.words(data, offsets, _WORD)
-                    path = model.spans(model.scores(data, starts, ends), first, switch)
+                    path = model.spans(model.scores(data, offsets, starts, ends), first, switch)
                     weight = ends - starts
                     texts = b.column(text_at).slice(lo, hi - lo)
                     ascii_letters = np.concatenate([[0], np.cumsum(_WORD[data] & (data < 128))])

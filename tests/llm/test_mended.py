@@ -98,3 +98,85 @@ def test_chat_turns_of_any_size_and_ties_in_logs(spark):
     log = [(1, 1, "delta", "a", "user", "old"), (1, 2, "regenerate", "a", None, None), (1, 2, "delta", "a", None, "new"), (1, 3, "delta", "b", "user", "x"), (1, 4, "delete", "b", None, None), (1, 5, "delta", "b", None, "back"), (1, 6, "edit", "c", "user", "p"), (1, 6, "edit", "c", "user", "q")]
     out = chat.folded(spark.createDataFrame(log, "conv_id long, seq long, kind string, msg_id string, role string, text string"))
     assert sorted(r["text"] for r in out.collect()) == ["back", "new", "q"]
+
+
+def plain_language(train, texts, switch):
+    """Trigram scores and the best path in plain Python, from the definition."""
+    import math
+    from collections import Counter
+
+    def words(text):
+        data = text.encode()
+        low = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 0 for c in data]
+        out, i = [], 0
+        while i < len(low):
+            if not low[i]:
+                i += 1
+                continue
+            j = i
+            while j < len(low) and low[j]:
+                j += 1
+            grams = []
+            for p in range(i, j):
+                left, right = low[p - 1] if p else 0, low[p + 1] if p + 1 < len(low) else 0
+                grams.append(((left * 0x9E3779B1 ^ low[p] * 0x85EBCA6B ^ right * 0xC2B2AE35) & 0xFFFFFFFF) * 0x27D4EB2F % 2**32 >> 16)
+            first = ord(data[i : i + 4].decode(errors="ignore")[0])
+            script = next(s for start, s in reversed(language.RANGES) if start <= first) if first < 0x10000 else 0
+            out.append((grams, script, j - i))
+            i = j
+        return out
+
+    counts, scripts = {}, {}
+    for lang, text in train:
+        for grams, script, _ in words(text):
+            counts.setdefault(lang, Counter()).update(grams)
+            scripts.setdefault(lang, Counter())[script] += 1
+    langs = sorted(counts)
+    totals = {x: sum(counts[x].values()) + 0.5 * language.BUCKETS for x in langs}
+    writes = {s: [x for x in langs if scripts[x][s] / scripts[x].total() >= 0.001] or langs for s in range(language.SCRIPTS)}
+    out = []
+    for text in texts:
+        own = words(text or "")
+        if not own or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0, 0.0))
+            continue
+        best, came = None, []
+        for grams, script, _ in own:
+            here = {x: sum(math.log((counts[x][g] + 0.5) / totals[x]) for g in grams) + (0 if x in writes[script] else -50) for x in langs}
+            if best is None:
+                best = here
+                continue
+            top = max(langs, key=lambda x: best[x])
+            came.append({x: x if best[x] >= best[top] - switch else top for x in langs})
+            best = {x: max(best[x], best[top] - switch) + here[x] for x in langs}
+        order = sorted(langs, key=lambda x: -best[x])
+        path = [order[0]]
+        for step in reversed(came):
+            path.append(step[path[-1]])
+        held = Counter()
+        for x, (_, _, size) in zip(reversed(path), own, strict=True):
+            held[x] += size
+        lang, most = max(held.items(), key=lambda x: x[1])
+        out.append((lang, most / held.total(), best[order[0]] - best[order[1]]))
+    return out
+
+
+def test_languages_are_those_of_the_definition(spark, sf):
+    """Every prediction of a table against plain Python, with the texts in any batches; the pipeline's stage with it."""
+    import corpus_pipeline
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").withColumn("text", F.substring("text", 1, 600))
+    learn = rows.filter(~language.held_out())
+    odd = ["½", "", None, "Жи ши the of", "the", "die der und the of and la le", "中文 한국", "\U0001f600 \U00010400", "x" * 300]
+    more = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    whole = rows.select("doc_id", "text").unionByName(more)
+    texts = {r["doc_id"]: r["text"] for r in whole.collect()}
+    want = dict(zip(texts, plain_language([(r["lang"], r["text"]) for r in learn.filter("lang IS NOT NULL AND text IS NOT NULL").collect()], texts.values(), language.SWITCH), strict=True))
+    model = language.train(learn)
+    for parts in (1, 7):
+        got = {r["doc_id"]: r for r in language.predict(whole.repartition(parts, "doc_id"), model).collect()}
+        assert set(got) == set(texts)
+        wrong = [i for i in texts if got[i]["lang_pred"] != want[i][0] or abs(got[i]["score"] - want[i][1]) > 1e-9]
+        assert all(want[i][2] < 0.01 for i in wrong) and len(wrong) <= 1  # equal paths up to rounding
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_stage(spark, rows, sf).collect()}
+    assert set(kept) == {r["doc_id"] for r in rows.collect() if want[r["doc_id"]][0] != "und"} and sum(kept[i] != want[i][0] for i in kept) <= 1
