@@ -201,8 +201,8 @@ def build_tai(spark: SparkSession, fasta: dict[str, str], out: str) -> str:
         if counts.isEmpty():
             raise ValueError(f"no anticodons found in {path}")
         store.write_csv(counts, f"{out}/{species}_trna_gene_counts.csv", order=["anticodon"])
-        tables[species] = weights.tai_weights(weights.cleaned_anticodons(counts))
-        store.write_csv(tables[species], f"{out}/{species}_tai_weights.csv", order=["codon"])
+        own = store.write_csv(weights.tai_weights(weights.cleaned_anticodons(counts)), f"{out}/{species}_tai_weights.csv", order=["codon"])
+        tables[species] = readers.table(spark, own, readers.TAI_SPECIES)
     return store.write_csv(weights.merged(tables, "tai"), f"{out}/combined_tai_weights.csv", order=["codon"])
 
 
