@@ -99,17 +99,32 @@ def _workbook(spark, sf):
     return rounded(read.select(*[F.col(c).cast("int") if c in ("utr5_size", "cds_size", "fold") else F.col(c) for c in read.columns]))
 
 
-@register("q_codon_weights", f"WITH {DUCK_WEIGHTS} SELECT codon, cai_h AS cai_weight_human, cai_m AS cai_weight_mouse, tai_h AS tai_weight_human, tai_m AS tai_weight_mouse FROM w")
+_CHECKED_SQL = f"""{X.DUCK_CDS}, q AS (SELECT rec_id, seq, nullif(regexp_extract(header, '\\[gene=([^\\]]+)\\]', 1), '') AS gene, regexp_extract_all(seq, '...') AS cs FROM r),
+v AS (SELECT *, length(seq) >= 6 AND length(seq) % 3 = 0 AND starts_with(seq, 'ATG') AND regexp_full_match(seq, '[ACGT]*') AND cs[-1] IN ({_STOPS}) AND NOT list_has_any(cs[:-2], [{_STOPS}]) AS valid FROM q),
+c AS (SELECT *, valid AND coalesce(regexp_matches(gene, '(?i)^RP[LS][0-9]'), false) AS reference FROM v)"""
+_RSCU_SQL = f"""WITH {_CHECKED_SQL}, {DUCK_DIM}, n AS (SELECT codon, count(*) AS n FROM (SELECT unnest(cs[:-2]) AS codon FROM c WHERE reference) GROUP BY codon),
+m AS (SELECT dim.codon, aa, coalesce(n, 0) AS count FROM dim LEFT JOIN n USING (codon) WHERE aa <> '*'),
+f AS (SELECT aa, avg(count) AS mean FROM m GROUP BY aa), u AS (SELECT codon, aa, count, coalesce(count / nullif(mean, 0), 0) AS rscu FROM m JOIN f USING (aa))
+SELECT codon, aa AS amino_acid, count, round(rscu, 4) AS rscu, round(coalesce(rscu / nullif(max(rscu) OVER (PARTITION BY aa), 0), 0), 4) AS cai_weight FROM u"""
+
+@register("q_codon_weights", f"""WITH {X.DUCK_CDS}, {DUCK_WEIGHTS}, n AS (SELECT codon, count(*) AS n FROM (SELECT unnest(regexp_extract_all(seq, '...')) AS codon FROM r) GROUP BY codon)
+SELECT codon, cai_h AS cai_weight_human, cai_m AS cai_weight_mouse, tai_h AS tai_weight_human, tai_m AS tai_weight_mouse, coalesce(n, 0) AS n FROM w LEFT JOIN n USING (codon)""")
 def _weights(spark, sf):
-    """The built-in tables as combined CSV files, read again as a user's own."""
-    out = None
+    """The built-in tables as combined CSV files, read again as a user's own, with how often coding sequences hold each codon."""
+    out = X.cds_records(spark, sf).select(F.explode(S.codons(F.col("seq"))).alias("codon")).groupBy("codon").agg(F.count("*").alias("n"))
     for kind, table in (("cai", CAI), ("tai", TAI)):
         names = [f"{kind}_weight_{s}" for s in ("human", "mouse")]
         rows = spark.createDataFrame([(c, AMINO_OF[c], table["human"].get(c), table["mouse"].get(c)) for c in SENSE], f"codon string, amino_acid string, {names[0]} double, {names[1]} double")
-        path = store.write_csv(rows, f"{store.shared_root(spark)}/weights-{kind}", order=["codon"])
-        read = readers.table(spark, path, readers.CAI_TABLES if kind == "cai" else readers.TAI_TABLES).select("codon", *names)
-        out = read if out is None else out.join(read, "codon")
-    return out
+        path = store.write_csv(rows, f"{store.shared_root(spark)}/weights-{kind}.csv", order=["codon"])
+        out = out.join(readers.table(spark, path, readers.CAI_TABLES if kind == "cai" else readers.TAI_TABLES).select("codon", *names), "codon", "right")
+    return out.select("codon", *[f"{k}_weight_{s}" for k in ("cai", "tai") for s in ("human", "mouse")], F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@register("q_weight_csv", f"SELECT codon, amino_acid, cai_weight FROM ({_RSCU_SQL})")
+def _weight_csv(spark, sf):
+    """CAI weights of coding sequences as a report, one file, and read again."""
+    path = store.write_csv(weights.cai_weights(X.cds_records(spark, sf)).select("codon", "amino_acid", "cai_weight"), f"{shared_root(spark)}/cai-{uuid.uuid4().hex}.csv", order=["codon"])
+    return readers.table(spark, path, readers.CAI_SPECIES)
 
 
 # ---- scalar operators
@@ -206,13 +221,6 @@ def _ablation(spark, sf):
 
 
 # ---- weight tables
-_CHECKED_SQL = f"""{X.DUCK_CDS}, q AS (SELECT rec_id, seq, nullif(regexp_extract(header, '\\[gene=([^\\]]+)\\]', 1), '') AS gene, regexp_extract_all(seq, '...') AS cs FROM r),
-v AS (SELECT *, length(seq) >= 6 AND length(seq) % 3 = 0 AND starts_with(seq, 'ATG') AND regexp_full_match(seq, '[ACGT]*') AND cs[-1] IN ({_STOPS}) AND NOT list_has_any(cs[:-2], [{_STOPS}]) AS valid FROM q),
-c AS (SELECT *, valid AND coalesce(regexp_matches(gene, '(?i)^RP[LS][0-9]'), false) AS reference FROM v)"""
-_RSCU_SQL = f"""WITH {_CHECKED_SQL}, {DUCK_DIM}, n AS (SELECT codon, count(*) AS n FROM (SELECT unnest(cs[:-2]) AS codon FROM c WHERE reference) GROUP BY codon),
-m AS (SELECT dim.codon, aa, coalesce(n, 0) AS count FROM dim LEFT JOIN n USING (codon) WHERE aa <> '*'),
-f AS (SELECT aa, avg(count) AS mean FROM m GROUP BY aa), u AS (SELECT codon, aa, count, coalesce(count / nullif(mean, 0), 0) AS rscu FROM m JOIN f USING (aa))
-SELECT codon, aa AS amino_acid, count, round(rscu, 4) AS rscu, round(coalesce(rscu / nullif(max(rscu) OVER (PARTITION BY aa), 0), 0), 4) AS cai_weight FROM u"""
 register("q_cds_qc", f"WITH {_CHECKED_SQL} SELECT rec_id, valid FROM c")(lambda spark, sf: weights.checked(X.cds_records(spark, sf)).select("rec_id", "valid"))
 register("q_reference_set", f"WITH {_CHECKED_SQL} SELECT rec_id, gene, length(seq) AS length_nt FROM c WHERE reference")(lambda spark, sf: weights.checked(X.cds_records(spark, sf)).filter("reference").select("rec_id", "gene", F.length("seq").cast("long").alias("length_nt")))
 register("q_cds_counters", f"WITH {_CHECKED_SQL} SELECT count(*) AS n_total, count(*) FILTER (valid) AS n_valid, count(*) FILTER (reference) AS n_ref FROM c")(lambda spark, sf: weights.counters(weights.checked(X.cds_records(spark, sf))))
