@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codonlake.functions import metrics
 from codonlake.functions.codons import Tables
-from codonlake.operators import ablation, embedding, ranking, validation, weights
+from codonlake.operators import ablation, charts, embedding, ranking, validation, weights
 from codonlake.sources import readers, store
 
 #: Runs that hand in their jobs at a time.
@@ -65,12 +65,17 @@ def evaluate(transcripts: DataFrame, spec, models: list[str], species: str | Tab
     return metrics.summary(validation.out_of_fold(rows, names, models, scale), ["model"], strict=False)
 
 
+def _rows(table: DataFrame) -> list[dict]:
+    """The rows of a chart: a few a model."""
+    return [r.asDict() for r in table.collect()]
+
+
 def report(rows: DataFrame, names: list[str], models: list[str], label: str, out: str, scale: float = 1.0, sums: validation.Sums | None = None) -> list[str]:
-    """Writes the metric, R2 and top-feature tables and the charts' data of one run."""
+    """Writes the metric, R2 and top-feature tables, the charts and their data of one run."""
     if set(models) & set(validation.linear.PENALTIES):
         sums = sums or validation.Sums.of(rows, names)
     oof = validation.out_of_fold(rows, names, models, scale, sums).persist()
-    dataset = F.lit(label).alias("dataset")
+    dataset, spark = F.lit(label).alias("dataset"), rows.sparkSession
     imp = validation.importances(rows, names, models, scale, sums=sums).persist()
     place = ranking.model_place()
     top = ranking.top_features(imp).select(dataset, "*")
@@ -79,7 +84,9 @@ def report(rows: DataFrame, names: list[str], models: list[str], label: str, out
         store.write_csv(metrics.summary(oof, ["model"], strict=True).select(dataset, "*"), f"{out}/{label}_r2_results.csv", order=[place, "fold"]),
         store.write_csv(top.orderBy(place, "rank").drop("rank"), f"{out}/{label}_top_features.csv"),
         store.write_csv(ranking.bars(imp).select(dataset, "*"), f"{out}/{label}_bars.csv", order=[place, "rank"]),
-        store.write_csv(ranking.heatmap_wide(imp, models), f"{out}/{label}_heatmap.csv"),
+        store.write_csv(ranking.heatmap_wide(imp, models), f"{out}/{label}_heatmap.csv", order=["feature"]),
+        store.write_file(spark, f"{out}/{label}_feature_importance.svg", charts.bar_chart(_rows(ranking.bars(imp)), label)),
+        store.write_file(spark, f"{out}/{label}_model_comparison.svg", charts.heatmap_chart(_rows(ranking.heatmap(imp)), label)),
     ]
     oof.unpersist()
     imp.unpersist()

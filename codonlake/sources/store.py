@@ -161,3 +161,15 @@ def write_csv(rows: DataFrame, path: str, sep: str = ",", order: list[str | Colu
     else:
         ordered.coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
     return path
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> str:
+    """A small text as one file, which replaces an older one when it is complete."""
+    where, fs = _at(spark, path)
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(text.encode())
+    out.close()
+    fs.delete(where, False)
+    fs.rename(draft, where)
+    return path

@@ -296,7 +296,7 @@ def test_reports_at_once_are_those_of_one_by_one(spark, data, tmp_path, monkeypa
     both = [str(tmp_path / d) for d in ("one", "four")]
     for out, n in zip(both, (1, 4), strict=True):
         paths = pipeline.run_ablations(spark, data, out, ["A1", "C1", "B1"], None, ["Lasso", "ElasticNet"], at_once=n)
-        assert [p.removeprefix(out) for p in paths] == [f"/{a}/{d}_{r}.csv" for d in ("Human_HCT116", "Mouse_4T1") for a in ("A1", "C1", "B1") for r in ("eval_results", "r2_results", "top_features", "bars", "heatmap")]
+        assert [p.removeprefix(out) for p in paths] == [f"/{a}/{d}_{r}" for d in ("Human_HCT116", "Mouse_4T1") for a in ("A1", "C1", "B1") for r in ("eval_results.csv", "r2_results.csv", "top_features.csv", "bars.csv", "heatmap.csv", "feature_importance.svg", "model_comparison.svg")]
     names = [p.relative_to(both[0]) for p in tmp_path.joinpath("one").rglob("*.csv")]
     assert len(names) == 30
     for n in names:
@@ -314,4 +314,23 @@ def test_reports_at_once_are_those_of_one_by_one(spark, data, tmp_path, monkeypa
     monkeypatch.setattr(pipeline, "report", failing)
     with pytest.raises(ExceptionGroup, match="1 of 2"):
         pipeline.run_ablations(spark, data, str(tmp_path / "f"), ["A1", "C1"], ["human"], ["Lasso"])
-    assert len(list(tmp_path.joinpath("f", "A1").iterdir())) == 5 and not tmp_path.joinpath("f", "C1").exists()
+    assert len(list(tmp_path.joinpath("f", "A1").glob("[!.]*"))) == 7 and not tmp_path.joinpath("f", "C1").exists()
+
+
+def test_charts_show_every_row(spark, sf, tmp_path):
+    from xml.etree import ElementTree
+
+    from codonlake.operators import charts
+
+    imp = X.importances(spark, sf)
+    bars, heat = ([r.asDict() for r in t.collect()] for t in (ranking.bars(imp), ranking.heatmap(imp)))
+    drawn = ElementTree.fromstring(charts.bar_chart(bars, "A & <B>"))
+    tips = [e.text for e in drawn.iter("{http://www.w3.org/2000/svg}title")]
+    assert len(tips) == len(bars) + sum(r["signed_coef"] is not None for r in bars)
+    texts = [e.text for e in drawn.iter("{http://www.w3.org/2000/svg}text")]
+    assert texts[0] == "Feature importance: A & <B>" and [t for t in texts if ": " in t][1:] == ["Lasso: |coefficient|", "RandomForest: MDI importance", "SVR: drop of R2 when permuted"]
+    cells = ElementTree.fromstring(charts.heatmap_chart(heat, "x"))
+    assert sum(1 for _ in cells.iter("{http://www.w3.org/2000/svg}title")) == len(heat)
+    assert charts.shade(0) == charts.RAMP[0] and charts.shade(1) == charts.RAMP[1] and ElementTree.fromstring(charts.heatmap_chart([], "x")) is not None and ElementTree.fromstring(charts.bar_chart([], "x")) is not None
+    path = store.write_file(spark, str(tmp_path / "c" / "x.svg"), charts.bar_chart(bars, "x"))
+    assert store.write_file(spark, path, "é") == path and open(path, encoding="utf-8").read() == "é"
