@@ -37,10 +37,12 @@ def test_repeats_context_digests_tell_content_and_place():
 def test_secrets_of_a_text_with_many_matches(spark):
     many = "token=abcdef12 " * 60_000
     df = spark.createDataFrame([(1, many)], "doc_id long, text string")
-    secrets.scan(df.withColumn("text", F.lit("token=abcdef12"))).collect()  # compiled
-    began = time.time()
-    row = secrets.scan(df).select("base").first()
-    assert time.time() - began < 15  # about 3 s alone on this machine
+    took = []
+    for text in ("token=abcdef12 " * 10, "token=abcdef12 " * 10, many):
+        began = time.time()
+        row = secrets.scan(df.withColumn("text", F.lit(text))).select("base").first()
+        took.append(time.time() - began)
+    assert took[2] - took[1] < 10  # about 1 s alone on this machine, beside 4 s that any text takes
     assert [(s["start"], s["end"]) for s in row["base"]] == [(15 * i, 15 * i + 14) for i in range(60_000)]
 
 
