@@ -57,4 +57,4 @@ def test_windows_are_folded_with_few_calls(monkeypatch):
 
     monkeypatch.setattr(folding.np, "minimum", Counted())
     folding.fold(np.random.default_rng(0).integers(0, 4, (4, 60)).astype(np.int8))
-    assert len(calls) < 60_000  # with a call for each place of a branch, 100,000 and more
+    assert len(calls) < 60_000  # with a call for each place of a branch: 72,264
