@@ -1,6 +1,7 @@
 """Learners against plain definitions: exhaustive splits, optimality conditions, duality gaps, refits by hand."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from codonlake.operators import learners, linear, validation
@@ -150,3 +151,19 @@ def test_importances_by_hand(spark):
     assert by["SVR"] == pytest.approx(learners.permutation_importance(svr, x, y).tolist()) and int(np.argmax(by["SVR"])) == 1
     assert all((r["signed_coef"] is None) == (r["model"] not in ("Lasso", "LinearSVM")) for r in got)
     assert all(abs(r["signed_coef"]) == r["importance"] for r in got if r["signed_coef"] is not None)
+
+
+@pytest.mark.parametrize(("name", "bound"), [("LightGBM", 4.0), ("XGBoost", 4.5)])
+def test_boosting_counts_the_smaller_child_only(monkeypatch, name, bound):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 4))
+    y = x[:, 0] * x[:, 1] + np.sin(3 * x[:, 2]) + rng.standard_normal(6000)
+    counted, plain = [0], np.bincount
+    monkeypatch.setattr(learners, "DIRECT", 1 << 40)
+    want = learners.make(name, 0.01).fit(x, y)
+    monkeypatch.setattr(learners, "DIRECT", 50)
+    monkeypatch.setattr(learners.np, "bincount", lambda a, *b, **c: counted.__setitem__(0, counted[0] + len(a)) or plain(a, *b, **c))
+    got = learners.make(name, 0.01).fit(x, y)
+    assert counted[0] <= bound * 2 * 4 * 6000 * len(got.trees)  # rows of all nodes that were counted, by round
+    assert [t.feature for t in got.trees] == [t.feature for t in want.trees] and [t.code for t in got.trees] == [t.code for t in want.trees]
+    assert np.allclose(got.predict(x), want.predict(x), atol=1e-12) and np.array_equal(got.trees[0].predict(x), got.trees[0].dealt(list(learners.coded(x, got.cuts).T)))
