@@ -167,3 +167,22 @@ def test_boosting_counts_the_smaller_child_only(monkeypatch, name, bound):
     assert counted[0] <= bound * 2 * 4 * 6000 * len(got.trees)  # rows of all nodes that were counted, by round
     assert [t.feature for t in got.trees] == [t.feature for t in want.trees] and [t.code for t in got.trees] == [t.code for t in want.trees]
     assert np.allclose(got.predict(x), want.predict(x), atol=1e-12) and np.array_equal(got.trees[0].predict(x), got.trees[0].dealt(list(learners.coded(x, got.cuts).T)))
+
+
+def test_each_key_has_a_task_and_rows_pass_the_driver_by(spark, monkeypatch):
+    from pyspark import TaskContext
+    from pyspark.sql import DataFrame
+
+    rows = spark.range(0, 500, 1, 4).selectExpr("499 - id AS gene_id", "CAST(id % 10 AS INT) AS fold", "CAST(id AS DOUBLE) AS te", "id / 7.0E0 AS a")
+    keys = [("LightGBM", f) for f in range(10)]
+
+    def work(key, data):
+        assert data["gene_id"].tolist() == list(range(500)) and data["te"].tolist() == [499.0 - i for i in range(500)]
+        return pd.DataFrame({"model": [key[0]], "fold": [key[1]], "task": [TaskContext.get().partitionId()]})
+
+    for most in (1 << 40, 0):
+        monkeypatch.setattr(validation, "BROADCAST_BYTES", most)
+        if not most:
+            monkeypatch.setattr(DataFrame, "toPandas", None)
+        got = validation._fanned(rows, ["a"], keys, work, "model string, fold int, task int").collect()
+        assert sorted((r["model"], r["fold"]) for r in got) == keys and len({r["task"] for r in got}) == 10
