@@ -322,8 +322,8 @@ def _strip(rows: DataFrame, length: int, k: int, most_contexts: int, block_bytes
     seen = seen.withColumn("first", ~F.col("copy") & (F.col("above").isNull() | (F.col("above") != F.col("c"))))
     several = seen.filter("NOT first OR c0 <> c1").withColumn("kinds", F.sum(F.col("first").cast("int")).over(Window.partitionBy("h")))
     repeated = written(several.select("h", "id", "at", "first", "kinds"), "anchors")
-    packed = rows.mapInArrow(_zip, "id long, packed binary")
-    wanted = repeated.filter("first AND kinds > 1").groupBy("id").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))  # at most one a byte of a document
+    packed = rows.mapInArrow(_zip, "id long, packed binary").filter("id IS NOT NULL")  # as an inner join does it: both joins read one exchange
+    wanted = repeated.filter("first AND kinds > 1").select("id", "h", "at").repartition("id").groupBy("id").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))  # at most one a byte of a document; rows travel lighter than short lists
     contexts = packed.join(wanted, "id").select("id", "packed", "wanted").mapInArrow(_contexts(length, k), "h long, id long, at int, start int, body binary")
     large = repeated.filter(F.col("kinds") > most_contexts).select("h").distinct()
     marks = None
@@ -339,7 +339,7 @@ def _strip(rows: DataFrame, length: int, k: int, most_contexts: int, block_bytes
     indexed = small.repartition("h").sortWithinPartitions("h").select("h", "id", "at", "start", "body").mapInArrow(_indexed(length, k, block_bytes), MARKS)
     copies = repeated.filter("NOT first").select("id", F.greatest(F.col("at") - (length - k), F.lit(0)).alias("lo"), (F.col("at") + length).alias("hi"))
     marks = indexed.unionByName(copies) if marks is None else indexed.unionByName(copies).unionByName(marks)
-    per_doc = marks.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    per_doc = marks.repartition("id").groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     joined = packed.join(per_doc, "id", "left").select("id", "packed", "marks")
     return joined.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

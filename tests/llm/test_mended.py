@@ -182,3 +182,15 @@ def test_languages_are_those_of_the_definition(spark, sf):
         assert all(want[i][2] < 0.01 for i in wrong) and len(wrong) <= 1  # equal paths up to rounding
     kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_stage(spark, rows, sf).collect()}
     assert set(kept) == {r["doc_id"] for r in rows.collect() if want[r["doc_id"]][0] != "und"} and sum(kept[i] != want[i][0] for i in kept) <= 1
+
+
+def test_op9_joins_read_one_exchange_of_texts(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = repeats.strip(spark.createDataFrame([(i, f"{i} " * 40 + "".join(chr(97 + j * j % 26) for j in range(200 + 5 * i))) for i in range(20)], "doc_id long, text string"))
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "ReusedExchange" in plan
