@@ -186,3 +186,28 @@ def test_each_key_has_a_task_and_rows_pass_the_driver_by(spark, monkeypatch):
             monkeypatch.setattr(DataFrame, "toPandas", None)
         got = validation._fanned(rows, ["a"], keys, work, "model string, fold int, task int").collect()
         assert sorted((r["model"], r["fold"]) for r in got) == keys and len({r["task"] for r in got}) == 10
+
+
+def test_a_forest_predicts_as_it_grows_and_keeps_no_tree(spark, monkeypatch):
+    x, y = data(200)
+    model = learners.Forest(20)
+    got = model.foretold(x[:150], y[:150], x[150:])
+    kept = learners.Forest(20).fit(x[:150], y[:150])
+    assert np.array_equal(got, kept.predict(x[150:])) and np.array_equal(model.importance, kept.importance) and not hasattr(model, "trees")
+    rows = spark.createDataFrame([(i, i % 2, float(y[i]), *map(float, x[i])) for i in range(200)], "gene_id long, fold int, te double, a double, b double, c double, d double")
+
+    def fit(*_):
+        raise AssertionError("all trees are held at once")
+
+    monkeypatch.setattr(learners.Forest, "fit", fit)
+    assert validation.out_of_fold(rows, list("abcd"), ["RandomForest"], 0.02).count() == 200
+    assert validation.importances(rows, list("abcd"), ["RandomForest"], 0.02).count() == 4
+
+
+def test_a_tree_of_any_size_takes_arrays_only():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((2000, 4))
+    y = rng.standard_normal(2000)
+    tree = learners.Forest(1).fit(x, y).trees[0]
+    parts = (tree.feature, tree.cut, tree.left, tree.right, tree.value)
+    assert len(tree.value) > 1000 and all(isinstance(v, np.ndarray) and v.dtype.itemsize <= 8 for v in parts)
