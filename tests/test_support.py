@@ -82,3 +82,29 @@ def test_trees_work_on_cells_of_equal_rows(monkeypatch, name):
     monkeypatch.setattr(learners, "cells", lambda codes: (np.arange(len(codes)), np.arange(len(codes))))
     alone = learners.make(name, 0.02).fit(x, y)
     assert max(sizes) == 500 and np.allclose(model.predict(x), alone.predict(x)) and np.allclose(model.importance, alone.importance)
+
+
+def test_kernel_machines_gather_the_rows_near_the_edge_only_and_close_the_gap(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.uniform(-1, 1, (6000, 2)), 1)
+    y = np.sin(3 * x[:, 0]) + x[:, 1] + rng.uniform(-1, 1, 6000)
+    rows = spark.createDataFrame([(i, 0, float(y[i]), *map(float, x[i])) for i in range(6000)], "gene_id long, fold int, te double, a double, b double").cache()
+    monkeypatch.setattr(support, "FIRST_ROWS", 500)
+    monkeypatch.setattr(support, "GUARDS", 300)
+    monkeypatch.setattr(support, "MOST_PASSES", 0)  # none of the barrier's passes
+    taken, plain = [], support._freed
+    monkeypatch.setattr(support, "_freed", lambda spaces, asked: taken.append(asked) or plain(spaces, asked))
+    space = support.spaces_of(rows, list("ab"), [None], True)[0]
+    w = support.solved(rows, list("ab"), [space], "SVR")[0]
+    whole = [asked for asked in taken if asked[0][4] == support.C]
+    for asked in whole:
+        free = support._split(np.column_stack([y, x]), space, asked[0][1], asked[0][2])[0].sum()
+        assert 0 < free < 3000
+    assert 1 <= len(whole) <= 6
+    kernel = support.radial(space.marks, space.marks, space.gamma)
+    primal = w[:-1] @ kernel @ w[:-1] / 2 + np.maximum(np.abs(y - space.predict(x, w)) - 0.1, 0).sum()
+    root = support._inverse_root(kernel)
+    own = support.Space(None, space.means, space.deviations, space.gamma, space.marks, root)
+    at_once, gap, _ = support.interior(own, np.column_stack([y, x, np.ones(6000), np.zeros(6000)]), np.zeros(space.width + 1), 1.0, 0.0, 1e-7)
+    least = at_once[:-1] @ at_once[:-1] / 2 + np.maximum(np.abs(y - own.predict(x, at_once)) - 0.1, 0).sum()
+    assert primal <= least * (1 + support.GAP) and gap <= 1e-6 * least
