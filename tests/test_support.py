@@ -108,3 +108,19 @@ def test_kernel_machines_gather_the_rows_near_the_edge_only_and_close_the_gap(sp
     at_once, gap, _ = support.interior(own, np.column_stack([y, x, np.ones(6000), np.zeros(6000)]), np.zeros(space.width + 1), 1.0, 0.0, 1e-7)
     least = at_once[:-1] @ at_once[:-1] / 2 + np.maximum(np.abs(y - own.predict(x, at_once)) - 0.1, 0).sum()
     assert primal <= least * (1 + support.GAP) and gap <= 1e-6 * least
+
+
+def test_equal_rows_share_their_kernel_values(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 4, (3000, 2)).astype(float)
+    space = support.Space(None, np.zeros(2), np.ones(2), 0.5, np.unique(x, axis=0))
+    w = rng.standard_normal(17)
+    want = support.radial(x, space.marks, 0.5) @ w[:-1] + w[-1]
+    sizes, plain = [], support.radial
+    monkeypatch.setattr(support, "radial", lambda a, b, gamma: sizes.append(len(a)) or plain(a, b, gamma))
+    assert np.allclose(space.predict(x, w), want, atol=1e-12) and sum(sizes) == 16
+    free, side, left, _, basis, place = support._split(np.column_stack([np.zeros(3000), x]), space, [w], 0.1)
+    assert np.allclose(left, -want) and len(basis) == 16 and np.array_equal(free, np.abs(np.abs(left) - 0.1) <= 0.1) and sum(sizes) == 32
+    few, place = support.distinct(x)
+    assert len(few) == 16 and np.array_equal(few[place], x)
+    assert len(support.distinct(rng.standard_normal((3000, 2)))[0]) == 3000
