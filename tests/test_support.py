@@ -124,3 +124,9 @@ def test_equal_rows_share_their_kernel_values(monkeypatch):
     few, place = support.distinct(x)
     assert len(few) == 16 and np.array_equal(few[place], x)
     assert len(support.distinct(rng.standard_normal((3000, 2)))[0]) == 3000
+    monkeypatch.setattr(support, "KEPT_BYTES", 0)
+    space.root = support._inverse_root(plain(space.marks, space.marks, 0.5))
+    rows = np.column_stack([want, x, np.ones(3000), np.zeros(3000)])
+    sizes.clear()
+    again = support.interior(space, rows, np.zeros(17), 1.0, 0.0, 1e-6)
+    assert max(sizes) == 16 and again[1] < 1e-3
